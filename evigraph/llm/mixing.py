@@ -76,20 +76,18 @@ def solve_dual(strata: DataFrame, targets: DataFrame, cap: float, broadcast_sour
     (rates are capped, so the plain step can overshoot).
     """
     top = F.log(F.lit(cap))
-    small = strata.groupBy("sid").agg(F.min("size").alias("least"))
-    state = (
-        targets.filter("target > 0").join(small, "sid")
-        .select(
-            "sid", "target", F.lit(0.0).alias("lam"),
-            F.when(F.col("target") < F.col("source_size"), F.log(F.col("target") / F.col("source_size")) / F.col("least")).otherwise(0.0).alias("lo"),
-            F.when(F.col("target") > F.col("source_size"), top / F.col("least")).otherwise(0.0).alias("hi"),
-            F.lit(False).alias("done"),
-        )
+    x = F.col("size").cast("double")
+    shape = strata.groupBy("sid").agg(F.min("size").alias("least"), F.sum(F.col("m") * x * x).alias("squares"))
+    ratio = F.col("target") / F.col("source_size")
+    full = ratio >= cap  # every rate is the cap
+    hi = F.when(ratio > 1, top / F.col("least") * (1 + 1e-12)).otherwise(0.0)
+    state = targets.filter("target > 0").join(shape, "sid").select(
+        "sid", "target", F.when(full, hi).otherwise(F.log(ratio) * F.col("source_size") / F.col("squares")).alias("lam"),
+        F.when(ratio < 1, F.log(ratio) / F.col("least")).otherwise(0.0).alias("lo"), hi.alias("hi"), full.alias("done"),
     )
     state = staged(state, "mix-dual")
     n = state.count()
     for _ in range(iterations):
-        x = F.col("size").cast("double")
         z = F.col("lam") * x
         rate = F.when(z >= top, F.lit(cap)).otherwise(F.exp(z))
         sums = (
@@ -101,8 +99,8 @@ def solve_dual(strata: DataFrame, targets: DataFrame, cap: float, broadcast_sour
         high = F.col("f") > F.col("target")
         lo, hi = F.when(high, F.col("lo")).otherwise(F.col("lam")), F.when(high, F.col("lam")).otherwise(F.col("hi"))
         newton = F.col("lam") - F.try_divide(F.log(F.col("f") / F.col("target")) * F.col("f"), F.col("df"))
-        done = F.col("done") | (F.abs(F.col("f") - F.col("target")) <= F.col("target") * tolerance) | (F.col("lo") >= F.col("hi"))
-        step = F.when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
+        done = F.col("done") | (F.abs(F.col("f") - F.col("target")) <= F.col("target") * tolerance) | (hi - lo <= F.lit(1e-14) * F.abs("lam"))
+        step = F.when((newton >= lo) & (newton <= hi) & (newton != F.col("lam")), newton).otherwise((lo + hi) / 2)
         state = staged(
             joined.select("sid", "target", F.when(done, F.col("lam")).otherwise(step).alias("lam"), lo.alias("lo"), hi.alias("hi"), done.alias("done")),
             "mix-dual",

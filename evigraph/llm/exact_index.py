@@ -37,6 +37,10 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def files(self) -> DataFrame:
+        """The same rows without the buckets."""
+        return self.spark.read.schema(self.table().schema).parquet(self.path)
+
     def unseen(self, candidates: DataFrame) -> DataFrame:
         """The candidates whose digest the index does not have."""
         return candidates.hint("merge").join(self.table(), "digest", "left_anti")
@@ -67,9 +71,8 @@ def dedup_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     """
     ids = docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
     index.append(candidates(docs, id_col, text_col))
-    sizes = index.table().select("digest", "keep_id", F.col("copies").alias("group_size"))
-    # A text may fill a third of the rows: both sides are shuffled here so that adaptive execution can split its partition.
-    sizes = sizes.repartition("digest")
+    # A text may fill a third of the rows: read as plain files, so that both sides are shuffled and adaptive execution can split its partition.
+    sizes = index.files().select("digest", "keep_id", F.col("copies").alias("group_size"))
     return ids.hint("merge").join(sizes, "digest").select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import staged
+
 
 def _either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -72,7 +74,7 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, max_owners: int = 2, max_repos: int = 8, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """A row per row of ``docs``: doc_id, spans, an array of struct(begin, kind int, end, live) by begin, kind, end."""
-    spans = candidate_spans(docs, id_col, text_col, repo_col, owner_col)
+    spans = staged(candidate_spans(docs, id_col, text_col, repo_col, owner_col), "secret-spans")
     owned = ownership(spans)
     live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
     base = F.col("kind") < sum(1 for *_, b in KINDS if b)

@@ -159,7 +159,7 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    cell_rows: int = 4096,
+    cell_rows: int = 512,
     broadcast_sources: int = 100_000,
     broadcast_strata: int = 1_000_000,
 ) -> DataFrame:

@@ -97,7 +97,8 @@ def coerce_score(c: Column) -> Column:
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Within [0, 1]; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def round4(c: Column) -> Column:

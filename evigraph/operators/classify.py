@@ -36,3 +36,35 @@ def role_from_name(entities: DataFrame, name: str = "name") -> DataFrame:
 def classified_names(part: DataFrame) -> DataFrame:
     suffix = F.element_at(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("p_partkey") % 9 + 1).cast("int"))
     return part.select("p_partkey", F.concat_ws(" ", "p_name", suffix).alias("name"))
+
+
+def role_from_type(types: DataFrame, aliases: DataFrame) -> DataFrame:
+    """+ role by exact alias (type, role); the alias table has one row a type."""
+    return types.join(aliases, "type", "left")
+
+
+# Signs that a text states a formula.
+FORMULA = r"[A-Za-z)\]] ?= ?[A-Za-z0-9(]|∑|∫|√|公式"
+
+
+def content_fallback_role(entities: DataFrame) -> DataFrame:
+    """+ role: formula if the content shows one, else the type's role unless it claims a law, theorem or theory, else concept."""
+    typed = F.when(~F.col("type_role").isin("law", "theorem", "theory"), F.col("type_role"))
+    return entities.withColumn("role", F.when(F.col("content").rlike(FORMULA), "formula").otherwise(F.coalesce(typed, F.lit("concept"))))
+
+
+def classify_entities(rows: DataFrame, roles: list[str], least: float = 0.72) -> DataFrame:
+    """+ role and status. rows: name_role, content_role, proposed, confidence, identity (explicit and verified).
+
+    Without a proposal the name decides, then the content, and the result needs review. A proposed role that the plan lacks,
+    or a law, theorem or theory without explicit identity, falls back to the content.
+    """
+    p, name = F.col("proposed"), F.col("name_role")
+    unknown, claim = ~p.isin(*roles), p.isin("law", "theorem", "theory") & ~F.col("identity")
+    bad = unknown | claim
+    role = F.when(p.isNull(), F.coalesce("name_role", "content_role")).when(bad, F.col("content_role")).otherwise(p)
+    doubt = (F.col("confidence") < least) | F.coalesce(name != p, F.lit(False))
+    status = (
+        F.when(p.isNull(), "needs_review").when(claim & (F.col("content_role") == "concept"), "needs_review").when(bad, "corrected").when(doubt, "needs_review").otherwise("accepted")
+    )
+    return rows.withColumn("role", role).withColumn("status", status)

@@ -57,23 +57,24 @@ class LanguageModel:
         self.cache: dict[str, np.ndarray] = {}
 
     @staticmethod
-    def _logs(per_lang: list[dict[str, int]]) -> dict[str, np.ndarray]:
-        every = {k for c in per_lang for k in c}
-        total = np.array([sum(c.values()) for c in per_lang], dtype=float) + 0.5 * (len(every) + 1)
-        return {k: np.log((np.array([c.get(k, 0) for c in per_lang]) + 0.5) / total) for k in every}
-
-    def word(self, w: str) -> np.ndarray:
-        if w in self.words:
-            return self.words[w]
+    def _logs(per_lang: list[dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
+        """(key -> row, log frequency of each row in each language)"""
+        rows = {k: i for i, k in enumerate(sorted({k for c in per_lang for k in c}))}
+        n = np.array([[c.get(k, 0) for c in per_lang] for k in rows], dtype=np.float32).reshape(len(rows), len(per_lang))
+        return rows, (np.log(n + 0.5) - np.log(n.sum(axis=0) + 0.5 * (len(rows) + 1))).astype(np.float32)
+
+    def backoff(self, w: str) -> np.ndarray:
+        """The longest n-grams that any language knows, averaged."""
         got = self.cache.get(w)
         if got is None:
-            got = np.zeros(len(self.langs))
+            got = np.zeros(len(self.langs), np.float32)
             for n in range(GRAMS, 0, -1):
-                known = [self.parts[n][g] for g in grams(w, n) if g in self.parts[n]]
+                rows, logs = self.parts[n]
+                known = [rows[g] for g in grams(w, n) if g in rows]
                 if known:
-                    got = np.mean(known, axis=0)
+                    got = logs[known].mean(axis=0)
                     break
-            if len(self.cache) > 200_000:
+            if len(self.cache) > 100_000:
                 self.cache.clear()
             self.cache[w] = got
         return got
@@ -83,11 +84,13 @@ class LanguageModel:
         counts = Counter(tokens(text))
         if not counts or not self.langs:
             return UNKNOWN, 0.0
-        total = sum(counts.values())
-        score = np.zeros(len(self.langs))
-        for w, k in counts.items():
-            score += k * self.word(w)
-        score *= min(total, 30) / total
+        rows, logs = self.words
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        at = np.fromiter((rows.get(w, -1) for w in counts), np.int64, len(counts))
+        score = times[at >= 0] @ logs[at[at >= 0]].astype(np.float64)
+        for w, k in ((w, k) for (w, k), i in zip(counts.items(), at) if i < 0):
+            score = score + k * self.backoff(w)
+        score = score * (min(times.sum(), 30) / times.sum())
         odds = np.exp(score - score.max())
         best = int(np.argmax(odds))
         return self.langs[best], float(odds[best] / odds.sum())

@@ -123,10 +123,10 @@ def props_fold(df: DataFrame, keys: list[str], props: str, order: list[Column],
     keys + ``props`` (a map; groups without any entry are absent).
     """
     names = [f"__o{i}" for i in range(len(order))]
-    rows = df.select(*keys, *[o.alias(n) for o, n in zip(order, names)], F.explode(props).alias("k", "v"))
+    rows = df.select(*keys, *[o.alias(n) for o, n in zip(order, names)], F.explode(props).alias("__k", "__v"))
     seq = F.struct(*names)
-    pick = F.max_by("v", seq) if last else F.min_by("v", seq)
-    return rows.groupBy(*keys, "k").agg(pick.alias("v")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(props))
+    pick = F.max_by("__v", seq) if last else F.min_by("__v", seq)
+    return rows.groupBy(*keys, "__k").agg(pick.alias("__v")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__k", "__v")))).alias(props))
 
 
 def props_text(c: Column) -> Column:

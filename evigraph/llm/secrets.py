@@ -75,7 +75,7 @@ def ownership(spans: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, max_owners: int = 2, max_repos: int = 8, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """A row per row of ``docs``: doc_id, spans, an array of struct(begin, kind int, end, live) by begin, kind, end."""
     spans = staged(candidate_spans(docs, id_col, text_col, repo_col, owner_col), "secret-spans")
-    owned = ownership(spans)
+    owned = staged(ownership(spans), "secret-owned")  # a table, so that adaptive execution can split a value that many rows share
     live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
     base = F.col("kind") < sum(1 for *_, b in KINDS if b)
     judged = spans.hint("merge").join(owned, "secret").select("doc_id", "h", "begin", "kind", "end", live.alias("live")).filter(base | F.col("live"))

@@ -10,6 +10,8 @@ rows are copies of each other. An empty batch appends nothing. Other columns are
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,5 +78,10 @@ def dedup_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     return ids.hint("merge").join(sizes, "digest").select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
+def buckets_for(rows: int, bucket_rows: int = 4_000_000) -> int:
+    """64 buckets, or as many as keep each near ``bucket_rows`` digests."""
+    return max(64, math.ceil(rows / bucket_rows))
+
+
 def fresh_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
     return DigestIndex(spark, new_path(spark, "digests"), buckets)

@@ -77,7 +77,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_index.dedup_batch(table(spark, sf_dir, "documents"), exact_index.fresh_index(spark))
+    docs = table(spark, sf_dir, "documents")
+    found = exact_index.dedup_batch(docs, exact_index.fresh_index(spark, exact_index.buckets_for(docs.count())))
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -6,7 +6,8 @@ of a vantage-point tree (inner: within radius mu of the vantage point, outer: be
 built from a bounded sample; a fingerprint also visits every leaf that the triangle bound
 cannot exclude. A pair that splits at a node is looked for from its inner side only. Inside a
 leaf the same tree goes on in memory, and below it all remaining pairs are compared, so links
-are exact. A leaf reports each linked fingerprint with one representative instead of all pairs,
+are exact. A leaf that outgrows a task is cut into a grid: each part of those who live there meets
+each part of all who visit, and no pair is lost. A leaf reports each linked fingerprint with one representative instead of all pairs,
 which joins the same components with rows in proportion to the fingerprints. Components of the
 whole corpus come from rounds of random local contraction.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, product
 
 import numpy as np
 import pandas as pd
@@ -148,21 +149,35 @@ def link_shard(points: np.ndarray, home: np.ndarray, radius: int, leaf: int = 51
             return labels
 
 
-def links(nodes: DataFrame, radius: int = 3, leaf_rows: int = 4096, sample_rows: int = 20_000) -> DataFrame:
+def grid(tree: VpTree, sample: np.ndarray, share: float, radius: int, part_rows: int) -> dict[int, tuple[int, int]]:
+    """leaf -> into how many parts its homes and all its visitors are cut, so that parts have about ``part_rows`` each."""
+    parts = lambda n: max(1, math.ceil(n / share / part_rows))
+    return {leaf: (parts(own.sum()), parts(len(rows))) for leaf, rows, own in tree.route(sample, np.ones(len(sample), bool), radius)}
+
+
+def links(nodes: DataFrame, radius: int = 3, leaf_rows: int = 4096, sample_rows: int = 20_000, part_rows: int = 1 << 18) -> DataFrame:
     """(fp) distinct -> (a, b): a spanning set of the links within ``radius``, one row per linked
-    fingerprint and visited shard. The tree's sample has about ``sample_rows`` fingerprints whatever their number.
+    fingerprint and visited shard. The tree's sample has about ``sample_rows`` fingerprints whatever their number;
+    a shard has about ``part_rows`` homes and as many visitors at most.
     """
     n = nodes.count()
     share = min(1.0, sample_rows / max(n, 1))
     lot = F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(1 << 30))
     sample = np.array([r["fp"] for r in nodes.filter(lot < int(share * (1 << 30))).select("fp").orderBy("fp").collect()], dtype=np.int64).view(np.uint64)
-    tree = nodes.sparkSession.sparkContext.broadcast(VpTree(sample, max(64, math.ceil(leaf_rows * share))))
+    built = VpTree(sample, max(64, math.ceil(leaf_rows * share)))
+    tree = nodes.sparkSession.sparkContext.broadcast((built, grid(built, sample, share, radius, part_rows)))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        router, cuts = tree.value
         for batch in batches:
             points = batch["fp"].to_numpy(np.int64).view(np.uint64)
-            for shard, rows, own in tree.value.route(points, np.ones(len(points), bool), radius):
-                yield pd.DataFrame({"shard": np.full(len(rows), shard, np.int32), "fp": points[rows].view(np.int64), "home": own})
+            lot = ((points * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+            for leaf, rows, own in router.route(points, np.ones(len(points), bool), radius):
+                n_home, n_all = cuts.get(leaf, (1, 1))
+                for i, j in product(range(n_home), range(n_all)):
+                    home = own & (lot[rows] % n_home == i)
+                    here = home | (lot[rows] % n_all == j)
+                    yield pd.DataFrame({"leaf": leaf, "part": i * n_all + j, "fp": points[rows[here]].view(np.int64), "home": home[here]})
 
     def link(batch: pd.DataFrame) -> pd.DataFrame:
         points = batch["fp"].to_numpy(np.int64).view(np.uint64)
@@ -174,8 +189,8 @@ def links(nodes: DataFrame, radius: int = 3, leaf_rows: int = 4096, sample_rows:
         moved = labels != np.arange(len(points))
         return pd.DataFrame({"a": points[moved].view(np.int64), "b": points[labels[moved]].view(np.int64)})
 
-    dealt = nodes.select("fp").mapInPandas(deal, "shard int, fp long, home boolean")
-    return dealt.groupBy("shard").applyInPandas(link, "a long, b long")
+    dealt = nodes.select("fp").mapInPandas(deal, "leaf int, part int, fp long, home boolean")
+    return dealt.groupBy("leaf", "part").applyInPandas(link, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -212,11 +227,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return root
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", leaf_rows: int = 4096, sample_rows: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", leaf_rows: int = 4096, sample_rows: int = 20_000, part_rows: int = 1 << 18) -> DataFrame:
     """A row per row of ``docs``: doc_id, fp (signed long), component_id (the least doc_id reachable over links)."""
     prints = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col)).alias("fp")), "simhash-prints")
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("lead")), "simhash-nodes")
-    root = components(links(nodes, radius, leaf_rows, sample_rows))
+    root = components(links(nodes, radius, leaf_rows, sample_rows, part_rows))
     rooted = nodes.join(root.hint("merge"), "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
     leads = rooted.groupBy("root").agg(F.min("lead").alias("component_id"))
     named = staged(rooted.join(leads.hint("merge"), "root").select("fp", "component_id"), "simhash-named")

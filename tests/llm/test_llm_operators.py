@@ -250,8 +250,8 @@ def test_simhash_against_brute_force(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     prints = {r["doc_id"]: slow_print(r["text"]) for r in table.collect()}
     want = slow_components(prints)
-    for leaf in (4096, 100):
-        got = rows(simhash.near_duplicates(table, leaf_rows=leaf).withColumn("hex", simhash.fingerprint_hex(F.col("fp"))))
+    for leaf, part in ((4096, 1 << 18), (100, 1 << 18), (100, 40)):
+        got = rows(simhash.near_duplicates(table, leaf_rows=leaf, part_rows=part).withColumn("hex", simhash.fingerprint_hex(F.col("fp"))))
         assert {r["doc_id"]: r["hex"] for r in got} == {i: f"{p:016x}" for i, p in prints.items()}
         assert {r["doc_id"]: r["component_id"] for r in got} == want
 

@@ -4,8 +4,8 @@ The model holds each language's word counts and, from the same words, its charac
 counts. A word that any language knows is scored by its log frequency in each; an unseen word
 falls back to its 4-grams, and as long as none of them is known to 3-, 2- and 1-grams.
 
-The model is fitted on at most ``docs_per_lang`` documents a language, chosen by a hash of the
-text, and keeps at most ``max_words`` words a language; it is broadcast, and these two bound it.
+The model is fitted on about ``docs_per_lang`` texts a language at most, chosen by a hash of the
+text, equal ones once, and keeps at most ``max_words`` words a language; it is broadcast, and these two bound it.
 Scoring reads whole texts.
 
 Nulls: a null text or one without a letter is ``und`` with score 0, and so is everything if there
@@ -105,7 +105,7 @@ def fit(labelled: DataFrame, docs_per_lang: int = 5000, max_words: int = 50_000,
         return LanguageModel({})
     span = 1 << 30
     upto = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(span * min(1.0, docs_per_lang / n)))])
-    sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(span)) < F.element_at(upto, F.col("lang")))
+    sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(span)) < F.element_at(upto, F.col("lang"))).distinct()  # a text that fills much of the rows counts once
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -7,8 +7,8 @@ Features: words of the whole text hashed into ``buckets`` (log counts, scaled to
 indicator for each binned structure statistic (shares of upper case, digits, punctuation, white space and
 non-ASCII bytes, word length, repetition of words and lines, length) and for each binned metadata column.
 
-Fitting reads at most ``max_fit_rows`` labelled rows, chosen by a hash of their text, in one task on an
-executor; the model (buckets x (rank + 1) numbers) is broadcast. Scoring reads whole texts.
+Fitting reads about ``max_fit_rows`` labelled rows at most, chosen by a hash of their text, equal ones once, in
+one task on an executor; the model (buckets x (rank + 1) numbers) is broadcast. Scoring reads whole texts.
 
 Nulls: a null text is the empty text, which has its own indicators and so a score; a null metadata value has
 an indicator of its own; rows with a null label are not learned from. With nothing to learn from the score is
@@ -122,7 +122,7 @@ class FactorisationMachine:
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", meta_cols: tuple[str, ...] = (), buckets: int = 1 << 14, rank: int = 8, max_fit_rows: int = 8000) -> FactorisationMachine:
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), *[F.col(c).cast("double").alias(f"m{i}") for i, c in enumerate(meta_cols)]).filter("label is not null")
     n, span = rows.count(), 1 << 30
-    sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(13)), F.lit(span)) < int(span * min(1.0, max_fit_rows / max(1, n))))
+    sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(13)), F.lit(span)) < int(span * min(1.0, max_fit_rows / max(1, n)))).distinct()  # a text that fills much of the rows counts once
     dim, metas = buckets + BINS * STATS + (BINS + 1) * len(meta_cols), [f"m{i}" for i in range(len(meta_cols))]
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -54,7 +54,6 @@ class LanguageModel:
                         c[g] += k
                 per_lang.append(c)
             self.parts[n] = self._logs(per_lang)
-        self.cache: dict[str, np.ndarray] = {}
 
     @staticmethod
     def _logs(per_lang: list[dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
@@ -63,21 +62,23 @@ class LanguageModel:
         n = np.array([[c.get(k, 0) for c in per_lang] for k in rows], dtype=np.float32).reshape(len(rows), len(per_lang))
         return rows, (np.log(n + 0.5) - np.log(n.sum(axis=0) + 0.5 * (len(rows) + 1))).astype(np.float32)
 
-    def backoff(self, w: str) -> np.ndarray:
-        """The longest n-grams that any language knows, averaged."""
-        got = self.cache.get(w)
-        if got is None:
-            got = np.zeros(len(self.langs), np.float32)
-            for n in range(GRAMS, 0, -1):
-                rows, logs = self.parts[n]
+    def backoff(self, unseen: list[tuple[str, int]]) -> np.ndarray:
+        """The score of unseen words with their counts: each word's longest n-grams that any language knows, averaged."""
+        score = np.zeros(len(self.langs))
+        for n in range(GRAMS, 0, -1):
+            rows, logs = self.parts[n]
+            at, share, rest = [], [], []
+            for w, k in unseen:
                 known = [rows[g] for g in grams(w, n) if g in rows]
                 if known:
-                    got = logs[known].mean(axis=0)
-                    break
-            if len(self.cache) > 100_000:
-                self.cache.clear()
-            self.cache[w] = got
-        return got
+                    at += known
+                    share += [k / len(known)] * len(known)
+                else:
+                    rest.append((w, k))
+            if at:
+                score += np.array(share) @ logs[at]
+            unseen = rest
+        return score
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, share of the posterior; the evidence counts as 30 words at most)."""
@@ -88,8 +89,9 @@ class LanguageModel:
         times = np.fromiter(counts.values(), np.float64, len(counts))
         at = np.fromiter((rows.get(w, -1) for w in counts), np.int64, len(counts))
         score = times[at >= 0] @ logs[at[at >= 0]].astype(np.float64)
-        for w, k in ((w, k) for (w, k), i in zip(counts.items(), at) if i < 0):
-            score = score + k * self.backoff(w)
+        unseen = [x for x, i in zip(counts.items(), at) if i < 0]
+        for i in range(0, len(unseen), 4096):
+            score = score + self.backoff(unseen[i : i + 4096])
         score = score * (min(times.sum(), 30) / times.sum())
         odds = np.exp(score - score.max())
         best = int(np.argmax(odds))

@@ -15,9 +15,11 @@ code-point order. Extra columns are ignored, repeated rows are scored alike.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,9 @@ GRAMS = 4
 def tokens(text: str | None) -> list[str]:
     """Lower-cased runs of letters."""
     found = TOKEN.findall(text.lower()) if text else []
-    return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
+    if "".join(found).isalpha():
+        return found
+    return [w for w in found if any(map(str.isalpha, w))]  # numerals such as fractions aren't letters
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -87,7 +91,7 @@ class LanguageModel:
             return UNKNOWN, 0.0
         rows, logs = self.words
         times = np.fromiter(counts.values(), np.float64, len(counts))
-        at = np.fromiter((rows.get(w, -1) for w in counts), np.int64, len(counts))
+        at = np.fromiter(map(rows.get, counts, repeat(-1)), np.int64, len(counts))
         score = times[at >= 0] @ logs[at[at >= 0]].astype(np.float64)
         unseen = [x for x, i in zip(counts.items(), at) if i < 0]
         for i in range(0, len(unseen), 4096):
@@ -98,7 +102,7 @@ class LanguageModel:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def fit(labelled: DataFrame, docs_per_lang: int = 5000, max_words: int = 50_000, max_langs: int = 1000, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def fit(labelled: DataFrame, docs_per_lang: int = 5000, max_words: int = 50_000, max_langs: int = 1000, text_col: str = "text", lang_col: str = "lang", docs_per_task: int = 500) -> LanguageModel:
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs + 1).collect()}
     if len(sizes) > max_langs:
@@ -108,21 +112,21 @@ def fit(labelled: DataFrame, docs_per_lang: int = 5000, max_words: int = 50_000,
     span = 1 << 30
     upto = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(span * min(1.0, docs_per_lang / n)))])
     sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(span)) < F.element_at(upto, F.col("lang"))).distinct()  # a text that fills much of the rows counts once
+    tasks = math.ceil(sum(min(n, docs_per_lang) for n in sizes.values()) / docs_per_task)
+    dealt = sample.repartition(tasks, F.xxhash64("text"))  # by texts, not by their compressed bytes
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got: Counter = Counter()
-            for text, lang in zip(batch["text"], batch["lang"]):
-                for w, k in Counter(tokens(text)).items():
-                    got[lang, w] += k
-            yield pd.DataFrame([(x, w, k) for (x, w), k in got.items()], columns=["lang", "word", "n"])
+            for lang, texts in batch.groupby("lang")["text"]:
+                got: Counter = Counter()
+                for text in texts:
+                    got.update(tokens(text))
+                yield pd.DataFrame({"lang": lang, "word": list(got), "n": list(got.values())})
 
-    words = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = dealt.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     ranked = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= max_words)
-    counts: dict[str, dict[str, int]] = {}
-    for r in ranked.select("lang", "word", "n").toLocalIterator():
-        counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
-    return LanguageModel(counts)
+    kept = ranked.select("lang", "word", "n").toArrow().to_pandas()  # as large as the model
+    return LanguageModel({lang: dict(zip(g["word"], g["n"].tolist())) for lang, g in kept.groupby("lang")})
 
 
 def predict_column(model: LanguageModel, text: Column, spark) -> Column:

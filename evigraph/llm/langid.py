@@ -141,7 +141,90 @@ def predict_column(model: LanguageModel, text: Column, spark) -> Column:
     return predict(text)
 
 
+class Familiar:
+    """Words, and the longest n-grams of words, that several texts have."""
+
+    def __init__(self, words: frozenset[str], parts: frozenset[str]):
+        self.words, self.parts = words, parts
+
+    @staticmethod
+    def split(word: str) -> list[str]:
+        return grams(word, min(GRAMS, len(word) + 2))
+
+    def support(self, text: str | None) -> float | None:
+        """Evidence per word, 0 to 1: a known word counts 1, an unseen one the share of its n-grams that are known; null without a word."""
+        counts = Counter(tokens(text))
+        if not counts:
+            return None
+        got = 0.0
+        for w, k in counts.items():
+            if w in self.words:
+                got += k
+            else:
+                parts = self.split(w)
+                got += k * sum(x in self.parts for x in parts) / len(parts)
+        return got / sum(counts.values())
+
+
+def familiar(docs: DataFrame, texts: int = 20_000, most: int = 200_000, text_col: str = "text", docs_per_task: int = 500) -> Familiar:
+    """From about ``texts`` distinct texts, chosen by a hash; what only one of them has is not evidence, so that junk does not vouch for itself."""
+    n, span = docs.count(), 1 << 30
+    lot = F.pmod(F.xxhash64(text_col, F.lit(4)), F.lit(span)) < int(span * min(1.0, texts / max(n, 1)))
+    sample = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & lot).distinct()
+    dealt = sample.repartition(max(1, math.ceil(min(n, texts) / docs_per_task)), F.xxhash64("text"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words: Counter = Counter()
+            parts: Counter = Counter()
+            for text in batch["text"]:
+                mine = set(tokens(text))
+                words.update(mine)
+                parts.update({x for w in mine for x in Familiar.split(w)})
+            for whole, got in ((True, words), (False, parts)):
+                yield pd.DataFrame({"whole": whole, "x": list(got), "n": list(got.values())}).astype({"whole": bool, "n": "int64"})
+
+    counted = dealt.mapInPandas(count, "whole boolean, x string, n long").groupBy("whole", "x").agg(F.sum("n").alias("n")).filter("n > 1")
+    best = [frozenset(r["x"] for r in counted.filter(F.col("whole") == w).orderBy(F.desc("n"), "x").limit(most).select("x").toLocalIterator()) for w in (True, False)]
+    return Familiar(*best)
+
+
+def support_column(known: Familiar, text: Column, spark) -> Column:
+    shared = spark.sparkContext.broadcast(known)
+
+    @F.pandas_udf("double")
+    def support(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shared.value.support(t) for t in texts], dtype="float64")
+
+    return F.round(support(text), 3)
+
+
+def least_support(docs: DataFrame, support: Column, lang_col: str = "lang") -> dict[str | None, float]:
+    """label -> half of the median support of all texts with that label; null -> half of that of all labelled texts."""
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), support.alias("s")).filter("lang is not null and s is not null")
+    seen: dict[str | None, Counter] = {}
+    for r in rows.groupBy("lang", "s").count().toLocalIterator():  # at most 1001 a label
+        for x in (r["lang"], None):
+            seen.setdefault(x, Counter())[r["s"]] += r["count"]
+    out = {}
+    for x, c in seen.items():
+        left = sum(c.values()) / 2
+        for s in sorted(c):
+            left -= c[s]
+            if left <= 0:
+                out[x] = s / 2
+                break
+    return out
+
+
 def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without those whose text has no language at all; the model is learned from ``docs``."""
-    model = fit(docs, text_col=text_col, lang_col=lang_col)
-    return docs.filter(predict_column(model, F.col(text_col), docs.sparkSession)["lang"] != UNKNOWN) if model.langs else docs.filter(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
+    """``docs`` without those whose text has no letter, or whose evidence per word is less than half of what is usual for
+    their label (without one, for all labelled documents). A label whose own texts share nothing sets no bar."""
+    spark = docs.sparkSession
+    support = support_column(familiar(docs, text_col=text_col), F.col(text_col), spark)
+    bars = least_support(docs, support, lang_col)
+    rest = F.lit(bars.pop(None, 0.0))
+    label = F.col(lang_col).cast("string")
+    bar = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in bars.items() for x in kv]), label), rest) if bars else rest
+    return docs.filter(F.coalesce(support >= bar, F.lit(False)))

@@ -3,7 +3,8 @@
 Base kinds (assign, access, hex) are always reported. Wider kinds (private keys, signed tokens,
 vendor tokens and opaque mixed-case blobs) are candidates only: candidate values of all kinds are
 hashed, the distinct repositories and owners of each hash are counted over the whole corpus, and
-a wide candidate is reported if its value belongs to few of both. What many own is a copied example.
+a wide candidate is reported if its value belongs to one owner, however often that one repeats it, or to few of both. What many own
+is a copied example. Without a column of repositories the distinct texts are them, so that copies of a document are one.
 Base spans of such values are reported as ``live`` as well; others count as examples.
 
 Positions come from the texts between matches: their lengths and those of the matches, summed up.
@@ -47,11 +48,11 @@ def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
     return F.when(text.rlike(pattern), row).otherwise(F.array().cast("array<struct<kind:int,gap:int,span:string,value:string>>"))
 
 
-def candidate_spans(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
+def candidate_spans(docs: DataFrame, id_col: str, text_col: str, repo_col: str | None, owner_col: str) -> DataFrame:
     """doc_id, h (of the text), repo, owner, kind, begin, end, secret (hash of the value)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), text.alias("text"), F.xxhash64(text).alias("h")
+        F.col(id_col).alias("doc_id"), (F.col(repo_col) if repo_col else F.xxhash64(text)).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), text.alias("text"), F.xxhash64(text).alias("h")
     ).filter(text.rlike("|".join(p for _, p, *_ in KINDS)))
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
     per_kind = F.array(*[_matches(F.col("text"), k, p, g) for k, p, g, *_ in KINDS])
@@ -72,11 +73,11 @@ def ownership(spans: DataFrame) -> DataFrame:
     return count("owner").hint("merge").join(count("repo"), "secret")
 
 
-def scan(docs: DataFrame, max_owners: int = 2, max_repos: int = 8, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+def scan(docs: DataFrame, max_owners: int = 2, max_repos: int = 8, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source") -> DataFrame:
     """A row per row of ``docs``: doc_id, spans, an array of struct(begin, kind int, end, live) by begin, kind, end."""
     spans = staged(candidate_spans(docs, id_col, text_col, repo_col, owner_col), "secret-spans")
     owned = staged(ownership(spans), "secret-owned")  # a table, so that adaptive execution can split a value that many rows share
-    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    live = (F.col("owners") == 1) | (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
     base = F.col("kind") < sum(1 for *_, b in KINDS if b)
     judged = spans.hint("merge").join(owned, "secret").select("doc_id", "h", "begin", "kind", "end", live.alias("live")).filter(base | F.col("live"))
     per_doc = judged.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("begin", "kind", "end", "live"))).alias("spans"))

@@ -1,23 +1,27 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are lower-cased and white space is collapsed. A benchmark item is a set of windows of
-``window`` characters, one each ``stride`` (a shorter item is one window). A window occurs in a
-document if some region of it is within ``budget`` edits. By the q-gram lemma such a region
+Texts are lower-cased and white space is collapsed. Every stretch of ``window`` characters of a benchmark
+item is a window, one beginning at each character (an item shorter than ``window`` is one window). A window
+occurs in a document if some region of it is within ``budget`` edits. By the q-gram lemma such a region
 shares at least  w - q + 1 - q * edits  of the window's q-grams on diagonals no further apart than
 the edits, so
 
 1. stretches of the document whose q-grams are in the benchmark that densely are found first,
 2. their hits are counted per item in overlapping diagonal bands (twice as wide as the budget,
    one every budget), and windows that meet the bound are retained,
-3. retained regions are verified by banded alignment.
+3. retained regions are verified by banded alignment, from the item's first window on.
 
-The benchmark is the stated query set: it is dealt into blocks of at most ``block_chars``
-characters by a hash of the item id, each block is broadcast and held against all documents.
+No item is left out for its length: one of fewer than ``exact_below`` characters, where a few edits make
+another phrase of it, occurs if a document has it word for word (no letter or digit right before or after).
 
-Nulls: null texts, and items shorter than ``min_chars`` after normalisation (too short to tell
-a leak from common wording), match nothing. Equal items are reported each under its id; a null
-item id is reported as null. Repeated documents are reported each. Empty tables give an empty
-result. Extra columns are ignored.
+The benchmark is the stated query set. It is held against all documents in blocks of at most ``block_chars``
+characters, one block after another: each is broadcast, its result is written, and it is released before the
+next one is read. An item longer than ``piece_chars`` is cut into pieces that share ``window`` - 1
+characters, so that no window is lost; its pieces are reported each.
+
+Nulls: null texts match nothing, and so do items that are null or blank. Equal items are reported each under their id; a
+null item id is reported as null. Ids of any type are carried through unchanged. Repeated documents are
+reported each. Empty tables give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +29,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from ..plans.scratch import staged
 
 Q = 8
-SCHEMA = "doc_id long, item_id long, item_start int, doc_start int, edits int"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,6 +62,19 @@ def gram_hashes(points: np.ndarray) -> np.ndarray:
     return h
 
 
+def slice_hashes(points: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of points[b : b + length] for each b of ``begin``, which may reach over the ends: two overlapping
+    stretches of a power of two, each hashed by doublings."""
+    pad = np.full(length, 0xFFFFFFFF, np.uint64)
+    h, step = np.concatenate([pad, points.astype(np.uint64), pad]), 1
+    while 2 * step <= length:
+        h = (h[:-step] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (h[step:] * _MIX)
+        h ^= h >> np.uint64(29)
+        step *= 2
+    at = np.clip(begin + length, 0, len(h) - 1)
+    return h[at] * np.uint64(0x100000001B3) ^ h[np.clip(at + length - step, 0, len(h) - 1)] * np.uint64(0x165667B19E3779F9)
+
+
 def banded_edits(pattern: np.ndarray, starts: np.ndarray, w: int, text: np.ndarray, low: np.ndarray, width: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Banded alignment of many candidates at once.
 
@@ -92,22 +113,24 @@ def banded_edits(pattern: np.ndarray, starts: np.ndarray, w: int, text: np.ndarr
 
 
 class BenchmarkIndex:
-    """The windows and q-grams of some items."""
-
-    def __init__(self, items: list[tuple[int | None, str]], window: int, stride: int, budget: float, min_chars: int):
-        self.items = []
-        for item_id, text in items:
-            points = code_points(normalise(text))
-            if len(points) < max(min_chars, Q):
+    """The windows and q-grams of some items: (key, text, place of the text in its item)."""
+
+    def __init__(self, items: list[tuple], window: int = 80, budget: float = 0.075, exact_below: int = 40):
+        self.items, self.short = [], {}
+        for key, text, offset in items:
+            text = normalise(text)
+            if len(text) < max(exact_below, Q) and not offset:
+                if text:
+                    self.short.setdefault(text, []).append(key)
                 continue
+            points = code_points(text)
             w = min(window, len(points))
             edits = min(int(budget * w), (w - Q) // Q)
-            starts = sorted({*range(0, len(points) - w + 1, stride), len(points) - w})
-            self.items.append((item_id, points, w, edits, w - Q + 1 - Q * edits, starts))
+            self.items.append((key, points, w, edits, w - Q + 1 - Q * edits, offset))
         hashes = [gram_hashes(x[1]) for x in self.items]
         every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        owner = np.concatenate([np.full(len(h), i) for i, h in enumerate(hashes)]) if hashes else np.zeros(0, int)
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, int)
+        owner = np.concatenate([np.full(len(h), i, np.int32) for i, h in enumerate(hashes)]) if hashes else np.zeros(0, np.int32)
+        place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes]) if hashes else np.zeros(0, np.int32)
         order = np.argsort(every, kind="stable")
         self.hashes, self.owner, self.place = every[order], owner[order], place[order]
         self.bits = max(16, min(24, int(math.log2(len(every) + 1)) + 5))
@@ -115,18 +138,43 @@ class BenchmarkIndex:
         self.filter[(self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)] = True
         self.least = min((x[4] for x in self.items), default=0)
         self.reach = max((x[2] + x[3] for x in self.items), default=0)
+        self._words = None
 
-    def find(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
-        """(item id, window start, document start, edits): for each item its first window that occurs, where it does first."""
-        if not self.items or not text:
+    def find(self, text: str | None, any_one: bool = False) -> list[tuple]:
+        """(key, window start, document start, edits): for each item its first window that occurs, where it does first.
+        With ``any_one`` the search ends at the first item found."""
+        line = normalise(text)
+        if not line:
             return []
-        points = code_points(normalise(text))
-        if len(points) < Q:
+        out = self._exact(line)
+        if out and any_one:
+            return out
+        return out + [(self.items[k][0], self.items[k][5] + s, *rest) for k, (s, *rest) in sorted(self._similar(line, any_one).items())]
+
+    def _exact(self, line: str) -> list[tuple]:
+        if not self.short:
             return []
+        if self._words is None:  # in the worker that needs it
+            self._words = ahocorasick.Automaton()
+            for t in self.short:
+                self._words.add_word(t, t)
+            self._words.make_automaton()
+        seen: dict[str, int] = {}
+        for end, t in self._words.iter(line):
+            begin = end + 1 - len(t)
+            if t not in seen and not line[begin - 1 : begin].isalnum() and not line[end + 1 : end + 2].isalnum():
+                seen[t] = begin
+        return [(key, 0, begin, 0) for t, begin in seen.items() for key in self.short[t]]
+
+    def _similar(self, line: str, any_one: bool) -> dict[int, tuple[int, int, int]]:
+        found: dict[int, tuple[int, int, int]] = {}
+        if not self.items or len(line) < Q:
+            return found
+        points = code_points(line)
         hashes = gram_hashes(points)
         hit = np.flatnonzero(self.filter[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)])
         if len(hit) < self.least:
-            return []
+            return found
         if self.least > 1:  # hits with enough others within reach, before or after
             n = self.least - 1
             close = hit[n:] - hit[:-n] <= self.reach
@@ -135,45 +183,61 @@ class BenchmarkIndex:
             np.add.at(mark, first, 1)
             np.add.at(mark, first + n + 1, -1)
             hit = hit[np.cumsum(mark[:-1]) > 0]
-        found: dict[int, tuple[int, int, int]] = {}
+        failed: dict[int, np.ndarray] = {}  # item -> hashes of what was aligned in vain
         size = 1 << 14
         i = 0
-        while i < len(hit):  # in pieces, each with what lies within reach beyond its end
+        while i < len(hit) and not (found and any_one):  # in pieces, each with what lies within reach beyond its end
             j = int(np.searchsorted(hit, hit[i] + size + 2 * self.reach))
-            self._piece(points, hashes, hit[i:j], found)
+            self._piece(points, hashes, hit[i:j], found, failed, any_one)
             i = int(np.searchsorted(hit, hit[i] + size))
-        return sorted(((self.items[k][0], *v) for k, v in found.items()), key=lambda x: (x[0] is None, x[0]))
+        return found
 
-    def _piece(self, points: np.ndarray, hashes: np.ndarray, hit: np.ndarray, found: dict[int, tuple[int, int, int]]) -> None:
+    def _piece(self, points: np.ndarray, hashes: np.ndarray, hit: np.ndarray, found: dict[int, tuple[int, int, int]], failed: dict[int, np.ndarray], any_one: bool) -> None:
         left, right = np.searchsorted(self.hashes, hashes[hit]), np.searchsorted(self.hashes, hashes[hit], side="right")
         n = right - left
         if n.sum() < self.least:
             return
         where = np.repeat(hit, n)
         entry = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        owner, place = self.owner[entry], self.place[entry]
+        owner, place = self.owner[entry], self.place[entry].astype(np.int64)
         order = np.argsort(owner, kind="stable")
         where, owner, place = where[order], owner[order], place[order]
         cuts = np.flatnonzero(np.diff(owner)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(owner)]):
-            _, pattern, w, edits, need, starts = self.items[owner[a]]
+            _, pattern, w, edits, need, _ = self.items[owner[a]]
             if b - a < need:
                 continue
             step, k = max(1, edits), int(owner[a])
-            tried = [self._retained(where[a:b] - place[a:b], place[a:b], shift, step, starts, w - Q, need) for shift in (0, 1)]
+            tried = [self._retained(where[a:b] - place[a:b], place[a:b], shift, step, len(pattern) - w + 1, w - Q, need) for shift in (0, 1)]
             begin, low = (np.concatenate(x) for x in zip(*tried))
             if k in found:
                 low, begin = low[begin <= found[k][0]], begin[begin <= found[k][0]]
-            for j in range(0, len(begin), 4096):
-                s, d = begin[j : j + 4096], low[j : j + 4096] - edits
-                cost, at = banded_edits(pattern, s, w, points, s + d, 2 * (step + edits), edits)
+            order = np.lexsort((low, begin))
+            begin, low = begin[order], low[order]
+            width, keys = 2 * (step + edits), np.zeros(0, np.uint64)
+            if len(begin) > 256:  # repeated lines: the same window against the same characters is aligned once
+                keys = slice_hashes(points, begin + low - edits, w + width) + begin.astype(np.uint64) * _MIX
+                first = np.sort(np.unique(keys, return_index=True)[1])
+                if k in failed:
+                    first = first[~np.isin(keys[first], failed[k])]
+                begin, low, keys = begin[first], low[first], keys[first]
+            j, size = 0, 16
+            while j < len(begin):  # whole window starts at a time; the first that occurs ends the search
+                end = int(np.searchsorted(begin, begin[min(j + size, len(begin)) - 1], side="right"))
+                s, d = begin[j:end], low[j:end] - edits
+                cost, at = banded_edits(pattern, s, w, points, s + d, width, edits)
                 hits = np.flatnonzero(cost <= edits)
-                found[k] = min([(int(s[x]), int(at[x]), int(cost[x])) for x in hits] + ([found[k]] if k in found else []), default=None)
-                if found[k] is None:
-                    del found[k]
+                if len(hits):
+                    got = min((int(s[x]), int(at[x]), int(cost[x])) for x in hits)
+                    found[k] = min(got, found.get(k, got))
+                    break
+                j, size = end, min(2 * size, 4096)
+            failed[k] = np.concatenate([failed.get(k, keys[:0]), keys[:j]])
+            if any_one and found:
+                return
 
     @staticmethod
-    def _retained(diagonal: np.ndarray, at: np.ndarray, shift: int, step: int, starts: list[int], span: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    def _retained(diagonal: np.ndarray, at: np.ndarray, shift: int, step: int, n_starts: int, span: int, need: int) -> tuple[np.ndarray, np.ndarray]:
         """Windows that meet the bound in a band: (window start, lowest diagonal). Bands are two steps wide; the
         two shifts together begin one at every step."""
         band = (diagonal // step + shift) // 2
@@ -183,54 +247,97 @@ class BenchmarkIndex:
         fresh[1:] = (band[1:] != band[:-1]) | (at[1:] != at[:-1])
         band, at = band[fresh], at[fresh]
         names, first, count = np.unique(band, return_index=True, return_counts=True)
-        begin, low = [], []
+        begin, low = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for name, i, n in zip(names[count >= need], first[count >= need], count[count >= need]):
             mine = at[i : i + n]
-            got = [s for s in starts if np.searchsorted(mine, s + span, side="right") - np.searchsorted(mine, s) >= need]
-            begin += got
-            low += [int((2 * name - shift) * step)] * len(got)
-        return np.array(begin, np.int64), np.array(low, np.int64)
-
-
-def blocks(benchmark: DataFrame, window: int = 80, stride: int = 20, budget: float = 0.075, min_chars: int = 40, block_chars: int = 4_000_000, id_col: str = "item_id", text_col: str = "text") -> Iterator[BenchmarkIndex]:
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).filter("text is not null")
+            close = np.flatnonzero(mine[need - 1 :] - mine[: n - need + 1] <= span)  # that many hits fit into one window
+            mark = np.zeros(n_starts + 1, np.int64)  # it may begin from where it still holds the last of them up to the first
+            np.add.at(mark, np.clip(mine[close + need - 1] - span, 0, n_starts), 1)
+            np.add.at(mark, np.minimum(mine[close] + 1, n_starts), -1)
+            got = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+            begin.append(got)
+            low.append(np.full(len(got), (2 * name - shift) * step, np.int64))
+        return np.concatenate(begin), np.concatenate(low)
+
+
+def _pieces(benchmark: DataFrame, id_col: str, text_col: str, window: int, piece_chars: int) -> DataFrame:
+    """id, offset, text: normalised items, the very long ones in overlapping pieces; staged."""
+    rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    schema = StructType([rows.schema["id"], StructField("offset", IntegerType()), rows.schema["text"]])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, offsets, texts = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                line = normalise(text)
+                for begin in range(0, max(1, len(line) - window + 1), piece_chars - window + 1):
+                    at.append(i)
+                    offsets.append(begin)
+                    texts.append(line[begin : begin + piece_chars])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(offsets, pa.int32()), pa.array(texts, pa.string())], names=schema.names)
+
+    return staged(rows.mapInArrow(cut, schema).filter("text <> ''"), "benchmark-pieces")
+
+
+def blocks(benchmark: DataFrame, window: int = 80, budget: float = 0.075, exact_below: int = 40, block_chars: int = 4_000_000, piece_chars: int = 100_000, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[BenchmarkIndex, pa.Array, bool]]:
+    """(index, ids of its keys, whether it is the last), each of about ``block_chars`` characters at most."""
+    rows = _pieces(benchmark, id_col, text_col, window, piece_chars)
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_chars * (1 if total <= block_chars else 1.25)))
+    n = math.ceil(total / block_chars * (1 if total <= block_chars else 1.25))
     for i in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else rows
-        yield BenchmarkIndex([tuple(r) for r in part.collect()], window, stride, budget, min_chars)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """A row for every document and benchmark item of which a window occurs in it."""
-    spark, out = docs.sparkSession, None
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    for index in blocks(benchmark, **settings):
-        shared = spark.sparkContext.broadcast(index)
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        part = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i) if n > 1 else rows
+        got = part.toArrow().combine_chunks()
+        items = list(zip(range(got.num_rows), got["text"].to_pylist(), got["offset"].to_pylist()))
+        yield BenchmarkIndex(items, window, budget, exact_below), got["id"].combine_chunks() if got.num_rows else pa.array([], got["id"].type), i == n - 1
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", **settings) -> DataFrame:
+    """A row for every document and benchmark item of which a window occurs in it: doc_id, item_id, item_start, doc_start,
+    edits, the places being those in the normalised texts. More than one block is worked off at once, each result being staged."""
+    spark, parts = docs.sparkSession, []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    item_id = benchmark.schema[item_id_col].dataType
+    schema = StructType([rows.schema["doc_id"], StructField("item_id", item_id), *[StructField(c, IntegerType()) for c in ("item_start", "doc_start", "edits")]])
+    for index, ids, last in blocks(benchmark, id_col=item_id_col, **settings):
+        shared = spark.sparkContext.broadcast((index, ids))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held, names = shared.value
             for batch in batches:
-                got = [(d, *x) for d, t in zip(batch["doc_id"].astype(object), batch["text"]) for x in shared.value.find(t)]
-                frame = pd.DataFrame(got, columns=["doc_id", "item_id", "item_start", "doc_start", "edits"])
-                yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
-
-        part = rows.mapInPandas(search, SCHEMA)
-        out = part if out is None else out.unionByName(part)
+                got = [(i, *x) for i, t in enumerate(batch.column(1).to_pylist()) for x in held.find(t)]
+                row, key, *places = zip(*got) if got else [()] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row, pa.int64())), names.take(pa.array(key, pa.int64())), *[pa.array(p, pa.int32()) for p in places]], names=schema.names
+                )
+
+        part = rows.mapInArrow(search, schema)
+        if not (last and not parts):
+            part = staged(part, "leaks")
+            shared.destroy()
+        parts.append(part)
+    if not parts:
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
-def leaks_column(spark: SparkSession, benchmark: DataFrame, text: Column, **settings) -> Column:
-    """Whether any benchmark window occurs in the text."""
-    out = F.lit(False)
-    for index in blocks(benchmark, **settings):
-        out = out | _leaks_in(spark.sparkContext.broadcast(index))(text)
-    return out
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **settings) -> DataFrame:
+    """``docs`` without those in which a window of a benchmark item occurs; a null text stays."""
+    for index, _, last in blocks(benchmark, **settings):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.filter(~_leaks_in(shared)(F.col(text_col).cast("string")))
+        if not last:  # one block in memory at a time
+            docs = staged(docs, "decontaminated")
+            shared.destroy()
+    return docs
 
 
 def _leaks_in(shared):
     @F.pandas_udf("boolean")
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([bool(shared.value.find(t)) for t in texts], dtype=bool)
+            yield pd.Series([bool(shared.value.find(t, any_one=True)) for t in texts], dtype=bool)
 
     return leaks

@@ -5,8 +5,9 @@ with its closing slash); a rule whose path ends inside a segment keeps the rest
 the next one. A rule fits its host and every subdomain if the url's path starts with its path.
 Of the rules that fit, the longest (host and path together, then the longer host) decides.
 
-The rules are counted before they are broadcast; beyond ``max_rules`` the same answer comes from
-an equi-join of every url's host suffixes and path prefixes with the rule table.
+A node finds the rest of a segment by one look-up for each length that its rules have, so many rules on one host cost no more
+than a segment is long. The rules' bytes are summed before they are broadcast; beyond ``max_bytes`` the same answer comes from
+equi-joins: host suffixes with the hosts of the rules, then path prefixes, of the lengths that this host's rules have, with the rules.
 
 Nulls: a null url, or one without ``://``, has an empty host and path, fits no rule and gets the
 default verdict. Rules with a null host are dropped; a null path is the empty path. Of repeated
@@ -15,12 +16,15 @@ rules for one host and path ``block`` wins. Extra columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import staged
+
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -40,11 +44,12 @@ def segments(path: str) -> list[str]:
 
 
 class _Path:
-    __slots__ = ("children", "ends")
+    __slots__ = ("children", "ends", "lengths")
 
     def __init__(self) -> None:
         self.children: dict[str, _Path] = {}
         self.ends: dict[str, tuple[int, int, str, str]] = {}  # rest of a segment -> (length, host length, rule, verdict)
+        self.lengths: list[int] = []  # of the rests, ascending
 
 
 class _Host:
@@ -70,6 +75,9 @@ class UrlTrie:
                     at = at.children.setdefault(part, _Path())
                 else:
                     rest = part
+            i = bisect_left(at.lengths, len(rest))
+            if at.lengths[i : i + 1] != [len(rest)]:
+                at.lengths.insert(i, len(rest))
             if at.ends.get(rest, ("",) * 4)[3] != "block":
                 at.ends[rest] = (len(host) + len(path), len(host), host + path, verdict)
 
@@ -83,18 +91,20 @@ class UrlTrie:
             at, i = node.paths, 0
             while at is not None:
                 nxt = parts[i] if i < len(parts) else ""
-                for rest, rule in at.ends.items():
-                    if nxt.startswith(rest) and (best is None or rule > best):
-                        best = rule
+                for n in reversed(at.lengths[: bisect_right(at.lengths, len(nxt))]):
+                    rule = at.ends.get(nxt[:n])
+                    if rule:  # the longest of this node
+                        best = rule if best is None else max(best, rule)
+                        break
                 at, i = at.children.get(nxt), i + 1
         return best and best[2:]
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", max_rules: int = 1_000_000, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", max_bytes: int = 32 << 20, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule (null if none fits), verdict. ``rules``: verdict, host, path."""
     split = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     rules = rules.filter("host is not null").select("verdict", lower_ascii(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
-    if rules.count() > max_rules:
+    if (rules.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0) > max_bytes:
         return judge_by_join(split, rules, default)
     trie = pages.sparkSession.sparkContext.broadcast(UrlTrie([tuple(r) for r in rules.collect()]))
 
@@ -107,17 +117,18 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", max_rules:
 
 
 def judge_by_join(split: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same for rule tables too large to broadcast: distinct (host, path) once, joined by key."""
+    """The same for rule tables too large to broadcast: distinct (host, path) once, joined by key. Only suffixes with as few labels as
+    the hosts of the rules have are made, and only prefixes of the lengths that the rules of the met host have."""
     urls = split.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    lengths = rules.select(F.length("path").alias("n")).distinct()
-    prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substring("path", 1, i))
-    known = [r["n"] for r in lengths.limit(2049).collect()]
-    if len(known) <= 2048:  # only prefixes of a length that some rule has
-        prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in sorted(known)]), lambda n: n <= F.length("path")), lambda n: F.substring("path", 1, n))
-    keys = urls.withColumn("rule_host", F.explode(suffixes)).withColumn("rule_path", F.explode(prefixes))
-    one = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
+    deepest = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
+    shallow = F.sequence(F.greatest(F.lit(1), F.size(labels) - deepest + 1), F.size(labels))
+    suffixes = F.transform(shallow, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    one = staged(rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict"), "url-rules")
+    hosts = one.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    met = urls.withColumn("rule_host", F.explode(suffixes)).join(hosts.hint("merge"), "rule_host")
+    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    keys = met.withColumn("rule_path", F.explode(F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n)))).drop("lengths")
     rank = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")
     best = keys.join(one.hint("merge"), ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max(rank).alias("best"))
     return split.join(best.hint("merge"), ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -7,7 +7,9 @@ a wide candidate is reported if its value belongs to one owner, however often th
 is a copied example. Without a column of repositories the distinct texts are them, so that copies of a document are one.
 Base spans of such values are reported as ``live`` as well; others count as examples.
 
-Positions come from the texts between matches: their lengths and those of the matches, summed up.
+Positions come from the texts between matches: their lengths and those of the matches, summed up. A wide span that
+overlaps a base span of its text is dropped; spans are met in order of their places, forwards and backwards. All patterns
+take time in proportion to the text: a run of characters is entered where it begins only.
 
 Nulls: a null text is empty and has no span; a null owner or repository counts as one more of its
 kind. Repeated rows with equal id and text are reported each, with the same spans. Extra columns
@@ -30,12 +32,14 @@ def _either_case(word: str) -> str:
 KINDS = (
     ("assign", "(" + "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     ("access", "AKIA[A-Z0-9]+", 0, 20, True),
-    ("hex", "[0-9a-f]{24,}", 0, 24, True),
+    ("hex", "(?<![0-9a-f])[0-9a-f]{24,}", 0, 24, True),
     ("pem", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\n\r ]{16,}", 0, 44, False),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 29, False),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}", 0, 29, False),
     ("vendor", "(ghp_|gho_|ghs_|sk_live_|rk_live_|xoxb-|xoxp-|AIza)[A-Za-z0-9_-]{16,}", 0, 20, False),
-    ("blob", "[A-Za-z0-9+/_-]{32,}", 0, 32, False),
+    ("blob", "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}", 0, 32, False),
 )
+#: What any text with a match of any kind has: a long run (hex and blob), or the beginning of another kind.
+ANY = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}|eyJ|AKIA|-----BEGIN |" + KINDS[5][1] + "|" + KINDS[0][1]
 NAMES = [k for k, *_ in KINDS]
 
 
@@ -53,7 +57,7 @@ def candidate_spans(docs: DataFrame, id_col: str, text_col: str, repo_col: str |
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.col(repo_col) if repo_col else F.xxhash64(text)).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), text.alias("text"), F.xxhash64(text).alias("h")
-    ).filter(text.rlike("|".join(p for _, p, *_ in KINDS)))
+    ).filter(text.rlike(ANY))
     rows = rows.withColumn("rid", F.monotonically_increasing_id())
     per_kind = F.array(*[_matches(F.col("text"), k, p, g) for k, p, g, *_ in KINDS])
     found = rows.select("doc_id", "h", "repo", "owner", "rid", F.explode(per_kind).alias("m")).select("doc_id", "h", "repo", "owner", "rid", F.posexplode("m").alias("i", "m")).select("doc_id", "h", "repo", "owner", "rid", "i", "m.*")
@@ -79,13 +83,13 @@ def scan(docs: DataFrame, max_owners: int = 2, max_repos: int = 8, id_col: str =
     owned = staged(ownership(spans), "secret-owned")  # a table, so that adaptive execution can split a value that many rows share
     live = (F.col("owners") == 1) | (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
     base = F.col("kind") < sum(1 for *_, b in KINDS if b)
-    judged = spans.hint("merge").join(owned, "secret").select("doc_id", "h", "begin", "kind", "end", live.alias("live")).filter(base | F.col("live"))
-    per_doc = judged.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("begin", "kind", "end", "live"))).alias("spans"))
-    n_base = sum(1 for *_, b in KINDS if b)
-    known = F.filter("spans", lambda s: s["kind"] < n_base)
-    apart = lambda s: ~F.exists(known, lambda b: (b["begin"] < s["end"]) & (s["begin"] < b["end"]))
-    wide = F.exists("spans", lambda s: s["kind"] >= n_base)
-    per_doc = per_doc.withColumn("spans", F.when(wide, F.filter("spans", lambda s: (s["kind"] < n_base) | apart(s))).otherwise(F.col("spans")))
+    judged = spans.hint("merge").join(owned, "secret").select("doc_id", "h", "begin", "kind", "end", live.alias("live")).filter(base | F.col("live")).distinct()
+    forth = Window.partitionBy("doc_id", "h").orderBy("begin", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("doc_id", "h").orderBy(F.desc("begin"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    reach, following = F.max(F.when(base, F.col("end"))).over(forth), F.min(F.when(base, F.col("begin"))).over(back)
+    met = judged.withColumn("reach", reach).withColumn("following", following)
+    apart = F.coalesce(F.col("reach") <= F.col("begin"), F.lit(True)) & F.coalesce(F.col("following") >= F.col("end"), F.lit(True))
+    per_doc = met.filter(base | apart).groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("begin", "kind", "end", "live"))).alias("spans"))
     ids = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
     right = per_doc.withColumnsRenamed({"doc_id": "__id", "h": "__h"})
     empty = F.array().cast("array<struct<begin:bigint,kind:int,end:bigint,live:boolean>>")

@@ -1,14 +1,20 @@
 """Language identification with word-first backoff.
 
-The model holds each language's word counts and, from the same words, its character n-gram
-counts. A word that any language knows is scored by its log frequency in each; an unseen word
-falls back to its 4-grams, and as long as none of them is known to 3-, 2- and 1-grams.
-
-The model is fitted on about ``docs_per_lang`` texts a language at most, chosen by a hash of the
-text, equal ones once, and keeps at most ``max_words`` words a language; it is broadcast, and these two bound it.
+The model holds, for each language, the counts of all its words and of their character n-grams. A word that any
+language knows is scored by its log frequency in each; an unseen word falls back to its 4-grams, and as long as none of
+them is known to 3-, 2- and 1-grams. Words and n-grams are kept by 64-bit hashes with the languages that have them, so the model
+grows with what was seen and not with the number of languages.
+
+The model is fitted on a bounded sample of the labelled texts: about ``docs_per_lang`` a language, chosen by a hash of the
+text, equal ones once. All words and n-grams of the sample are kept and counted by Spark. If they
+are more than ``max_entries`` (22 bytes each, broadcast and held by the driver), the sample is halved until they fit.
 Scoring reads whole texts.
 
-Nulls: a null text or one without a letter is ``und`` with score 0, and so is everything if there
+``evidence`` says how much of a text its language explains, 0 to 1: a word that at least two of the sampled texts of the
+predicted language have counts 1, another word the share of its 4-grams that at least two of them have. So junk does not vouch
+for itself.
+
+Nulls: a null text or one without a letter is ``und`` with score 0 and without evidence, and so is everything if there
 is nothing to learn from; rows without lang are not learned from. Ties go to the first language in
 code-point order. Extra columns are ignored, repeated rows are scored alike.
 """
@@ -19,16 +25,20 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from ..plans.scratch import staged
 
 TOKEN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 GRAMS = 4
+WORD = 0  # the order of whole words
+CACHE = 400_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -44,187 +54,203 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def _signed(key: str) -> int:
+    h = xxh64_intdigest(key.encode())
+    return h - (1 << 64) if h >> 63 else h
+
+
+class _Table:
+    """Log frequencies of the keys of one order: rows of (language, what it has over an unseen key), and which are shared by texts."""
+
+    def __init__(self, keys: np.ndarray, langs: np.ndarray, n: np.ndarray, shared: np.ndarray, n_langs: int):
+        order = np.lexsort((langs, keys))
+        keys, self.langs, n, self.shared = keys[order], langs[order].astype(np.int32), n[order].astype(np.float64), shared[order]
+        self.keys, self.first = np.unique(keys, return_index=True)
+        self.last = np.append(self.first[1:], len(keys)).astype(np.int64)
+        self.gain = (np.log(n + 0.5) - np.log(0.5)).astype(np.float32)
+        totals = np.bincount(self.langs, n, n_langs) + 0.5 * (len(self.keys) + 1)
+        self.base = np.log(0.5) - np.log(totals)  # the log frequency of a key that a language doesn't have
+        self.n_langs = n_langs
+        self.pairs = np.repeat(np.arange(len(self.keys)), self.last - self.first) * n_langs + self.langs  # (row, language), ascending
+        self.cache: dict[str, int] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "cache": {}}
+
+    def find(self, keys: list[str]) -> list[int]:
+        """The row of each key, -1 if no language has it."""
+        cache, new = self.cache, []
+        out = [cache.get(k) for k in keys]
+        new = [i for i, x in enumerate(out) if x is None]
+        if new and len(self.keys):
+            hashes = np.fromiter((_signed(keys[i]) for i in new), np.int64, len(new))
+            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            at = np.where(self.keys[at] == hashes, at, -1)
+            if len(cache) > CACHE:
+                cache.clear()
+            for i, x in zip(new, at.tolist()):
+                out[i] = cache[keys[i]] = x
+        return out if len(self.keys) else [-1] * len(keys)
+
+    def score(self, rows: np.ndarray, weight: np.ndarray, n_langs: int) -> np.ndarray:
+        """The weighted sum of the rows' log frequencies in each language."""
+        size = self.last[rows] - self.first[rows]
+        at = np.repeat(self.first[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.langs[at], np.repeat(weight, size) * self.gain[at], n_langs) + weight.sum() * self.base
+
+    def shared_by(self, rows: np.ndarray, lang: int) -> np.ndarray:
+        """Whether several texts of a language have the key in each row; rows may be -1."""
+        if not len(self.pairs):
+            return np.zeros(len(rows), bool)
+        want = rows * self.n_langs + lang
+        at = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
+        return (rows >= 0) & (self.pairs[at] == want) & self.shared[at]
+
+
 class LanguageModel:
-    def __init__(self, counts: dict[str, dict[str, int]]):
-        self.langs = sorted(counts)
-        self.words = self._logs([counts[x] for x in self.langs])
-        self.parts = {}
-        for n in range(1, GRAMS + 1):
-            per_lang = []
-            for x in self.langs:
-                c: Counter = Counter()
-                for w, k in counts[x].items():
-                    for g in grams(w, n):
-                        c[g] += k
-                per_lang.append(c)
-            self.parts[n] = self._logs(per_lang)
-
-    @staticmethod
-    def _logs(per_lang: list[dict[str, int]]) -> tuple[dict[str, int], np.ndarray]:
-        """(key -> row, log frequency of each row in each language)"""
-        rows = {k: i for i, k in enumerate(sorted({k for c in per_lang for k in c}))}
-        n = np.array([[c.get(k, 0) for c in per_lang] for k in rows], dtype=np.float32).reshape(len(rows), len(per_lang))
-        return rows, (np.log(n + 0.5) - np.log(n.sum(axis=0) + 0.5 * (len(rows) + 1))).astype(np.float32)
+    """Built from (order, key hash, language, count, number of texts), order 0 being words."""
+
+    def __init__(self, langs: list[str], order: np.ndarray, key: np.ndarray, lang: np.ndarray, n: np.ndarray, texts: np.ndarray):
+        self.langs, size = langs, len(langs)
+        self.tables = [_Table(key[order == k], lang[order == k], n[order == k], texts[order == k] > 1, size) for k in range(GRAMS + 1)]
+
+    @classmethod
+    def from_counts(cls, counts: dict[str, dict[str, int]]) -> LanguageModel:
+        """From language -> word -> count."""
+        rows = [(k, _signed(x), i, c) for i, lang in enumerate(sorted(counts)) for w, c in counts[lang].items() for k in range(GRAMS + 1) for x in ([w] if k == WORD else grams(w, k))]
+        frame = pd.DataFrame(rows, columns=["order", "key", "lang", "n"]).groupby(["order", "key", "lang"], as_index=False)["n"].sum()
+        return cls(sorted(counts), *[frame[c].to_numpy(np.int64) for c in ("order", "key", "lang", "n", "n")])
 
     def backoff(self, unseen: list[tuple[str, int]]) -> np.ndarray:
         """The score of unseen words with their counts: each word's longest n-grams that any language knows, averaged."""
         score = np.zeros(len(self.langs))
         for n in range(GRAMS, 0, -1):
-            rows, logs = self.parts[n]
-            at, share, rest = [], [], []
-            for w, k in unseen:
-                known = [rows[g] for g in grams(w, n) if g in rows]
-                if known:
-                    at += known
-                    share += [k / len(known)] * len(known)
-                else:
-                    rest.append((w, k))
-            if at:
-                score += np.array(share) @ logs[at]
-            unseen = rest
+            parts = [grams(w, n) for w, _ in unseen]
+            rows = np.array(self.tables[n].find([g for p in parts for g in p]), np.int64)
+            word = np.repeat(np.arange(len(unseen)), [len(p) for p in parts])[rows >= 0]
+            known = np.bincount(word, minlength=len(unseen))
+            if len(word):
+                times = np.array([k for _, k in unseen], np.float64)
+                score += self.tables[n].score(rows[rows >= 0], (times / np.maximum(known, 1))[word], len(self.langs))
+            unseen = [u for u, k in zip(unseen, known) if not k]
+            if not unseen:
+                break
         return score
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, share of the posterior; the evidence counts as 30 words at most)."""
+    def assess(self, text: str | None, with_evidence: bool = True) -> tuple[str, float, float | None]:
+        """(language, share of the posterior, evidence); the score takes the evidence of 30 words at most."""
         counts = Counter(tokens(text))
         if not counts or not self.langs:
-            return UNKNOWN, 0.0
-        rows, logs = self.words
-        times = np.fromiter(counts.values(), np.float64, len(counts))
-        at = np.fromiter(map(rows.get, counts, repeat(-1)), np.int64, len(counts))
-        score = times[at >= 0] @ logs[at[at >= 0]].astype(np.float64)
-        unseen = [x for x, i in zip(counts.items(), at) if i < 0]
+            return UNKNOWN, 0.0, None
+        words, times = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
+        rows = np.array(self.tables[WORD].find(words), np.int64)
+        score = self.tables[WORD].score(rows[rows >= 0], times[rows >= 0], len(self.langs))
+        unseen = [(words[i], int(times[i])) for i in np.flatnonzero(rows < 0)]
         for i in range(0, len(unseen), 4096):
             score = score + self.backoff(unseen[i : i + 4096])
         score = score * (min(times.sum(), 30) / times.sum())
         odds = np.exp(score - score.max())
         best = int(np.argmax(odds))
-        return self.langs[best], float(odds[best] / odds.sum())
+        return self.langs[best], float(odds[best] / odds.sum()), self._evidence(words, times, rows, best) if with_evidence else None
+
+    def _evidence(self, words: list[str], times: np.ndarray, rows: np.ndarray, lang: int) -> float:
+        got = self.tables[WORD].shared_by(rows, lang).astype(np.float64)
+        rest = np.flatnonzero(got == 0)
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            parts = [grams(words[j], min(GRAMS, len(words[j]) + 2)) for j in part]
+            size = np.array([len(p) for p in parts])
+            short = np.array([len(words[j]) + 2 < GRAMS for j in part])  # a single letter, whole: seen as a word or not at all
+            found = np.array(self.tables[GRAMS].find([g for p in parts for g in p]), np.int64)
+            hits = np.bincount(np.repeat(np.arange(len(part)), size), self.tables[GRAMS].shared_by(found, lang), len(part))
+            got[part] = np.where(short, 0.0, hits / size)
+        return float(got @ times / times.sum())
 
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.assess(text, with_evidence=False)[:2]
 
-def fit(labelled: DataFrame, docs_per_lang: int = 5000, max_words: int = 50_000, max_langs: int = 1000, text_col: str = "text", lang_col: str = "lang", docs_per_task: int = 500) -> LanguageModel:
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs + 1).collect()}
-    if len(sizes) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    if not sizes:
-        return LanguageModel({})
-    span = 1 << 30
-    upto = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(span * min(1.0, docs_per_lang / n)))])
-    sample = rows.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(span)) < F.element_at(upto, F.col("lang"))).distinct()  # a text that fills much of the rows counts once
-    tasks = math.ceil(sum(min(n, docs_per_lang) for n in sizes.values()) / docs_per_task)
-    dealt = sample.repartition(tasks, F.xxhash64("text"))  # by texts, not by their compressed bytes
+
+def _entries(sample: DataFrame, n_tasks: int) -> DataFrame:
+    """(text, lang) -> lang, order, key, n (count), texts (how many have it; words and 4-grams only); staged."""
+    dealt = sample.repartition(n_tasks, F.xxhash64("text"))  # by texts, not by their compressed bytes
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                got: Counter = Counter()
+                n: Counter = Counter()
+                having: Counter = Counter()
+                having_part: Counter = Counter()
                 for text in texts:
-                    got.update(tokens(text))
-                yield pd.DataFrame({"lang": lang, "word": list(got), "n": list(got.values())})
-
-    words = dealt.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    ranked = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= max_words)
-    kept = ranked.select("lang", "word", "n").toArrow().to_pandas()  # as large as the model
-    return LanguageModel({lang: dict(zip(g["word"], g["n"].tolist())) for lang, g in kept.groupby("lang")})
-
-
-def predict_column(model: LanguageModel, text: Column, spark) -> Column:
-    """struct(lang string, score double)"""
+                    mine = Counter(tokens(text))
+                    n.update(mine)
+                    having.update(mine.keys())
+                    having_part.update({g for w in mine for g in grams(w, GRAMS)})
+                keys = np.fromiter(map(_signed, n), np.int64, len(n))
+                yield pd.DataFrame({"lang": lang, "order": WORD, "key": keys, "n": list(n.values()), "texts": [having[w] for w in n]})
+                for k in range(1, GRAMS + 1):
+                    part: Counter = Counter()
+                    for w, times in n.items():
+                        for g in grams(w, k):
+                            part[g] += times
+                    keys = np.fromiter(map(_signed, part), np.int64, len(part))
+                    yield pd.DataFrame({"lang": lang, "order": k, "key": keys, "n": list(part.values()), "texts": [having_part[g] for g in part] if k == GRAMS else 0})
+
+    counted = dealt.mapInPandas(count, "lang string, order int, key long, n long, texts long")
+    return staged(counted.groupBy("lang", "order", "key").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "language-entries")
+
+
+def fit(labelled: DataFrame, docs_per_lang: int = 5000, max_entries: int = 8_000_000, text_col: str = "text", lang_col: str = "lang", docs_per_task: int = 500, broadcast_langs: int = 100_000) -> LanguageModel:
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
+    sizes = staged(rows.groupBy("lang").count(), "language-sizes")
+    span = 1 << 30
+    n_langs = sizes.count()
+    if not n_langs:
+        return LanguageModel([], *[np.zeros(0, np.int64)] * 5)
+    upto = sizes.select("lang", (F.least(F.lit(1.0), F.lit(docs_per_lang) / F.col("count")) * span).cast("long").alias("upto"))
+    shares = F.broadcast(upto) if n_langs <= broadcast_langs else upto.hint("merge")
+    some = rows.join(shares, "lang").filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(span)) < F.col("upto")).select("text", "lang")
+    sample = staged(some.distinct(), "language-sample")  # a text that fills much of the rows is there once
+    n, halved = sample.count(), 0
+    while True:
+        entries = _entries(sample.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << halved)) == 0) if halved else sample, max(1, math.ceil(n / docs_per_task)))
+        if entries.count() <= max_entries:
+            break
+        halved, n = halved + 1, n // 2
+    got = entries.toArrow()
+    if not got.num_rows:
+        return LanguageModel([], *[np.zeros(0, np.int64)] * 5)
+    names = got["lang"].combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    code = {x: i for i, x in enumerate(langs)}
+    lang = np.array([code[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+    return LanguageModel(langs, got["order"].to_numpy(), got["key"].to_numpy(), lang, got["n"].to_numpy(), got["texts"].to_numpy())
+
+
+def predict_column(model: LanguageModel, text: Column, spark, with_evidence: bool = False) -> Column:
+    """struct(lang string, score double, evidence double)"""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, evidence double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
+            yield pd.DataFrame([shared.value.assess(t, with_evidence) for t in texts], columns=["lang", "score", "evidence"]).astype({"evidence": "float64"})
 
     return predict(text)
 
 
-class Familiar:
-    """Words, and the longest n-grams of words, that several texts have."""
-
-    def __init__(self, words: frozenset[str], parts: frozenset[str]):
-        self.words, self.parts = words, parts
-
-    @staticmethod
-    def split(word: str) -> list[str]:
-        return grams(word, min(GRAMS, len(word) + 2))
-
-    def support(self, text: str | None) -> float | None:
-        """Evidence per word, 0 to 1: a known word counts 1, an unseen one the share of its n-grams that are known; null without a word."""
-        counts = Counter(tokens(text))
-        if not counts:
-            return None
-        got = 0.0
-        for w, k in counts.items():
-            if w in self.words:
-                got += k
-            else:
-                parts = self.split(w)
-                got += k * sum(x in self.parts for x in parts) / len(parts)
-        return got / sum(counts.values())
-
-
-def familiar(docs: DataFrame, texts: int = 20_000, most: int = 200_000, text_col: str = "text", docs_per_task: int = 500) -> Familiar:
-    """From about ``texts`` distinct texts, chosen by a hash; what only one of them has is not evidence, so that junk does not vouch for itself."""
-    n, span = docs.count(), 1 << 30
-    lot = F.pmod(F.xxhash64(text_col, F.lit(4)), F.lit(span)) < int(span * min(1.0, texts / max(n, 1)))
-    sample = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & lot).distinct()
-    dealt = sample.repartition(max(1, math.ceil(min(n, texts) / docs_per_task)), F.xxhash64("text"))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            words: Counter = Counter()
-            parts: Counter = Counter()
-            for text in batch["text"]:
-                mine = set(tokens(text))
-                words.update(mine)
-                parts.update({x for w in mine for x in Familiar.split(w)})
-            for whole, got in ((True, words), (False, parts)):
-                yield pd.DataFrame({"whole": whole, "x": list(got), "n": list(got.values())}).astype({"whole": bool, "n": "int64"})
-
-    counted = dealt.mapInPandas(count, "whole boolean, x string, n long").groupBy("whole", "x").agg(F.sum("n").alias("n")).filter("n > 1")
-    best = [frozenset(r["x"] for r in counted.filter(F.col("whole") == w).orderBy(F.desc("n"), "x").limit(most).select("x").toLocalIterator()) for w in (True, False)]
-    return Familiar(*best)
-
-
-def support_column(known: Familiar, text: Column, spark) -> Column:
-    shared = spark.sparkContext.broadcast(known)
-
-    @F.pandas_udf("double")
-    def support(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shared.value.support(t) for t in texts], dtype="float64")
-
-    return F.round(support(text), 3)
-
-
-def least_support(docs: DataFrame, support: Column, lang_col: str = "lang") -> dict[str | None, float]:
-    """label -> half of the median support of all texts with that label; null -> half of that of all labelled texts."""
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), support.alias("s")).filter("lang is not null and s is not null")
-    seen: dict[str | None, Counter] = {}
-    for r in rows.groupBy("lang", "s").count().toLocalIterator():  # at most 1001 a label
-        for x in (r["lang"], None):
-            seen.setdefault(x, Counter())[r["s"]] += r["count"]
-    out = {}
-    for x, c in seen.items():
-        left = sum(c.values()) / 2
-        for s in sorted(c):
-            left -= c[s]
-            if left <= 0:
-                out[x] = s / 2
-                break
-    return out
-
+def keep_known(docs: DataFrame, share: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without those that the operator rejects: texts without a letter, and texts whose evidence in their predicted language is
+    less than ``share`` of the median of all documents with that prediction.
 
-def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without those whose text has no letter, or whose evidence per word is less than half of what is usual for
-    their label (without one, for all labelled documents). A label whose own texts share nothing sets no bar."""
+    A language whose own texts share nothing sets no bar. Without a labelled text nothing can be told apart, and texts with a letter stay.
+    Repeated rows are judged alike; the columns of ``docs`` pass through whatever their names.
+    """
     spark = docs.sparkSession
-    support = support_column(familiar(docs, text_col=text_col), F.col(text_col), spark)
-    bars = least_support(docs, support, lang_col)
-    rest = F.lit(bars.pop(None, 0.0))
-    label = F.col(lang_col).cast("string")
-    bar = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in bars.items() for x in kv]), label), rest) if bars else rest
-    return docs.filter(F.coalesce(support >= bar, F.lit(False)))
+    model = fit(docs, text_col=text_col, lang_col=lang_col)
+    if not model.langs:
+        return docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    judged = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predict_column(model, F.col(text_col), spark, True).alias("p")), "language-judged")
+    seen = judged.filter("p.evidence is not null").groupBy(F.col("p.lang").alias("lang")).agg(F.median(F.round("p.evidence", 3)).alias("m"))
+    bars = [F.lit(x) for r in seen.collect() for x in (r["lang"], r["m"] * share)]  # a row for each language of the model at most
+    bar = F.element_at(F.create_map(*bars), F.col("p.lang")) if bars else F.lit(0.0)
+    return judged.filter(F.coalesce(F.col("p.evidence") >= bar, F.lit(False))).select("row.*")

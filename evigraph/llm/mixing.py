@@ -32,7 +32,8 @@ def word_count(text: Column) -> Column:
 
 
 def _small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Broadcast a table whose row count was checked; a larger one is joined by shuffling."""
+    """Broadcast a table whose row count was checked; a larger one is joined by shuffling. Rows are a few numbers, 100 bytes as a
+    broadcast at most: 100,000 of them are 10 MB."""
     return F.broadcast(df) if rows <= limit else df.hint("merge")
 
 
@@ -161,7 +162,7 @@ def mix(
     source_col: str = "source",
     cell_rows: int = 512,
     broadcast_sources: int = 100_000,
-    broadcast_strata: int = 1_000_000,
+    broadcast_strata: int = 100_000,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, rate, copies, taken.
 
@@ -206,8 +207,8 @@ def mix(
 
 
 def repeat(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with every row as often as its copies say; ids must be unique."""
-    names = docs.columns
-    copies = mixed.filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    joined = docs.join(copies.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    """``docs`` with every row as often as its copies say; ids must be unique. Columns may have any names."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    copies = mixed.filter("copies > 0").select(F.col("doc_id").alias("key"), "copies")
+    joined = row.join(copies.hint("merge"), F.col("id").eqNullSafe(F.col("key")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

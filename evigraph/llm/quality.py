@@ -72,8 +72,9 @@ def features(text: str | None, meta: tuple, buckets: int, cache: dict[str, int])
 
 
 class FactorisationMachine:
-    def __init__(self, dim: int, rank: int = 8, seed: int = 11):
-        rng = np.random.default_rng(seed)
+    def __init__(self, dim: int, rank: int = 8, seed: int = 11, buckets: int | None = None):
+        """``buckets``: of the words, for whoever makes features for this machine."""
+        rng, self.buckets = np.random.default_rng(seed), buckets
         self.w0, self.w = 0.0, np.zeros(dim, np.float32)
         self.v = (0.05 * rng.standard_normal((dim, rank))).astype(np.float32)
 
@@ -144,7 +145,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", m
 
     encoded = sample.mapInPandas(encode, "label int, idx array<int>, val array<float>")
     got = encoded.repartition(1).mapInPandas(train, "w0 double, w binary, v binary").collect()
-    machine = FactorisationMachine(dim, rank)
+    machine = FactorisationMachine(dim, rank, buckets=buckets)
     if got and n:
         machine.w0 = got[0]["w0"]
         machine.w = np.frombuffer(bytes(got[0]["w"]), np.float32)
@@ -154,8 +155,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", m
     return machine
 
 
-def score_column(machine: FactorisationMachine, spark, text: Column, *meta: Column, buckets: int = 1 << 14) -> Column:
-    shared = spark.sparkContext.broadcast(machine)
+def score_column(machine: FactorisationMachine, spark, text: Column, *meta: Column) -> Column:
+    shared, buckets = spark.sparkContext.broadcast(machine), machine.buckets
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

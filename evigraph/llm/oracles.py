@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from .queries import URL_RULES
-from .secrets import KINDS
-
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -12,26 +9,40 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# The kinds once more, as RE2 has them: (kind, pattern, group of the value, group before the match or none, least length, base).
+_ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = (
+    ("assign", _ASSIGN, 2, 0, 6, True),
+    ("access", "AKIA[A-Z0-9]+", 0, 0, 20, True),
+    ("hex", "[0-9a-f]{24,}", 0, 0, 24, True),
+    ("pem", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\n\r ]{16,}", 0, 0, 44, False),
+    ("jwt", r"(^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 2, 1, 29, False),
+    ("vendor", "(?:ghp_|gho_|ghs_|sk_live_|rk_live_|xoxb-|xoxp-|AIza)[A-Za-z0-9_-]{16,}", 0, 0, 20, False),
+    ("blob", "[A-Za-z0-9+/_-]{32,}", 0, 0, 32, False),
+)
+
+
 def _secrets() -> str:
-    """Matches per kind by explode; ownership by distinct counts; the same rules as the scan."""
+    """Matches per kind by explode; ownership by distinct counts; overlaps by comparing all spans of a text."""
     parts = []
-    for k, (kind, pattern, group, least, base) in enumerate(KINDS):
+    for k, (kind, pattern, group, before, least, base) in enumerate(_KINDS):
         p = _quoted(pattern)
         mixed = " AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')" if kind == "blob" else ""
+        pre = f"length(regexp_extract(m, {p}, {before}))" if before else "0"
         parts.append(
-            f"""SELECT doc_id, source, {k} AS k, '{kind}' AS kind, e - length(m) AS b, e, sha256(v) AS secret FROM (
+            f"""SELECT doc_id, source, t, {k} AS k, '{kind}' AS kind, e - length(m) + {pre} AS b, e, sha256(v) AS secret FROM (
               SELECT *, CAST(sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM (
-                SELECT doc_id, source, i, ms[i] AS m, vs[i] AS v, gs[i] AS g FROM (
+                SELECT doc_id, source, t, i, ms[i] AS m, vs[i] AS v, gs[i] AS g FROM (
                   SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
-                    SELECT doc_id, source, regexp_extract_all(t, {p}, 0) AS ms, regexp_extract_all(t, {p}, {group}) AS vs, string_split_regex(t, {p}) AS gs FROM d WHERE regexp_matches(t, {p})))))
+                    SELECT doc_id, source, t, regexp_extract_all(t, {p}, 0) AS ms, regexp_extract_all(t, {p}, {group}) AS vs, string_split_regex(t, {p}) AS gs FROM d WHERE regexp_matches(t, {p})))))
             WHERE length(v) >= {least}{mixed}"""
         )
-    n_base = sum(1 for *_, b in KINDS if b)
+    n_base = sum(1 for *_, b in _KINDS if b)
     return f"""
     WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
     c AS ({' UNION ALL '.join(parts)}),
-    o AS (SELECT secret, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT doc_id) AS repos FROM c GROUP BY secret),
-    j AS (SELECT c.*, owners <= 2 AND repos <= 8 AS live FROM c JOIN o USING (secret)),
+    o AS (SELECT secret, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT t) AS repos FROM c GROUP BY secret),
+    j AS (SELECT c.*, owners = 1 OR (owners <= 2 AND repos <= 8) AS live FROM c JOIN o USING (secret)),
     s AS (SELECT * FROM j WHERE k < {n_base} OR (live AND NOT EXISTS (SELECT 1 FROM j x WHERE x.doc_id = j.doc_id AND x.k < {n_base} AND x.b < j.e AND j.b < x.e)))
     SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
       sha256(coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) FILTER (k < {n_base}), '')) AS base_sha256,
@@ -40,11 +51,14 @@ def _secrets() -> str:
     FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
 
 
+# The rules of the url query, once more.
+_RULES = "('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')"
+
+
 def _urls() -> str:
-    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
     lower = _LOWER.format(r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")
     return f"""
-    WITH rules(verdict, rh, rp) AS (VALUES {rules}),
+    WITH rules(verdict, rh, rp) AS (VALUES {_RULES}),
     u AS (SELECT page_id, {lower} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
     f AS (SELECT page_id, arg_max(rh || rp, (length(rh) + length(rp)) * 1000 + length(rh)) AS rule, arg_max(verdict, (length(rh) + length(rp)) * 1000 + length(rh)) AS verdict
       FROM u JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
@@ -61,15 +75,16 @@ def _exact() -> str:
 def _chat() -> str:
     """Conversations as running texts; every prefix is compared as text."""
     cell = "coalesce(len(role) || 'r' || role, 'n') || coalesce(len(text) || 't' || text, 'n')"
-    shown = "'<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10)"
+    safe = lambda c: f"replace(replace({c}, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')"
+    shown = f"'<|im_start|>' || coalesce({safe('role')}, 'user') || chr(10) || coalesce({safe('text')}, '') || '<|im_end|>' || chr(10)"
+    order = "ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST"
     return f"""
-    WITH t AS (SELECT *, row_number() OVER w AS pos, dense_rank() OVER c - 1 AS part, string_agg({cell}, '') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto
-      FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)
-      WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST), c AS (PARTITION BY conv_id ORDER BY floor(coalesce(turn, -1099511627776) / 256))),
+    WITH t AS (SELECT *, row_number() OVER w AS pos, string_agg({cell}, '') OVER (PARTITION BY conv_id {order} ROWS UNBOUNDED PRECEDING) AS upto
+      FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL) WINDOW w AS (PARTITION BY conv_id {order})),
     w AS (SELECT conv_id, max(pos) AS n_turns, arg_max(upto, pos) AS whole FROM t GROUP BY conv_id),
     p AS (SELECT DISTINCT t.pos, t.upto FROM t JOIN w USING (conv_id) WHERE t.pos < w.n_turns),
     k AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS copies FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos = w.n_turns AND p.upto = w.whole) GROUP BY n_turns, whole)
-    SELECT t.conv_id, t.part, k.n_turns, k.copies, string_agg({shown}, '' ORDER BY t.pos) AS text FROM t JOIN k USING (conv_id) GROUP BY ALL"""
+    SELECT t.conv_id, (t.pos - 1) // 256 AS part, k.n_turns, k.copies, string_agg({shown}, '' ORDER BY t.pos) AS text FROM t JOIN k USING (conv_id) GROUP BY ALL"""
 
 
 ORACLES = {"op2_secrets": _secrets(), "op4_urls": _urls(), "op8_exact_dedup": _exact(), "op10_chat": _chat()}

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import new_path
 from . import chat, decontam, exact_index, langid, mixing, quality, secrets, shards, simhash, urltrie
 
 # The rules of the url query.
@@ -77,15 +78,22 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = exact_index.dedup_batch(docs, exact_index.fresh_index(spark, exact_index.buckets_for(docs.count())))
+    """The larger half of the ids comes as the first batch, since of equal texts the largest id stays; the rest is held against it."""
+    ids = exact_index.digests(table(spark, sf_dir, "documents"))
+    shape = ids.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("doc_id", 0.5).alias("half")).first()
+    index = exact_index.fresh_index(spark, exact_index.buckets_for(shape["n"]))
+    first = F.coalesce(F.col("doc_id") > F.lit(shape["half"]), F.lit(False))
+    for batch, rows in (("first", ids.filter(first)), ("second", ids.filter(~first))):
+        index.append(exact_index.candidates(rows), batch)
+    found = exact_index.judged(ids, index)
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     records = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    return shards.two_pass_shuffle(records).withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    written = shards.write_shards(shards.two_pass_shuffle(records), new_path(spark, "shards"))
+    return written.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

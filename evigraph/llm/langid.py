@@ -113,6 +113,10 @@ class LanguageModel:
     def __init__(self, langs: list[str], order: np.ndarray, key: np.ndarray, lang: np.ndarray, n: np.ndarray, texts: np.ndarray):
         self.langs, size = langs, len(langs)
         self.tables = [_Table(key[order == k], lang[order == k], n[order == k], texts[order == k] > 1, size) for k in range(GRAMS + 1)]
+        self.explained: dict[int, dict[str, float]] = {}  # language -> word -> how much of it is explained, as met so far
+
+    def __getstate__(self):
+        return {**self.__dict__, "explained": {}}
 
     @classmethod
     def from_counts(cls, counts: dict[str, dict[str, int]]) -> LanguageModel:
@@ -154,17 +158,27 @@ class LanguageModel:
         return self.langs[best], float(odds[best] / odds.sum()), self._evidence(words, times, rows, best) if with_evidence else None
 
     def _evidence(self, words: list[str], times: np.ndarray, rows: np.ndarray, lang: int) -> float:
+        cache = self.explained.setdefault(lang, {})
+        got = [cache.get(w) for w in words]
+        new = [i for i, x in enumerate(got) if x is None]
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            for j, x in zip(part, self._explained([words[j] for j in part], rows[part], lang)):
+                got[j] = cache[words[j]] = x
+        if new and sum(map(len, self.explained.values())) > CACHE:
+            self.explained.clear()
+        return float(np.array(got) @ times / times.sum())
+
+    def _explained(self, words: list[str], rows: np.ndarray, lang: int) -> list[float]:
+        """How much of each word its language explains, 0 to 1."""
         got = self.tables[WORD].shared_by(rows, lang).astype(np.float64)
-        rest = np.flatnonzero(got == 0)
-        for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
-            parts = [grams(words[j], min(GRAMS, len(words[j]) + 2)) for j in part]
-            size = np.array([len(p) for p in parts])
-            short = np.array([len(words[j]) + 2 < GRAMS for j in part])  # a single letter, whole: seen as a word or not at all
-            found = np.array(self.tables[GRAMS].find([g for p in parts for g in p]), np.int64)
-            hits = np.bincount(np.repeat(np.arange(len(part)), size), self.tables[GRAMS].shared_by(found, lang), len(part))
-            got[part] = np.where(short, 0.0, hits / size)
-        return float(got @ times / times.sum())
+        rest = [i for i in np.flatnonzero(got == 0) if len(words[i]) + 2 >= GRAMS]  # a single letter is known as a word or not at all
+        parts = [grams(words[i], GRAMS) for i in rest]
+        size = np.array([len(p) for p in parts], np.int64)
+        found = np.array(self.tables[GRAMS].find([g for p in parts for g in p]), np.int64)
+        if rest:
+            got[rest] = np.bincount(np.repeat(np.arange(len(rest)), size), self.tables[GRAMS].shared_by(found, lang), len(rest)) / size
+        return got.tolist()
 
     def predict(self, text: str | None) -> tuple[str, float]:
         return self.assess(text, with_evidence=False)[:2]

@@ -19,8 +19,9 @@ SCORE_WORDS = {
     0.6: ["medium", "moderate", "中", "中等", "一般"],
     0.3: ["low", "低", "次要", "弱"],
 }
-# Texts that look like an internal id.
-ID_SHAPE = r"(?i):(node|edge|evidence|block|concept|claim):[0-9a-f]{8,}|[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}"
+# Texts that refer to an internal id, and how an inference is marked in English and in Chinese.
+INTERNAL = r"(?:node|evidence)(?:\s*id)?\s*[:：#]?\s*[a-z0-9][a-z0-9:_-]{7,}|(?:节点|证据)\s*[:：#]?\s*[a-z0-9][a-z0-9:_-]{7,}|(?<![A-Za-z0-9_])[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}(?![A-Za-z0-9_])"
+MARKED_EN, MARKED_ZH = r"(?:\[?inference\]?|inferred)\s*:", r"【推断】\s*[:：]?"
 
 
 def normalise_ws(c: Column) -> Column:
@@ -90,7 +91,7 @@ def coerce_score(c: Column) -> Column:
     """A number, numeric text or word -> [0, 1]. Blank text is 0, unknown words and NaN .5, null stays null."""
     word = F.lower(F.trim(c))
     number = c.try_cast("double")
-    out = F.when(c.isNull(), F.lit(None).cast("double")).when(word == "", 0.0).when(F.isnan(number), 0.5).when(number.isNotNull(), clamp01(number))
+    out = F.when(c.isNull(), F.lit(None).cast("double")).when(word == "", 0.0).when(F.isnan(number) | word.rlike(r"^[+-]?inf"), 0.5).when(number.isNotNull(), clamp01(number))
     for score, words in SCORE_WORDS.items():
         out = out.when(word.isin(words), score)
     return out.otherwise(0.5)
@@ -138,13 +139,17 @@ def props_head(c: Column, n: int = 16) -> Column:
     return F.map_from_entries(F.slice(F.array_sort(F.map_entries(c)), 1, n))
 
 
-def thread_title(c: Column, default: str = "New conversation", n: int = 72) -> Column:
+def thread_title(c: Column, default: str = "New chat", n: int = 72) -> Column:
     return F.coalesce(F.nullif(F.substring(normalise_ws(c), 1, n), F.lit("")), F.lit(default))
 
 
 def has_inference_marker(text: Column, lang: Column) -> Column:
-    english = text.rlike(r"(?i)\b(inference|inferred|likely|suggests?)\b")
-    return F.when(lang == "zh", text.rlike("推断|推测|可能")).otherwise(english)
+    return F.when(F.coalesce(lang == "zh", F.lit(False)), text.rlike(MARKED_ZH)).otherwise(text.rlike("(?iu)" + MARKED_EN))
+
+
+def refers_internally(text: Column) -> Column:
+    """Whether a text has the shape of an internal reference; known ids are looked up by ``operators.analysis.leaking``."""
+    return F.coalesce(text.rlike("(?iu)" + INTERNAL), F.lit(False))
 
 
 def csv_cell(c: Column) -> Column:
@@ -168,7 +173,7 @@ def sanitize_file_name(c: Column) -> Column:
 
 def citation_label(document: Column, page: Column, topic: Column) -> Column:
     """document without extension · page · topic; blanks dropped."""
-    name = F.nullif(F.regexp_replace(document, r"\.[^.]+$", ""), F.lit(""))
+    name = F.nullif(F.regexp_replace(document, r"(?i)\.(?:pdf|docx)\z", ""), F.lit(""))
     return F.concat_ws(" · ", name, F.concat(F.lit("p. "), page.cast("string")), F.nullif(F.trim(topic), F.lit("")))
 
 

@@ -68,11 +68,25 @@ def fallbacks(expected: DataFrame, proposals: DataFrame, key: str, default: dict
     return expected.join(proposals.select(key).distinct(), key, "left_anti").select(key, *[F.lit(v).alias(c) for c, v in default.items()])
 
 
+def leaking(text: Column, known_ids: Column) -> Column:
+    """Whether a text has a known id of at least 8 characters in it, or the shape of an internal reference."""
+    known = F.exists(known_ids, lambda i: (F.length(i) >= 8) & F.contains(text, i))
+    return F.coalesce(known, F.lit(False)) | X.refers_internally(text)
+
+
 def answer_guard(answers: DataFrame) -> DataFrame:
-    """+ reject: an internal id in the text, an inference without a marker, no claim, or a citation outside the context."""
-    marked = X.has_inference_marker(F.col("text"), F.col("lang"))
-    tests = [("internal id", F.col("text").rlike(X.ID_SHAPE)), ("unmarked inference", F.col("inferred") & ~marked), ("no claim", F.col("n_claims") == 0), ("unknown citation", F.col("n_unknown") > 0)]
-    return answers.withColumn("reject", F.coalesce(*[F.when(c, F.lit(name)) for name, c in tests]))
+    """+ reject, the first reason against an answer, or null.
+
+    ``answers``: text, lang, claims (array of struct text, status, citations), known_ids (of the context), limitations (array of texts).
+    """
+    every = F.concat(F.array("text"), F.transform("claims", lambda c: c["text"]), F.coalesce("limitations", F.array().cast("array<string>")))
+    inferred = F.filter("claims", lambda c: c["status"] == "inferred")
+    unmarked = (F.size(inferred) > 0) & (~X.has_inference_marker(F.col("text"), F.col("lang")) | F.exists(inferred, lambda c: ~X.has_inference_marker(c["text"], F.col("lang"))))
+    tests = [
+        ("internal id", F.exists(every, lambda t: leaking(t, F.col("known_ids")))), ("unmarked inference", unmarked),
+        ("unknown citation", F.exists("claims", lambda c: F.exists(c["citations"], lambda i: ~F.array_contains("known_ids", i)))), ("no claim", F.size("claims") == 0),
+    ]
+    return answers.withColumn("reject", F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in tests]))
 
 
 def publish(table: DataFrame, partition: str) -> DataFrame:

@@ -16,19 +16,25 @@ def saturation(n: Column) -> Column:
     return 1 - F.exp(-n.cast("double"))
 
 
-def evidence_signal(item_evidence: DataFrame, keys: list[str]) -> DataFrame:
-    """keys + confidence, importance (before occurrences and properties), from evidence, documents, blocks and text mass.
+def signal(evidence: Column, documents: Column, blocks: Column, mass: Column) -> Column:
+    """Confidence from the numbers of distinct evidence, documents and blocks, and the mean share of a full text."""
+    e, d, b = (saturation(c) for c in (evidence, documents, blocks))
+    return X.clamp01(0.12 + 0.38 * e + 0.22 * d + 0.18 * mass + 0.10 * b)
 
-    ``item_evidence``: keys, evidence_id, document_id, block_id, text; one row for each bound evidence.
+
+def evidence_signal(item_evidence: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """keys + confidence, importance, from evidence, documents, blocks, text mass, occurrences and properties.
+
+    ``item_evidence``: keys, evidence_id, document_id, block_id, text; one row for each bound evidence. ``items``: keys, occurrences, properties.
     """
     got = item_evidence.groupBy(*keys).agg(
         F.countDistinct("evidence_id").alias("e"), F.countDistinct("document_id").alias("d"), F.countDistinct("block_id").alias("b"),
         F.avg(F.least(F.length(F.trim("text")) / 600.0, F.lit(1.0))).alias("mass"),
     )
-    e, d, b = (saturation(F.col(c)) for c in "edb")
-    return got.select(
-        *keys, X.clamp01(0.12 + 0.38 * e + 0.22 * d + 0.18 * F.col("mass") + 0.10 * b).alias("confidence"),
-        (0.08 + 0.27 * e + 0.24 * b + 0.18 * d).alias("importance"),
+    e, d, b, o, p = (saturation(F.col(c)) for c in ("e", "d", "b", "occurrences", "properties"))
+    return got.join(items.hint("merge"), keys).select(
+        *keys, signal(F.col("e"), F.col("d"), F.col("b"), F.col("mass")).alias("confidence"),
+        X.clamp01(0.08 + 0.27 * e + 0.24 * b + 0.18 * d + 0.13 * o + 0.10 * p).alias("importance"),
     )
 
 
@@ -138,9 +144,12 @@ def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def stable_summaries(old: DataFrame, new: DataFrame, drafts: DataFrame) -> DataFrame:
-    """registry_id, summary, changed: an entry whose evidence is the same set keeps its summary; otherwise the draft or the current one."""
-    same = F.array_sort(F.array_distinct(F.col("o")["evidence_ids"])) == F.array_sort(F.array_distinct(F.col("n")["evidence_ids"]))
+def stable_summaries(old: DataFrame, new: DataFrame, drafts: DataFrame, sets: tuple[str, ...] = ("evidence_ids", "claim_ids", "member_ids")) -> DataFrame:
+    """registry_id, summary, changed: an entry whose ``sets`` are all as before keeps its summary; otherwise the draft or the current one."""
+    empty = F.array().cast("array<string>")
+    as_set = lambda side, c: F.array_sort(F.array_distinct(F.coalesce(F.col(side)[c], empty)))
+    same = F.col("o").isNotNull()
+    for c in sets:
+        same = same & (as_set("o", c) == as_set("n", c))
     joined = _merged(old, new, "registry_id").filter(F.col("n").isNotNull()).join(drafts.select("registry_id", F.col("summary").alias("draft")), "registry_id", "left")
-    keep = F.coalesce(same, F.lit(False))
-    return joined.select("registry_id", F.when(keep, F.col("o")["summary"]).otherwise(F.coalesce(F.nullif("draft", F.lit("")), F.col("n")["summary"])).alias("summary"), (~keep).alias("changed"))
+    return joined.select("registry_id", F.when(same, F.col("o")["summary"]).otherwise(F.coalesce(F.nullif("draft", F.lit("")), F.col("n")["summary"])).alias("summary"), (~same).alias("changed"))

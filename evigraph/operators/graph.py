@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.scratch import staged
+from .candidates import signal
 
 
 def split_evidence_ids(cited: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,7 +40,9 @@ def relation_gate(relations: DataFrame, rules: DataFrame, threshold: float) -> D
 
     ``rules`` (a plan has at most 24): label, symmetric, requires_conditions, allow_inferred, sources, targets (empty: any type).
     """
-    r = F.broadcast(rules.select(F.col("label").alias("relation_type"), F.lit(True).alias("known"), "symmetric", "requires_conditions", "allow_inferred", "sources", "targets"))
+    r = rules.select(F.col("label").alias("relation_type"), F.lit(True).alias("known"), "symmetric", "requires_conditions", "allow_inferred", "sources", "targets")
+    if rules.count() <= 1000:
+        r = F.broadcast(r)
     allowed = lambda types, t: (F.size(types) == 0) | F.coalesce(F.array_contains(types, F.col(t)), F.lit(False))
     tests = [
         ("source unresolved", F.col("source_id").isNull()), ("target unresolved", F.col("target_id").isNull()), ("same node", F.col("source_id") == F.col("target_id")),
@@ -56,15 +60,17 @@ def edge_key(relation: Column, source: Column, target: Column, symmetric: Column
 
 
 def running_edge_confidence(rows: DataFrame) -> DataFrame:
-    """edge + confidence: highest given confidence of its duplicates; where absent, the signal of the evidence up to there.
+    """edge + confidence: the highest value of its duplicates, each being the given confidence or, where absent, the signal of the evidence up to there.
 
-    ``rows``: edge, ord, confidence (or null), block_id. A first sighting of a block counts once in the running total.
+    ``rows``: edge, ord, confidence (or null), evidence_id, document_id, block_id, text. What was seen before counts once.
     """
     so_far = Window.partitionBy("edge").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.row_number().over(Window.partitionBy("edge", "block_id").orderBy("ord")) == 1
-    counted = rows.withColumn("first", first).withColumn("n", F.sum(F.col("first").cast("long")).over(so_far))
-    value = F.coalesce(X.clamp01(F.col("confidence")), X.clamp01(0.12 + 0.48 * (1 - F.exp(-F.col("n").cast("double")))))
-    return counted.withColumn("value", value).groupBy("edge").agg(F.max("value").alias("confidence"), F.max("n").alias("evidence"))
+    first = lambda c: (F.row_number().over(Window.partitionBy("edge", c).orderBy("ord")) == 1).cast("int")
+    rows = rows.withColumns({"e1": first("evidence_id"), "d1": first("document_id"), "b1": first("block_id")})
+    mass = F.col("e1") * F.least(F.length(F.trim("text")) / 600.0, F.lit(1.0))
+    seen = rows.select("edge", "confidence", *[F.sum(f"{c}1").over(so_far).alias(c) for c in "edb"], F.sum(mass).over(so_far).alias("m"))
+    value = F.coalesce(X.clamp01(F.col("confidence")), signal(F.col("e"), F.col("d"), F.col("b"), F.col("m") / F.col("e")))
+    return seen.withColumn("value", value).groupBy("edge").agg(F.max("value").alias("confidence"), F.max("e").alias("evidence"))
 
 
 def touching(edges: DataFrame, ids: DataFrame, both: bool = False) -> DataFrame:
@@ -99,12 +105,24 @@ def all_terms(text: Column, query: str) -> Column:
     return out
 
 
-def search_nodes(nodes: DataFrame, node_evidence: DataFrame, evidence: DataFrame, query: str, limit: int = 100) -> DataFrame:
-    """Nodes in whose text, or in one of whose evidence texts, all terms occur; the first ``limit`` by ord."""
-    by_text = nodes.filter(all_terms(F.concat_ws(" ", "name", "type", "summary"), query)).select("node_id")
+def search(nodes: DataFrame, edges: DataFrame, node_evidence: DataFrame, edge_evidence: DataFrame, evidence: DataFrame, query: str, limit: int = 100, node_types: list[str] | None = None, relation_types: list[str] | None = None) -> DataFrame:
+    """kind (node, edge, evidence), id of what a query finds.
+
+    Nodes: all terms in the names, summary, aliases and property values together, or in one evidence text; the first ``limit`` by ord. Edges: with an end
+    among the nodes found, or all terms in their relation; of these the first ``limit`` that touch a shown node. Evidence: of what is shown.
+    ``nodes``: node_id, ord, type, name, display_name, summary, aliases, properties (text). Types are compared without regard to case.
+    """
+    allowed = lambda c, types: F.lit(True) if types is None else F.lower(F.trim(c)).isin([t.strip().lower() for t in types])
     hit = evidence.filter(all_terms(F.col("original_text"), query)).select("evidence_id")
     by_evidence = node_evidence.join(hit, "evidence_id", "left_semi").select("node_id")
-    return nodes.join(by_text.union(by_evidence).distinct(), "node_id", "left_semi").orderBy("ord", "node_id").limit(max(1, limit))
+    by_text = nodes.filter(all_terms(F.concat_ws(" ", "name", "display_name", "summary", "aliases", "properties"), query)).select("node_id")
+    found = nodes.filter(allowed(F.col("type"), node_types)).join(by_text.union(by_evidence).distinct(), "node_id", "left_semi").select("node_id", "ord")
+    shown = staged(found.orderBy("ord", "node_id").limit(max(1, limit)), "search-nodes")  # edges with a shown end are among those of found nodes
+    near = touching(edges.filter(allowed(F.col("relation_type"), relation_types)), shown.select(F.col("node_id").alias("id")))
+    near = near.orderBy("edge_id").limit(max(1, limit))
+    cited = node_evidence.join(shown, "node_id", "left_semi").select("evidence_id").union(edge_evidence.join(near, "edge_id", "left_semi").select("evidence_id")).distinct()
+    part = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("id"))
+    return part(shown, "node", "node_id").union(part(near, "edge", "edge_id")).union(part(evidence.join(cited, "evidence_id", "left_semi"), "evidence", "evidence_id"))
 
 
 def node_catalog(nodes: DataFrame, n: int = 160) -> DataFrame:
@@ -140,10 +158,44 @@ def retrieve_context(questions: DataFrame, edges: DataFrame, node_evidence: Data
     return part(shown, "node", "node_id").union(part(kept, "edge", "edge_id")).union(part(proof, "evidence", "evidence_id"))
 
 
-def remove_documents(links: DataFrame, evidence: DataFrame, gone: DataFrame) -> DataFrame:
-    """(node_id, evidence_id) that survive when the documents in ``gone`` (document_id) go."""
-    dead = evidence.join(gone.select("document_id").distinct(), "document_id", "left_semi").select("evidence_id")
-    return links.join(dead, "evidence_id", "left_anti")
+def remove_documents(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """What is left of blocks, evidence, node_evidence, edge_evidence, nodes, edges and claims when the documents in ``gone`` (document_id) go.
+
+    Links to dead evidence are cut, nodes without evidence go, and so do edges without evidence or with a dead end.
+    """
+    gone, out = gone.select("document_id").distinct(), dict(tables)
+    out["blocks"], out["evidence"] = (tables[t].join(gone, "document_id", "left_anti") for t in ("blocks", "evidence"))
+    alive = out["evidence"].select("evidence_id")
+    for link in ("node_evidence", "edge_evidence"):
+        out[link] = tables[link].join(alive, "evidence_id", "left_semi")
+    out["nodes"] = tables["nodes"].join(out["node_evidence"], "node_id", "left_semi")
+    edges = tables["edges"].join(out["edge_evidence"], "edge_id", "left_semi")
+    for end in ("source_id", "target_id"):
+        edges = edges.join(out["nodes"].select(F.col("node_id").alias(end)), end, "left_semi")
+    out["edges"] = edges
+    out["claims"] = tables["claims"].join(out["blocks"].select("block_id"), "block_id", "left_semi")
+    return out
+
+
+def clear_project_graph(tables: dict[str, DataFrame], project: str) -> dict[str, DataFrame]:
+    """What is left of nodes, edges, claims and evidence when a project's graph goes; blocks stay, and so does evidence that another project's graph cites."""
+    mine = {t: tables[t].filter(F.col("project_id") == project) for t in ("nodes", "edges")}
+    rest = {t: tables[t].filter(F.col("project_id") != project) for t in ("nodes", "edges", "claims")}
+    links = lambda side: tables["node_evidence"].join(side["nodes"], "node_id", "left_semi").select("evidence_id").union(tables["edge_evidence"].join(side["edges"], "edge_id", "left_semi").select("evidence_id"))
+    dead = links(mine).distinct().join(links(rest), "evidence_id", "left_anti")
+    return rest | {"evidence": tables["evidence"].join(dead, "evidence_id", "left_anti")}
+
+
+def delete_projects(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Every table without the rows of the projects in ``gone`` (project_id); tables that know only a document or node lose theirs with it."""
+    gone = gone.select("project_id").distinct()
+    out = {name: t.join(gone, "project_id", "left_anti") for name, t in tables.items() if "project_id" in t.columns}
+    owners = {"document_id": "documents", "node_id": "nodes", "edge_id": "edges"}
+    for name, t in tables.items():
+        if name not in out:
+            key = next(k for k in owners if k in t.columns)
+            out[name] = t.join(out[owners[key]].select(key), key, "left_semi")
+    return out
 
 
 def records(parts: dict[str, DataFrame], columns: tuple[str, ...]) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import analysis as N
-from ..operators import classify as L
 from ..operators import ontology as O
 from ..sources.fixtures import Star, Texts
 from .text_queries import LINES
@@ -102,48 +101,6 @@ def project_state(spark, d):
     return O.project_state(p, s.raw("orders").select(F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("project_id")))
 
 
-@query("SELECT p_type AS type, CASE WHEN p_type LIKE '%STEEL' THEN 'law' WHEN p_type LIKE '%TIN' THEN 'method' END AS role FROM (SELECT DISTINCT p_type FROM part)")
-def role_from_type(spark, d):
-    t = Star(spark, d).raw("part").select(F.col("p_type").alias("type")).distinct()
-    alias = t.filter("type like '%STEEL'").select("type", F.lit("law").alias("role")).union(t.filter("type like '%TIN'").select("type", F.lit("method")))
-    return L.role_from_type(t, alias)
-
-
-_CLASS = """WITH x AS (SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'law' WHEN 1 THEN 'theorem' WHEN 2 THEN 'model' WHEN 3 THEN 'method' WHEN 4 THEN 'formula' WHEN 5 THEN 'formula' WHEN 7 THEN 'law' END AS name_role,
-  CASE WHEN p_partkey % 5 > 0 THEN CASE p_partkey % 4 WHEN 0 THEN 'law' WHEN 1 THEN 'model' WHEN 2 THEN 'method' ELSE 'bogus' END END AS proposed, CASE WHEN p_partkey % 2 = 0 THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END AS confidence, p_partkey % 3 = 0 AS identity FROM part),
- y AS (SELECT *, proposed IS NOT NULL AND (proposed = 'bogus' OR (proposed = 'law' AND NOT identity)) AS bad FROM x)
- SELECT p_partkey, CASE WHEN proposed IS NULL THEN coalesce(name_role, 'concept') WHEN bad THEN 'concept' ELSE proposed END AS role,
-  CASE WHEN proposed IS NULL THEN 'needs_review' WHEN bad AND proposed = 'law' THEN 'needs_review' WHEN bad THEN 'corrected' WHEN confidence < 0.72::DOUBLE OR (name_role IS NOT NULL AND name_role <> proposed) THEN 'needs_review' ELSE 'accepted' END AS status FROM y"""
-
-
-def _classified(spark, d):
-    k = F.col("p_partkey")
-    rows = L.role_from_name(L.classified_names(Star(spark, d).raw("part"))).withColumnRenamed("role", "name_role")
-    rows = rows.select("p_partkey", "name_role", F.lit("concept").alias("content_role"), F.when(k % 5 > 0, F.when(k % 4 == 0, "law").when(k % 4 == 1, "model").when(k % 4 == 2, "method").otherwise("bogus")).alias("proposed"), F.when(k % 2 == 0, 0.6).otherwise(0.8).alias("confidence"), (k % 3 == 0).alias("identity"))
-    return L.classify_entities(rows, [r for r, *_ in L.ROLE_WORDS] + ["concept"])
-
-
-@query(_CLASS)
-def classify_entities(spark, d):
-    return _classified(spark, d).select("p_partkey", "role", "status")
-
-
-@query(f"SELECT role, status, count(*) AS n FROM ({_CLASS}) GROUP BY 1, 2")
-def apply_entity_types(spark, d):
-    return _classified(spark, d).groupBy("role", "status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"SELECT DISTINCT role FROM ({_CLASS}) WHERE role NOT IN ('law', 'model')")
-def ensure_categories(spark, d):
-    return _classified(spark, d).select("role").distinct().filter(~F.col("role").isin("law", "model"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_name LIKE '%=%' OR p_type LIKE '%BRASS%' THEN 'formula' ELSE 'concept' END AS role FROM part")
-def content_fallback_role(spark, d):
-    rows = Star(spark, d).raw("part").select("p_partkey", F.concat_ws(" ", "p_name", F.when(F.col("p_type").contains("BRASS"), "E = m")).alias("content"), F.when(F.col("p_partkey") % 2 == 0, "law").alias("type_role"))
-    return L.content_fallback_role(rows).select("p_partkey", "role")
-
-
 @query("SELECT o_orderkey, coalesce(CASE WHEN o_custkey % 3 = 0 THEN 'C' || o_custkey END, 'c' || o_custkey) AS source FROM orders")
 def rewrite_relations(spark, d):
     o = Star(spark, d).raw("orders")
@@ -207,18 +164,6 @@ def proposal_fallbacks(spark, d):
     return N.fallbacks(b.select("block_id"), b.filter("doc_id % 10 <> 7").select("block_id"), "block_id", {"status": "unresolved"})
 
 
-@query("SELECT status, count(*) AS n FROM (SELECT CASE role WHEN 'user' THEN 'asked' ELSE 'said' END AS status FROM conversations) GROUP BY 1")
-def claim_status_counts(spark, d):
-    return Texts(spark, d).messages().groupBy(F.when(F.col("role") == "user", "asked").otherwise("said").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT conv_id AS thread_id, CAST(turn AS BIGINT) AS ord, CASE WHEN turn % 5 = 0 THEN 'internal id' WHEN turn % 3 = 0 THEN 'unmarked inference' END AS reject FROM conversations WHERE role = 'assistant'")
-def answer_guard(spark, d):
-    o = F.col("ord")
-    answers = Texts(spark, d).messages().filter("role = 'assistant'").select("thread_id", "ord", F.when(o % 5 == 0, "see node:0f8fad5b :node:0f8fad5b77").otherwise("plain").alias("text"), (o % 3 == 0).alias("inferred"), F.lit("en").alias("lang"), F.lit(1).alias("n_claims"), F.lit(0).alias("n_unknown"))
-    return N.answer_guard(answers).select("thread_id", "ord", "reject")
-
-
 @query()
 def incremental_build(spark, d):
     from ..streaming.incremental import build_once

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import candidates as K
-from ..operators import classify as L
 from ..operators import graph as G
 from ..operators import ledger as E
 from ..operators import assign as A
@@ -46,15 +45,17 @@ parts AS (SELECT project_id, key, name, type, coalesce(n, 0) AS n, coalesce(d, 0
   least(1, 0.25::DOUBLE + CASE WHEN length(summary) > 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN has_props THEN 0.25::DOUBLE ELSE 0 END + 0.1::DOUBLE + CASE WHEN aliases <> '' THEN 0.1::DOUBLE ELSE 0 END) AS completeness
   FROM merged LEFT JOIN counted USING (project_id, key)),
 scored AS (SELECT *, least(1, 0.45::DOUBLE * relevance + 0.3::DOUBLE * evidence + 0.15::DOUBLE * independence + 0.1::DOUBLE * completeness) AS total FROM parts),
-nodes AS (SELECT project_id || ':node:' || left(sha256(key), 16) AS node_id, project_id, key, name, type, summary, coalesce(importance, 0.6::DOUBLE) AS importance, members FROM merged),
+nodes AS (SELECT project_id || ':node:' || left(sha256(key), 16) AS node_id, project_id, key, name, type, summary, coalesce(importance, 0.6::DOUBLE) AS importance, members, aliases, has_props FROM merged),
 node_evidence AS (SELECT DISTINCT node_id, evidence_id FROM ksupport JOIN nodes USING (project_id, key) JOIN (SELECT block_id, evidence_id FROM evidence) USING (block_id)),
 relations AS (SELECT project_id, s_name AS source, p_name AS target, CASE l_returnflag WHEN 'A' THEN 'supplies' WHEN 'N' THEN 'Supplies' ELSE 'related_to' END AS relation_type, block_id,
   1.0::DOUBLE - l_discount::DOUBLE * 4 AS confidence, CASE WHEN l_tax::DOUBLE > 0.06::DOUBLE THEN 'inferred' ELSE 'reported' END AS status
   FROM lines JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN blocks ON l_orderkey = o_orderkey JOIN docs USING (document_id)),
-edges AS (SELECT project_id || ':edge:' || left(sha256(s || '|' || t), 16) AS edge_id, project_id, s AS source_id, t AS target_id, 'made_with' AS relation_type, max(c) AS confidence FROM (
-  SELECT a.project_id, a.node_id AS s, b.node_id AS t, l1.l_discount::DOUBLE AS c FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, max(l_discount) AS l_discount FROM lineitem GROUP BY 1, 2) l1 JOIN (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) l2 ON l1.l_orderkey = l2.l_orderkey AND l2.l_linenumber = l1.l_linenumber + 1
+edge_rows AS (SELECT a.project_id, a.node_id AS s, b.node_id AS t, l1.l_discount::DOUBLE AS c, o_orderkey, a.project_id || ':edge:' || left(sha256(a.node_id || '|' || b.node_id), 16) AS edge_id
+  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, max(l_discount) AS l_discount FROM lineitem GROUP BY 1, 2) l1 JOIN (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) l2 ON l1.l_orderkey = l2.l_orderkey AND l2.l_linenumber = l1.l_linenumber + 1
     JOIN blocks ON l1.l_orderkey = o_orderkey JOIN docs d USING (document_id) JOIN entities e1 ON e1.project_id = d.project_id AND e1.ord = l1.p JOIN entities e2 ON e2.project_id = d.project_id AND e2.ord = l2.p
-    JOIN nodes a ON a.project_id = e1.project_id AND a.key = e1.key JOIN nodes b ON b.project_id = e2.project_id AND b.key = e2.key WHERE a.node_id <> b.node_id) GROUP BY 1, 2, 3, 4)
+    JOIN nodes a ON a.project_id = e1.project_id AND a.key = e1.key JOIN nodes b ON b.project_id = e2.project_id AND b.key = e2.key WHERE a.node_id <> b.node_id),
+edges AS (SELECT edge_id, project_id, s AS source_id, t AS target_id, 'made_with' AS relation_type, max(c) AS confidence FROM edge_rows GROUP BY 1, 2, 3, 4),
+edge_evidence AS (SELECT DISTINCT edge_id, evidence_id FROM edge_rows JOIN evidence USING (o_orderkey))
 """
 
 
@@ -75,11 +76,24 @@ def r6(*names: str) -> list:
 # shared pieces
 
 
+def once(f):
+    """Staged when it is first asked for, and read back after that by whatever the query makes of it."""
+
+    def get(s: Star) -> DataFrame:
+        if f.__name__ not in s.memo:
+            s.memo[f.__name__] = staged(f(s), f"star-{f.__name__}")
+        return s.memo[f.__name__]
+
+    return get
+
+
+@once
 def entities(s: Star) -> DataFrame:
     rows = s.entities()
     return X.nfkc(rows, "name", "n").withColumn("key", X.entity_key(F.col("n"))).drop("n")
 
 
+@once
 def key_support(s: Star) -> DataFrame:
     return s.entity_evidence().join(entities(s).select("project_id", "ord", "key"), ["project_id", "ord"]).select("project_id", "key", "block_id", "document_id", "text").distinct()
 
@@ -88,26 +102,40 @@ def scored(s: Star) -> DataFrame:
     return K.candidate_scores(K.merge_candidate_entities(entities(s)), key_support(s))
 
 
+@once
 def nodes(s: Star) -> DataFrame:
     m = K.merge_candidate_entities(entities(s))
-    return m.select(X.scoped_id(F.col("project_id"), "node", F.col("key")).alias("node_id"), "project_id", "key", "name", "type", "summary", F.coalesce("importance", F.lit(0.6)).alias("importance"), "members", "ord")
+    return m.select(X.scoped_id(F.col("project_id"), "node", F.col("key")).alias("node_id"), "project_id", "key", "name", "type", "summary", F.coalesce("importance", F.lit(0.6)).alias("importance"), "members", "ord", "aliases", "has_props")
 
 
+@once
 def node_evidence(s: Star) -> DataFrame:
     n = nodes(s).select("project_id", "key", "node_id")
     return key_support(s).join(n, ["project_id", "key"]).join(s.evidence().select("block_id", "evidence_id"), "block_id").select("node_id", "evidence_id").distinct()
 
 
-def edges(s: Star) -> DataFrame:
-    """Parts on successive lines of an order."""
+@once
+def edge_rows(s: Star) -> DataFrame:
+    """Parts on successive lines of an order: edge_id, project_id, source_id, target_id, c, o_orderkey."""
     line = s.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_discount").cast("double").alias("c"))
     nxt = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("p").alias("p2"))
     where = s.blocks().select("o_orderkey", "document_id").join(s.documents().select("document_id", "project_id"), "document_id")
     by_part = entities(s).select("project_id", "ord", "key").join(nodes(s).select("project_id", "key", "node_id"), ["project_id", "key"]).select("project_id", "ord", "node_id")
-    rows = line.join(nxt, ["l_orderkey", "l_linenumber"]).join(where, F.col("l_orderkey") == F.col("o_orderkey")).select("project_id", "p", "p2", "c")
+    rows = line.join(nxt, ["l_orderkey", "l_linenumber"]).join(where, F.col("l_orderkey") == F.col("o_orderkey")).select("project_id", "p", "p2", "c", "o_orderkey")
     rows = rows.join(by_part.withColumnsRenamed({"ord": "p", "node_id": "source_id"}), ["project_id", "p"]).join(by_part.withColumnsRenamed({"ord": "p2", "node_id": "target_id"}), ["project_id", "p2"])
-    rows = rows.filter("source_id <> target_id").groupBy("project_id", "source_id", "target_id").agg(F.max("c").alias("confidence"))
-    return rows.select(X.scoped_id(F.col("project_id"), "edge", F.concat_ws("|", "source_id", "target_id")).alias("edge_id"), "project_id", "source_id", "target_id", F.lit("made_with").alias("relation_type"), "confidence")
+    edge = X.scoped_id(F.col("project_id"), "edge", F.concat_ws("|", "source_id", "target_id")).alias("edge_id")
+    return rows.filter("source_id <> target_id").select(edge, "project_id", "source_id", "target_id", "c", "o_orderkey")
+
+
+@once
+def edges(s: Star) -> DataFrame:
+    rows = edge_rows(s).groupBy("edge_id", "project_id", "source_id", "target_id").agg(F.max("c").alias("confidence"))
+    return rows.select("edge_id", "project_id", "source_id", "target_id", F.lit("made_with").alias("relation_type"), "confidence")
+
+
+@once
+def edge_evidence(s: Star) -> DataFrame:
+    return edge_rows(s).select("edge_id", "o_orderkey").join(s.evidence().select("o_orderkey", "evidence_id"), "o_orderkey").select("edge_id", "evidence_id").distinct()
 
 
 # ledger
@@ -146,11 +174,6 @@ def coverage_ledger(spark, d):
     return E.coverage_ledger(s.blocks(), first.union(later), E.claim_ledger(s.claim_drafts()))
 
 
-@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'unresolved' ELSE 'claimed' END AS status FROM blocks) GROUP BY 1")
-def coverage_counts(spark, d):
-    return Star(spark, d).blocks().groupBy(F.when(F.col("o_orderkey") % 4 == 0, "unresolved").otherwise("claimed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT block_id, 'claimed' AS status FROM blocks WHERE o_orderkey % 4 = 1")
 def first_decision(spark, d):
     k = F.col("o_orderkey") % 4
@@ -164,11 +187,6 @@ def eligible_claims(spark, d):
     return E.claim_ledger(Star(spark, d).claim_drafts()).filter("disposition <> 'ignore' and suggested_name is not null").select("claim_id")
 
 
-@query("SELECT claim_id, row_number() OVER (PARTITION BY project_id ORDER BY block_id, claim_id) AS place FROM claims")
-def ordered_claims(spark, d):
-    return E.claim_ledger(Star(spark, d).claim_drafts()).select("claim_id", F.row_number().over(Window.partitionBy("project_id").orderBy("block_id", "claim_id")).alias("place"))
-
-
 @query("SELECT block_id, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS origin FROM blocks WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
 def upsert_claims(spark, d):
     b, k = Star(spark, d).blocks(), F.col("o_orderkey")
@@ -210,34 +228,16 @@ def candidate_decision(spark, d):
     return K.candidate_decision(scored(Star(spark, d))).select("project_id", "key", "decision", "reason")
 
 
-@query(f"SELECT decision, count(*) AS n FROM ({_DECISION}) GROUP BY 1")
-def evaluate_candidates(spark, d):
-    return K.candidate_decision(scored(Star(spark, d))).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"SELECT project_id, key FROM ({_DECISION}) WHERE decision <> 'ignore'")
 def eligible_candidates(spark, d):
     return K.candidate_decision(scored(Star(spark, d))).filter("decision <> 'ignore'").select("project_id", "key")
 
 
-@query("SELECT project_id, key, row_number() OVER (PARTITION BY project_id ORDER BY type, key) AS place FROM merged")
-def ordered_candidates(spark, d):
-    return K.merge_candidate_entities(entities(Star(spark, d))).select("project_id", "key", F.row_number().over(Window.partitionBy("project_id").orderBy("type", "key")).alias("place"))
-
-
 @query("SELECT project_id, key, count(DISTINCT document_id) AS documents FROM ksupport GROUP BY 1, 2")
 def claimed_docs(spark, d):
     return key_support(Star(spark, d)).groupBy("project_id", "key").agg(F.countDistinct("document_id").alias("documents"))
 
 
-@query("""SELECT node_id, round(least(1, 0.12::DOUBLE + 0.38::DOUBLE * (1 - exp(-e)) + 0.22::DOUBLE * (1 - exp(-dd)) + 0.18::DOUBLE * mass + 0.10::DOUBLE * (1 - exp(-b))), 6) AS confidence, round(0.08::DOUBLE + 0.27::DOUBLE * (1 - exp(-e)) + 0.24::DOUBLE * (1 - exp(-b)) + 0.18::DOUBLE * (1 - exp(-dd)), 6) AS importance FROM (
-  SELECT node_id, count(DISTINCT evidence_id) AS e, count(DISTINCT document_id) AS dd, count(DISTINCT block_id) AS b, avg(least(length(trim(original_text))::DOUBLE / 600, 1)) AS mass FROM node_evidence JOIN evidence USING (evidence_id) GROUP BY 1)""")
-def evidence_signal(spark, d):
-    s = Star(spark, d)
-    rows = node_evidence(s).join(s.evidence().withColumnRenamed("original_text", "text"), "evidence_id")
-    return K.evidence_signal(rows, ["node_id"]).select("node_id", *r6("confidence", "importance"))
-
-
 def _sides(s: Star):
     return s.blocks().select(F.col("o_orderkey").alias("k"), "block_id", "page")
 
@@ -277,14 +277,6 @@ def merge_edges(spark, d):
     return K.merge_edges(side(2, "o", F.lit(0.5)), side(3, "n", F.col("page") / 10.0)).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
 
 
-@query("SELECT block_id AS registry_id, CASE WHEN k % 2 = 0 AND page < 5 THEN 'old' WHEN k % 5 = 0 THEN 'draft' ELSE 'new' END AS summary, NOT (k % 2 = 0 AND page < 5) AS changed FROM (SELECT o_orderkey AS k, block_id, page FROM blocks) WHERE k % 3 = 0")
-def stable_summaries(spark, d):
-    b, k = _sides(Star(spark, d)), F.col("k")
-    old = b.filter(k % 2 == 0).select(F.col("block_id").alias("registry_id"), F.lit("old").alias("summary"), F.array(F.lit("b"), F.lit("a")).alias("evidence_ids"))
-    new = b.filter(k % 3 == 0).select(F.col("block_id").alias("registry_id"), F.lit("new").alias("summary"), F.when(F.col("page") < 5, F.array(F.lit("a"), F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("c"))).alias("evidence_ids"))
-    return K.stable_summaries(old, new, b.filter(k % 5 == 0).select(F.col("block_id").alias("registry_id"), F.lit("draft").alias("summary")))
-
-
 # graph
 
 
@@ -328,22 +320,6 @@ def neighbors(spark, d):
     return G.neighbors(edges(s), nodes(s), nodes(s).filter("importance > 0.97").select(F.col("node_id").alias("id")))[1].select("edge_id")
 
 
-@query("SELECT node_id FROM nodes WHERE (contains(lower(concat_ws(' ', name, type, summary)), 'steel') AND contains(lower(concat_ws(' ', name, type, summary)), 'brand#1')) OR node_id IN (SELECT node_id FROM node_evidence JOIN evidence USING (evidence_id) WHERE contains(lower(original_text), 'steel') AND contains(lower(original_text), 'brand#1')) ORDER BY node_id LIMIT 100")
-def search_knowledge(spark, d):
-    s = Star(spark, d)
-    return G.search_nodes(nodes(s).withColumn("ord", F.lit(0)), node_evidence(s), s.evidence(), " Steel brand#1", 100).select("node_id")
-
-
-@query("SELECT node_id FROM nodes WHERE contains(lower(concat_ws(' ', name, summary)), 'brand#12')")
-def search_simple(spark, d):
-    return nodes(Star(spark, d)).filter(F.contains(F.lower(F.concat_ws(" ", "name", "summary")), F.lit("brand#12"))).select("node_id")
-
-
-@query("SELECT node_id FROM nodes WHERE type LIKE 'P%' AND contains(lower(name), 'a')")
-def facet_filter(spark, d):
-    return nodes(Star(spark, d)).filter(F.col("type").startswith("P") & F.contains(F.lower("name"), F.lit("a"))).select("node_id")
-
-
 @query("SELECT trim(type) AS type, count(*) AS n FROM nodes GROUP BY 1")
 def type_facets(spark, d):
     return nodes(Star(spark, d)).groupBy(F.trim("type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
@@ -360,37 +336,6 @@ def evidence_for(spark, d):
     return node_evidence(s).join(nodes(s).filter("importance > 0.97").select("node_id"), "node_id", "left_semi").select("evidence_id").distinct()
 
 
-@query("SELECT node_id, string_agg(left(original_text, 12), ' / ' ORDER BY evidence_id) AS excerpts FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY evidence_id) AS r FROM node_evidence JOIN evidence USING (evidence_id)) WHERE r <= 4 GROUP BY 1")
-def concept_evidence_excerpts(spark, d):
-    s = Star(spark, d)
-    return G.excerpts(node_evidence(s), s.evidence(), "node_id", 4, 12)
-
-
-@query("SELECT node_id, count(*) AS n FROM node_evidence JOIN evidence USING (evidence_id) WHERE document_id NOT IN (SELECT document_id FROM docs WHERE file_name LIKE '%7') GROUP BY 1")
-def remove_documents(spark, d):
-    s = Star(spark, d)
-    gone = s.documents().filter("file_name like '%7'")
-    return G.remove_documents(node_evidence(s), s.evidence(), gone).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT edge_id FROM edges WHERE source_id IN (SELECT node_id FROM nodes WHERE members > 1) AND target_id IN (SELECT node_id FROM nodes WHERE members > 1)")
-def clear_project_graph(spark, d):
-    s = Star(spark, d)
-    return G.touching(edges(s), nodes(s).filter("members > 1").select(F.col("node_id").alias("id")), both=True).select("edge_id")
-
-
-@query("SELECT project_id, count(*) AS n FROM docs WHERE project_id NOT IN ('proj-2') GROUP BY 1")
-def delete_projects(spark, d):
-    s = Star(spark, d)
-    return s.documents().join(s.projects().filter("project_id = 'proj-2'"), "project_id", "left_anti").groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT 'node' AS record_type, node_id AS id, name, '' AS page FROM nodes UNION ALL SELECT 'evidence', evidence_id, '', CAST(page AS VARCHAR) FROM evidence")
-def export_records_csv(spark, d):
-    s = Star(spark, d)
-    return G.records({"node": nodes(s).withColumnRenamed("node_id", "id"), "evidence": s.evidence().withColumnRenamed("evidence_id", "id")}, ("id", "name", "page"))
-
-
 @query("SELECT node_id, '{\"id\":\"' || node_id || '\",\"type\":\"' || type || '\"}' AS json FROM nodes")
 def export_json(spark, d):
     return nodes(Star(spark, d)).select("node_id", F.to_json(F.struct(F.col("node_id").alias("id"), "type")).alias("json"))
@@ -403,40 +348,6 @@ def project_snapshot(spark, d):
     return mine.join(s.blocks().select("document_id", "block_id"), "document_id", "left").groupBy("project_id").agg(F.countDistinct("document_id").alias("documents"), F.count("block_id").alias("blocks"))
 
 
-_GATE = """SELECT r.project_id, source, relation_type, block_id, round(confidence, 6) AS confidence, r.status, CASE WHEN s.node_id IS NULL THEN 'source unresolved' WHEN t.node_id IS NULL THEN 'target unresolved' WHEN relation_type = 'Supplies' THEN 'unknown relation type'
-  WHEN r.status = 'inferred' AND relation_type = 'supplies' THEN 'inferred' WHEN relation_type = 'related_to' THEN 'conditions' WHEN confidence < 0.7::DOUBLE THEN 'confidence' END AS reject
-  FROM relations r LEFT JOIN (SELECT s_name, 'sup:' || s_suppkey AS node_id FROM supplier WHERE s_suppkey % 5 > 0) s ON source = s_name
-  LEFT JOIN (SELECT p_name, arg_max(p_partkey, p_partkey) AS node_id FROM part WHERE p_partkey % 100 < 30 GROUP BY 1) t ON target = p_name"""
-
-
-def _gated(s: Star) -> DataFrame:
-    region = s.projects().select("project_id")
-    names = s.raw("supplier").filter("s_suppkey % 5 > 0").select(F.concat(F.lit("sup:"), F.col("s_suppkey").cast("string")).alias("node_id"), F.col("s_suppkey").cast("long").alias("ord"), F.lit("Supplier").alias("type"), F.array("s_name").alias("names"))
-    parts = s.raw("part").filter("p_partkey % 100 < 30").select(F.col("p_partkey").cast("string").alias("node_id"), F.col("p_partkey").cast("long").alias("ord"), F.lit("Part").alias("type"), F.array("p_name").alias("names"))
-    index = G.name_index(names.union(parts).join(F.broadcast(region)))  # five projects
-    rows = s.relation_drafts().withColumns({"source_key": F.col("source"), "target_key": F.col("target"), "n_missing": F.lit(0), "n_valid": F.lit(1), "conditions": F.lit(None).cast("string")})
-    empty = F.array().cast("array<string>")
-    rule = lambda label, cond, inferred: s.spark.range(1).select(F.lit(label).alias("label"), F.lit(False).alias("symmetric"), F.lit(cond).alias("requires_conditions"), F.lit(inferred).alias("allow_inferred"), F.array(F.lit("Supplier")).alias("sources"), empty.alias("targets"))
-    return G.relation_gate(G.resolve_endpoints(rows, index), rule("supplies", False, False).union(rule("related_to", True, True)), 0.7)
-
-
-@query(_GATE)
-def relation_gate(spark, d):
-    return _gated(Star(spark, d)).select("project_id", "source", "relation_type", "block_id", *r6("confidence"), "status", "reject")
-
-
-@query(f"SELECT count(*) AS n, count(*) FILTER (reject = 'source unresolved') AS no_source, count(*) FILTER (reject = 'target unresolved') AS no_target FROM ({_GATE})")
-def resolve_endpoints(spark, d):
-    r = _gated(Star(spark, d))
-    return r.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("reject") == "source unresolved").cast("long")).alias("no_source"), F.sum((F.col("reject") == "target unresolved").cast("long")).alias("no_target"))
-
-
-@query("""SELECT edge, round(max(v), 6) AS confidence, max(n) AS evidence FROM (SELECT edge, n, coalesce(CASE WHEN k % 3 = 0 THEN page::DOUBLE / 10 END, 0.12::DOUBLE + 0.48::DOUBLE * (1 - exp(-n))) AS v FROM (
-  SELECT document_id AS edge, o_orderkey AS k, page, row_number() OVER (PARTITION BY document_id ORDER BY o_orderkey) AS n FROM blocks)) GROUP BY 1""")
-def running_edge_confidence(spark, d):
-    b = Star(spark, d).blocks()
-    rows = b.select(F.col("document_id").alias("edge"), F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderkey") % 3 == 0, F.col("page") / 10.0).alias("confidence"), "block_id")
-    return G.running_edge_confidence(rows).select("edge", *r6("confidence"), "evidence")
 
 
 @query()
@@ -448,20 +359,9 @@ def retrieve_context(spark, d):
     return G.retrieve_context(questions, staged(edges(s), "context-edges"), proof)
 
 
-@query("SELECT project_id, document_id FROM docs WHERE document_id NOT IN (SELECT document_id FROM blocks)")
-def answerable(spark, d):
-    s = Star(spark, d)
-    return s.documents().join(s.blocks().select("document_id"), "document_id", "left_anti").select("project_id", "document_id")
-
-
 # classification and single assignment
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'law' WHEN p_partkey % 9 = 1 THEN 'theorem' WHEN p_partkey % 9 = 2 THEN 'model' WHEN p_partkey % 9 = 3 THEN 'method' WHEN p_partkey % 9 = 4 THEN 'formula' WHEN p_partkey % 9 = 5 THEN 'formula' WHEN p_partkey % 9 = 7 THEN 'law' ELSE NULL END AS role FROM part""")
-def role_from_name(spark, d):
-    return L.role_from_name(L.classified_names(Star(spark, d).raw("part"))).select("p_partkey", "role")
-
-
 @query()
 def single_assignment(spark, d):
     s = Star(spark, d)

@@ -106,24 +106,11 @@ def extract_json_object(spark, d):
     return Texts(spark, d).raw("events").select("event_id", (F.size(got) > 0).alias("parsed"))
 
 
-@query(f"""WITH {MESSAGES} SELECT thread_id, coalesce(nullif(left({NORM.format('text')}, 72), ''), 'New conversation') AS title FROM messages WHERE ord = 0""")
+@query(f"""WITH {MESSAGES} SELECT thread_id, coalesce(nullif(left({NORM.format('text')}, 72), ''), 'New chat') AS title FROM messages WHERE ord = 0""")
 def thread_title(spark, d):
     return Texts(spark, d).messages().filter("ord = 0").select("thread_id", X.thread_title(F.col("text")).alias("title"))
 
 
-@query(f"WITH {MESSAGES} SELECT thread_id, ord, CASE WHEN thread_id % 2 = 0 THEN regexp_matches(text, '推断|推测|可能') ELSE regexp_matches(text, '(?i)\\b(inference|inferred|likely|suggests?)\\b') END AS value FROM (SELECT thread_id, ord, CASE WHEN ord % 3 = 1 THEN 'Inference: ' || text ELSE text END AS text FROM messages)")
-def has_inference_marker(spark, d):
-    t = F.when(F.col("ord") % 3 == 1, F.concat(F.lit("Inference: "), "text")).otherwise(F.col("text"))
-    return Texts(spark, d).messages().select("thread_id", "ord", X.has_inference_marker(t, F.when(F.col("thread_id") % 2 == 0, "zh").otherwise("en")).alias("value"))
-
-
-@query(f"WITH {MESSAGES} SELECT thread_id, ord, ord % 5 = 0 AND ord > 0 AS value FROM messages")
-def leaks_internal_id(spark, d):
-    uuid = F.lit(" 0f8fad5b-d9cb-469f-a165-70867728950e")
-    t = F.when((F.col("ord") % 5 == 0) & (F.col("ord") > 0), F.concat("text", uuid)).otherwise(F.col("text"))
-    return Texts(spark, d).messages().select("thread_id", "ord", F.coalesce(t.rlike(X.ID_SHAPE), F.lit(False)).alias("value"))
-
-
 @query("SELECT o_orderkey, '\"' || replace(o_clerk || '\"x', '\"', '\"\"') || '\"' AS value FROM (SELECT o_orderkey, o_orderpriority AS o_clerk FROM orders)")
 def csv_cell(spark, d):
     return Texts(spark, d).raw("orders").select("o_orderkey", X.csv_cell(F.concat("o_orderpriority", F.lit('"x'))).alias("value"))
@@ -139,25 +126,12 @@ def sanitize_file_name(spark, d):
     return Texts(spark, d).raw("pages").select("page_id", X.sanitize_file_name(F.col("url")).alias("value"))
 
 
-@query("SELECT o_orderkey, concat_ws(' · ', 'report', 'p. ' || (o_orderkey % 10), CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END) AS value FROM orders")
-def citation_label(spark, d):
-    topic = F.when(F.col("o_orderkey") % 3 == 0, "  ").otherwise(F.col("o_orderpriority"))
-    return Texts(spark, d).raw("orders").select("o_orderkey", X.citation_label(F.lit("report.pdf"), F.col("o_orderkey") % 10, topic).alias("value"))
-
-
 @query("SELECT c_custkey, sha256('{\"name\":\"' || c_name || '\",\"nation\":' || c_nationkey || '}') AS value FROM customer")
 def canonical_json(spark, d):
     got = X.canonical_json(nation=F.col("c_nationkey"), name=F.col("c_name"), gone=F.lit(None).cast("string"))
     return Texts(spark, d).raw("customer").select("c_custkey", F.sha2(got.cast("binary"), 256).alias("value"))
 
 
-@query("SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END)::BIGINT AS a, sum(CASE WHEN l_returnflag <> 'A' THEN 1 ELSE 0 END)::BIGINT AS other FROM lineitem GROUP BY 1")
-def coalesce_relation_type(spark, d):
-    flag = F.col("l_returnflag")
-    kind = F.coalesce(F.when(flag == "A", "a"), F.when(flag == "R", "other"), F.lit("other"))
-    return Texts(spark, d).raw("lineitem").groupBy("l_orderkey").agg(F.sum((kind == "a").cast("long")).alias("a"), F.sum((kind == "other").cast("long")).alias("other"))
-
-
 def _brand_props(spark, d):
     li = Texts(spark, d).raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.create_map(F.col("l_returnflag"), F.col("l_partkey").cast("string"), F.concat(F.col("l_returnflag"), F.lit("x")), F.col("l_suppkey").cast("string")).alias("props"))
     return li, [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")]
@@ -309,11 +283,6 @@ def history_tail(spark, d):
     return C.history_tail(Texts(spark, d).messages())
 
 
-@query(f"WITH {MESSAGES} SELECT thread_id, row_number() OVER (ORDER BY max(ord) DESC, thread_id) AS place FROM messages GROUP BY 1")
-def threads_by_recency(spark, d):
-    return C.threads_by_recency(Texts(spark, d).messages()).withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated"), "thread_id"))).select("thread_id", "place")
-
-
 @query(f"WITH {MESSAGES} SELECT thread_id, ord, role FROM messages WHERE thread_id = 3")
 def messages_in_order(spark, d):
     return C.messages_in_order(Texts(spark, d).messages(), 3).select("thread_id", "ord", "role")

@@ -15,6 +15,7 @@ class Star:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.memo: dict[str, DataFrame] = {}  # what queries have staged
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -71,7 +72,7 @@ class Star:
         name = F.when(k % 5 == 0, F.replace(name, F.lit(" "), F.lit("_"))).otherwise(name)
         typed = F.concat(name, F.lit(" of type "), F.col("p_type"))
         pairs = (
-            self.lines().select("l_partkey", "l_orderkey").join(self.blocks().select("o_orderkey", "document_id"), F.col("l_orderkey") == F.col("o_orderkey"))
+            self.raw("lineitem").select("l_partkey", "l_orderkey").distinct().join(self.blocks().select("o_orderkey", "document_id"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.documents().select("document_id", "project_id"), "document_id").select("project_id", "l_partkey").distinct()
         )
         return pairs.join(self.raw("part"), F.col("l_partkey") == k).select(
@@ -84,7 +85,7 @@ class Star:
     def entity_evidence(self) -> DataFrame:
         """(project_id, ord, block_id, document_id, text): blocks of returned lines."""
         return (
-            self.lines().filter("l_returnflag = 'A'").select("l_partkey", "l_orderkey").distinct()
+            self.raw("lineitem").filter("l_returnflag = 'A'").select("l_partkey", "l_orderkey").distinct()
             .join(self.blocks(), F.col("l_orderkey") == F.col("o_orderkey")).join(self.documents().select("document_id", "project_id"), "document_id")
             .select("project_id", F.col("l_partkey").alias("ord"), "block_id", "document_id", "text").distinct()
         )
@@ -126,3 +127,26 @@ class Texts:
 
     def messages(self) -> DataFrame:
         return self.raw("conversations").select(F.col("conv_id").alias("thread_id"), F.concat(F.lit("proj-"), (F.col("conv_id") % 20).cast("string")).alias("project_id"), F.col("turn").cast("long").alias("ord"), "role", "text")
+
+
+# Names of every role's pattern, of none, and of what only looks like one.
+SUFFIXES = (
+    "law", "Ohm rules", "rule of thumb", "定则", "two theorems", "定理", "theory", "theories", "model", "方法 x", "方法x", "技术", "algorithm", "regression analysis", "analysis of cost", "数据分析",
+    "equation of state", "expression", "公式", "质量", "error metric", "parameter set", "drop test", "测试", "实验y", "phenomenon", "Effect", "behaviors", "现象", "élaw", "lawful", "velocity relation",
+    "gravity constant", "mean lemma", "rate of change", "E = mc", "none",
+)
+# Types as they are written, with the aliases of roles among them.
+TYPES = ("Law", " principle ", "ALGORITHM", "公式", "metric", "experiment", "effect", "researcher", "sample", "other", "gadget", "theory")
+
+
+def classified_parts(star: Star) -> DataFrame:
+    """project_id, ord, name, type, content and a proposal for each part."""
+    k = F.col("p_partkey")
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (by % len(values) + 1).cast("int"))
+    name = F.concat_ws(" ", "p_name", pick(SUFFIXES, k))
+    proposed = F.when(k % 5 > 0, pick(("law", "model", "method", "bogus", "concept"), F.floor(k / 5)))
+    return star.raw("part").select(
+        F.concat(F.lit("proj-"), (k % 5).cast("string")).alias("project_id"), k.cast("long").alias("ord"), name.alias("name"), pick(TYPES, F.floor(k / 3)).alias("type"),
+        F.concat_ws(" ", name, F.when(k % 13 == 0, "a ∑ b")).alias("content"), proposed.alias("proposed"), F.when(k % 2 == 0, 0.6).otherwise(0.8).alias("confidence"),
+        (k % 3 == 0).alias("identity"), (k % 17 == 0).alias("needs_review"), F.when(k % 4 == 0, "review").alias("proposal_source"),
+    )

@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from evigraph.plans import plan_queries, star_queries, text_queries
+from evigraph.plans import more_queries, plan_queries, rule_queries, star_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
-CORE = {**text_queries.SQL, **star_queries.SQL, **plan_queries.SQL}
+CORE = {**text_queries.SQL, **star_queries.SQL, **plan_queries.SQL, **more_queries.SQL, **rule_queries.SQL}
 
 
 def value(x):
@@ -24,7 +24,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(CORE)[::3])
+@pytest.mark.parametrize("name", sorted(CORE))
 def test_query_equals_sql(spark, con, name):
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)

@@ -50,9 +50,9 @@ class DigestIndex:
         for name, asked in (("buckets", buckets), ("id_type", id_type and id_type.lower())):
             if asked not in (None, has[name]):
                 raise ValueError(f"the index in {self.path} has {name} {has[name]}, not {asked}")
-        self._open(has["version"], has["buckets"], has["id_type"])
+        self._open(has["version"], has["buckets"], has["id_type"], reopened=True)
 
-    def _open(self, version: int, buckets: int, id_type: str) -> None:
+    def _open(self, version: int, buckets: int, id_type: str, reopened: bool = False) -> None:
         self.version, self.buckets, self.id_type = version, buckets, id_type.lower()
         name = f"digest_index_{hashlib.sha256(self.path.encode()).hexdigest()[:24]}_v{version}"
         self.digests, self.counts = f"{name}_digests", f"{name}_counts"
@@ -61,6 +61,8 @@ class DigestIndex:
                 f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet {extra}"
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.folder(table)}'"
             )
+        if not reopened:
+            return
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(self.counts))
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(folder)
         self.spark.sql(f"MSCK REPAIR TABLE {self.counts}")  # a catalog that is new to the folder doesn't know its batches
@@ -93,7 +95,7 @@ class DigestIndex:
         self._insert(f"OVERWRITE {self.counts} PARTITION (batch = '{batch}')", candidates.select("digest", "copies"))
 
     def _insert(self, into: str, rows: DataFrame) -> None:
-        dealt = rows.repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        dealt = rows.repartition(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))  # as the table's buckets: one file for each, sorted by the writer
         self.spark.sql(f"INSERT {into} SELECT * FROM {{rows}}", rows=dealt)
         self.spark.catalog.refreshTable(into.split()[1])
 

@@ -120,9 +120,25 @@ def resolve_node_suffix(spark, d):
     return N.resolve_node_suffix(asked, n).select("id", F.col("name").alias("resolved"))
 
 
-@query(f"WITH {LINES} SELECT document_id, string_agg(left(text, 20), ' ' ORDER BY ord) AS themes FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ord) AS r FROM lines) WHERE r <= 3 GROUP BY 1")
+ITEMS = LINES + """, words AS (SELECT *, string_split(text, ' ') AS w FROM lines),
+  items AS (SELECT project_id, document_id, doc_id, ord, ord // 4 AS slice, w[1] AS theme, array_to_string(w[1:2], ' ') AS entity, array_to_string(w[1:3], ' ') AS title, text AS statement,
+    ((doc_id * 7 + ord * 3) % 11)::DOUBLE / 10 AS importance, CASE WHEN ord % 3 = 0 THEN array_to_string(w[2:4], ' ') END AS topic FROM words)"""
+
+
+def said(items: DataFrame, text: str) -> DataFrame:
+    """One of the columns of the analysis items as texts."""
+    return items.filter(F.col(text).isNotNull()).withColumn("text", F.col(text))
+
+
+@query(f"""WITH {ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ord) AS e, row_number() OVER (PARTITION BY document_id ORDER BY importance DESC, ord) AS p,
+    CASE WHEN topic IS NOT NULL THEN row_number() OVER (PARTITION BY document_id, topic IS NULL ORDER BY ord) END AS t, row_number() OVER (PARTITION BY document_id, theme ORDER BY ord) AS again FROM items)
+  SELECT document_id, (SELECT string_agg(theme, ' / ' ORDER BY ord) FROM (SELECT theme, ord FROM r q WHERE q.document_id = r.document_id AND again = 1 AND theme <> '' ORDER BY ord LIMIT 32)) AS themes,
+    string_agg(entity, ' / ' ORDER BY e) FILTER (e <= 30) AS entities, string_agg(title || ': ' || statement, ' / ' ORDER BY p) FILTER (p <= 40) AS points,
+    string_agg(topic, ' / ' ORDER BY t) FILTER (t <= 16) AS topics, count(*) FILTER (ord % 3 > 0) AS unresolved FROM r GROUP BY document_id""")
 def compact_analyses(spark, d):
-    return N.top_texts(Texts(spark, d).line_blocks().select("document_id", "ord", F.substring("text", 1, 20).alias("text")), "document_id", 3, " ").withColumnRenamed("texts", "themes")
+    items = Texts(spark, d).analysis_items()
+    points = items.withColumn("text", F.concat_ws(": ", "title", "statement"))
+    return N.compact_analyses(items, said(items, "theme"), said(items, "entity"), points, said(items, "topic"), items)
 
 
 @query(f"WITH {LINES} SELECT document_id, left(string_agg(text, ' ' ORDER BY ord), 2500) AS summary, count(*) AS blocks FROM lines GROUP BY 1")
@@ -145,17 +161,35 @@ def analysis_coverage(spark, d):
     return N.analysis_coverage(b, seen)
 
 
-@query(f"""WITH {LINES} SELECT block_id, string_agg(left(text, 30), ' / ' ORDER BY ord) OVER (PARTITION BY document_id ORDER BY ord ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS digest FROM lines""")
+@query(f"""WITH {ITEMS}, slices AS (SELECT document_id, slice, string_agg(statement, ' ' ORDER BY ord) AS summary FROM items GROUP BY ALL),
+  themes AS (SELECT document_id, theme, min((slice, ord)) AS o, min(slice) AS since FROM items WHERE theme <> '' GROUP BY ALL),
+  places AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY o) AS place FROM themes),
+  e AS (SELECT s.document_id, s.slice, i.entity, i.title, i.ord, row_number() OVER (PARTITION BY s.document_id, s.slice ORDER BY i.ord DESC) AS back
+    FROM slices s JOIN items i ON i.document_id = s.document_id AND i.slice < s.slice),
+  lists AS (SELECT document_id, slice, string_agg(entity, ' / ' ORDER BY ord) FILTER (back <= 60) AS entities, string_agg(title, ' / ' ORDER BY ord) FILTER (back <= 80) AS points FROM e GROUP BY ALL),
+  told AS (SELECT s.document_id, s.slice, string_agg(theme, ' / ' ORDER BY place) AS themes FROM slices s JOIN places p ON p.document_id = s.document_id AND p.since < s.slice AND place <= 24 GROUP BY ALL),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY slice) AS i, string_agg(summary, ' / ') OVER (PARTITION BY document_id ORDER BY slice ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS summaries FROM slices)
+  SELECT n.document_id, n.slice, summaries, CASE WHEN i > 1 THEN coalesce(themes, '') END AS themes, CASE WHEN i > 1 THEN coalesce(entities, '') END AS entities, CASE WHEN i > 1 THEN coalesce(points, '') END AS points
+  FROM numbered n LEFT JOIN lists USING (document_id, slice) LEFT JOIN told USING (document_id, slice)""")
 def rolling_digest(spark, d):
-    return N.rolling_digest(Texts(spark, d).line_blocks().withColumn("text", F.substring("text", 1, 30))).select("block_id", "digest")
-
-
-@query(f"WITH {LINES} SELECT project_id, string_agg(t, ' / ' ORDER BY o, t) AS themes FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY o, t) AS r FROM (SELECT project_id, left(text, 12) AS t, min((doc_id, ord)) AS o FROM lines GROUP BY 1, 2)) WHERE r <= 24 GROUP BY 1")
+    items = Texts(spark, d).analysis_items()
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("ord", "statement"))), lambda x: x["statement"])  # four lines at most
+    slices = items.groupBy("document_id", "slice").agg(F.array_join(joined, " ").alias("summary"))
+    return N.rolling_digest(slices, said(items, "theme"), said(items, "entity"), said(items, "title"))
+
+
+@query(f"""WITH {ITEMS}, docs AS (SELECT project_id, doc_id, left(string_agg(statement, ' ' ORDER BY ord), 2500) AS summary FROM items GROUP BY ALL),
+  t AS (SELECT project_id, 'themes' AS kind, theme AS x, doc_id, 0 AS part, ord FROM items UNION ALL SELECT project_id, 'required', title, doc_id, 0, ord FROM items WHERE importance >= 0.6
+    UNION ALL SELECT project_id, 'required', topic, doc_id, 1, ord FROM items),
+  f AS (SELECT project_id, kind, x, min((doc_id, part, ord)) AS o FROM t WHERE x <> '' GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY project_id, kind ORDER BY o, x) AS place FROM f),
+  l AS (SELECT project_id, string_agg(x, ' / ' ORDER BY place) FILTER (kind = 'themes') AS themes, string_agg(x, ' / ' ORDER BY place) FILTER (kind = 'required') AS required FROM r WHERE place <= 24 GROUP BY 1)
+  SELECT project_id, left(string_agg(summary, ' ' ORDER BY doc_id), 2000) AS corpus_summary, any_value(themes) AS themes, any_value(required) AS required FROM docs LEFT JOIN l USING (project_id) GROUP BY 1""")
 def corpus_plan_fallback(spark, d):
-    b = Texts(spark, d).line_blocks()
-    first = b.groupBy("project_id", F.substring("text", 1, 12).alias("text")).agg(F.min(F.struct("doc_id", "ord")).alias("o"))
-    place = F.row_number().over(Window.partitionBy("project_id").orderBy("o", "text"))
-    return N.top_texts(first.select("project_id", "text", place.alias("ord")), "project_id", 24, " / ").withColumnRenamed("texts", "themes")
+    t = Texts(spark, d)
+    items = t.analysis_items()
+    ids = t.documents().select("document_id", "project_id", "doc_id")
+    summaries = N.default_slices(t.line_blocks()).join(ids, "document_id").select("project_id", "doc_id", "summary")
+    return N.corpus_plan_fallback(summaries, said(items, "theme"), said(items, "title"), said(items, "topic"))
 
 
 @query(f"WITH {LINES} SELECT block_id, 'unresolved' AS status FROM lines WHERE doc_id % 10 = 7")

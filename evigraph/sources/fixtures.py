@@ -121,6 +121,16 @@ class Texts:
         lines = self.documents().select("project_id", "document_id", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ord", "text")).filter("text <> ''")
         return lines.select("project_id", "document_id", "doc_id", F.col("ord").cast("long").alias("ord"), F.concat("document_id", F.lit(":block:"), F.col("ord").cast("string")).alias("block_id"), "text")
 
+    def analysis_items(self) -> DataFrame:
+        """What the slices of four lines say, a row per line: slice, theme, entity, title, statement (the whole line), importance, topic, status."""
+        words = F.split("text", " ")
+        some = lambda start, n: F.array_join(F.slice(words, start, n), " ")
+        return self.line_blocks().select(
+            "project_id", "document_id", "doc_id", "ord", "block_id", F.floor(F.col("ord") / 4).cast("long").alias("slice"), some(1, 1).alias("theme"), some(1, 2).alias("entity"), some(1, 3).alias("title"),
+            F.col("text").alias("statement"), (((F.col("doc_id") * 7 + F.col("ord") * 3) % 11).cast("double") / 10).alias("importance"), F.when(F.col("ord") % 3 == 0, some(2, 3)).alias("topic"),
+            F.when(F.col("ord") % 3 == 0, "analysed").otherwise("unresolved").alias("status"),
+        )
+
     def relevance_decisions(self) -> DataFrame:
         q, x = F.col("quality").cast("double"), F.col("toxic").cast("double")
         return self.raw("labels").select("doc_id", ((F.col("quality") == 1) | (F.col("doc_id") % 2 == 0)).alias("keep"), (F.lit(0.3) + 0.5 * q - 0.25 * x).alias("score"))

@@ -39,6 +39,19 @@ def default_relation_rules(types: DataFrame, rules: DataFrame) -> DataFrame:
     return types.join(rules.select("project_id", "label").distinct(), ["project_id", "label"], "left_anti").select("project_id", "label", F.lit(False).alias("symmetric"), F.lit(True).alias("allow_inferred"))
 
 
+def default_field_rules(important: DataFrame, required: DataFrame, rules: DataFrame) -> DataFrame:
+    """project_id, id, label, priority: a project's own field rules, else one for each of the first 32 distinct important and required labels.
+
+    As many rules as there are important labels, repeats and blanks included, are critical (one at least), the rest high. ``important``, ``required``:
+    project_id, ord, label (blanks and nulls make no rule); ``rules``: project_id, id, label, priority. A project without labels and rules has none.
+    """
+    labels = ordered_union([important, required], 32).join(rules.select("project_id").distinct(), "project_id", "left_anti")
+    counts = important.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    critical = F.col("place") <= F.greatest(F.lit(1), F.coalesce("n", F.lit(0)))
+    made = labels.join(counts, "project_id", "left").select("project_id", F.concat(F.lit("field-"), F.col("place").cast("string")).alias("id"), "label", F.when(critical, "critical").otherwise("high").alias("priority"))
+    return rules.select("project_id", "id", "label", "priority").unionByName(made)
+
+
 def remap_category_ids(rules: DataFrame, categories: DataFrame, original: DataFrame) -> DataFrame:
     """Rules (project_id, rule, category) with ``mapped``: the category of this id, else of the original's role."""
     direct = categories.select("project_id", F.col("id").alias("category"), F.col("id").alias("direct"))

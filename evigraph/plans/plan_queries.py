@@ -64,6 +64,17 @@ def default_relation_rules(spark, d):
     return O.default_relation_rules(t, t.filter("ord % 3 = 0"))
 
 
+@query(f"""WITH {TYPES}, mine AS (SELECT project_id, 'own-' || ord AS id, label, 'normal' AS priority FROM types WHERE project_id = 'proj-0'),
+  u AS (SELECT project_id, label, min((CASE WHEN ord % 2 = 0 THEN 0 ELSE 1 END, ord)) AS o FROM types WHERE project_id NOT IN (SELECT project_id FROM mine) GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY o, label) AS place FROM u), n AS (SELECT project_id, count(*) FILTER (ord % 2 = 0) AS n FROM types GROUP BY 1)
+  SELECT * FROM mine UNION ALL SELECT project_id, 'field-' || place, label, CASE WHEN place <= greatest(1, n) THEN 'critical' ELSE 'high' END FROM r JOIN n USING (project_id) WHERE place <= 32""")
+def default_field_rules(spark, d):
+    t = types(Star(spark, d))
+    own = t.filter("project_id = 'proj-0'").select("project_id", F.concat(F.lit("own-"), F.col("ord").cast("string")).alias("id"), "label", F.lit("normal").alias("priority"))
+    plain = t.select("project_id", "ord", "label")
+    return O.default_field_rules(plain.filter("ord % 2 = 0"), plain, own)
+
+
 @query(f"WITH {TYPES}, {CATS} SELECT c.project_id, c.label AS rule, c.id AS category, coalesce(CASE WHEN c.ord % 2 = 0 THEN c.id END, (SELECT min(id) FROM cats k WHERE k.project_id = c.project_id AND k.role = c.role AND k.ord % 2 = 0)) AS mapped FROM cats c")
 def remap_category_ids(spark, d):
     t = types(Star(spark, d))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import new_path
-from . import chat, decontam, exact_index, langid, mixing, quality, secrets, shards, simhash, urltrie
+from . import bpe, chat, decontam, exact_index, langid, merkle, mixing, quality, repeats, secrets, shards, simhash, urltrie
 
 # The rules of the url query.
 URL_RULES = [
@@ -100,10 +100,50 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one document in ten the words from a place on are made periodic first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    docs = docs.withColumn("h", h).withColumn("words", F.when(h % 10 == 0, repeats.words(F.col("text"))))
+    g, n = F.floor(F.col("h") / 10), F.size("words").cast("long")
+    docs = docs.withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    word = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    planted = docs.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(F.transform("words", word), " ")).alias("text"))
+    found = repeats.find_runs(planted)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coder = bpe.Coder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(table(spark, sf_dir, "documents"), coder)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves with 7 | crc32 of their id are tampered with and then held against the proofs of the originals."""
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda n: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(tampered, leaf(F.col("n_chars") + 1)).alias("other"))
+    found = merkle.prove(leaves, "lang", "doc_id", "leaf", "other")
+    found = found.withColumn("folded", merkle.folded(F.coalesce("other", "leaf"), F.col("siblings"), F.col("lefts")))
+    return found.select(
+        "doc_id", merkle.hexed(F.col("leaf")).alias("leaf"), merkle.hexed(F.col("subroot")).alias("subroot"), merkle.hexed(F.col("root")).alias("root"),
+        merkle.hexed(merkle.proof_digest(F.col("siblings"))).alias("proof_sha256"), merkle.hexed(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_secrets, op3_langid, op4_urls, op5_decontam, op6_simhash, op7_quality, op8_exact_dedup, op9_shards, op10_chat, pipeline)
+    f.__name__: f for f in (op1_mixing, op2_secrets, op3_langid, op4_urls, op5_decontam, op6_simhash, op7_quality, op8_exact_dedup, op9_shards, op10_chat, op11_runs, op12_bpe, op13_merkle, pipeline)
 }

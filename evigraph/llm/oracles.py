@@ -87,4 +87,28 @@ def _chat() -> str:
     SELECT t.conv_id, (t.pos - 1) // 256 AS part, k.n_turns, k.copies, string_agg({shown}, '' ORDER BY t.pos) AS text FROM t JOIN k USING (conv_id) GROUP BY ALL"""
 
 
-ORACLES = {"op2_secrets": _secrets(), "op4_urls": _urls(), "op8_exact_dedup": _exact(), "op10_chat": _chat()}
+# CRC-32 bit by bit; trees by recursion, a level at a time; a proof's steps from the level's other nodes.
+_MERKLE = """WITH RECURSIVE d AS (SELECT doc_id, lang, n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail,
+    concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-')) AS head,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+      lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)), lambda r, i: xor(r >> 1, CASE WHEN r % 2 = 1 THEN 3988292384 ELSE 0 END)))) AS crc FROM documents),
+leaves AS (SELECT doc_id, lang, coalesce('=' || lang, '') AS tree, sha256(concat(head, coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-'), tail)) AS leaf,
+    CASE WHEN coalesce(crc % 7 = 0, false) THEN sha256(concat(head, coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-'), tail)) END AS other FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+low AS (SELECT tree, 0 AS level, idx, n, leaf AS digest FROM placed
+    UNION ALL SELECT tree, level + 1, idx, n, digest FROM (SELECT tree, level, idx // 2 AS idx, (max(n) + 1) // 2 AS n, sha256(string_agg(digest, '' ORDER BY idx)) AS digest FROM low WHERE n > 1 GROUP BY tree, level, idx // 2)),
+subroots AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS rank, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS level, rank AS idx, n, subroot AS digest FROM subroots
+    UNION ALL SELECT level + 1, idx, n, digest FROM (SELECT level, idx // 2 AS idx, (max(n) + 1) // 2 AS n, sha256(string_agg(digest, '' ORDER BY idx)) AS digest FROM high WHERE n > 1 GROUP BY level, idx // 2)),
+steps AS (SELECT p.tree, p.idx, l.level, (p.idx >> l.level) % 2 = 1 AS on_left, s.digest AS sib
+      FROM placed p JOIN (SELECT DISTINCT tree, level FROM low WHERE n > 1) l USING (tree) LEFT JOIN low s ON s.tree = p.tree AND s.level = l.level AND s.idx = xor(p.idx >> l.level, 1)
+    UNION ALL SELECT p.tree, p.idx, 100 + l.level, (r.rank >> l.level) % 2 = 1, s.digest
+      FROM placed p JOIN subroots r USING (tree) JOIN (SELECT DISTINCT level FROM high WHERE n > 1) l ON true LEFT JOIN high s ON s.level = l.level AND s.idx = xor(r.rank >> l.level, 1)),
+proofs AS (SELECT tree, idx, list(CASE WHEN on_left THEN 'L' ELSE 'R' END || coalesce(sib, '') ORDER BY level) AS proof FROM steps GROUP BY ALL),
+folds AS (SELECT doc_id, leaf, subroot, (SELECT digest FROM high WHERE n = 1) AS root, coalesce(proof, []) AS proof,
+    list_reduce(list_prepend(coalesce(other, leaf), coalesce(proof, [])), lambda h, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || h ELSE h || s[2:] END)) AS folded_root
+    FROM placed JOIN subroots USING (tree) LEFT JOIN proofs USING (tree, idx))
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(proof, lambda s: s[2:]), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folds"""
+
+
+ORACLES = {"op2_secrets": _secrets(), "op4_urls": _urls(), "op8_exact_dedup": _exact(), "op10_chat": _chat(), "op13_merkle": _MERKLE}

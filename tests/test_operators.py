@@ -1,6 +1,7 @@
 """First-wins and last-wins rules, ties, nulls and empty input of the core operators, on literals."""
 
 import math
+import random
 import re
 
 import pytest
@@ -219,3 +220,47 @@ def test_long_chains_of_rivals_are_decided(spark):
     members = [(f"g{i:03}", f"m{j}", "merge") for i in range(140) for j in (i, i + 1)]
     got = assign.assign(spark.createDataFrame(groups, "group_id string, ord string, canonical string, confidence double"), spark.createDataFrame(members, "group_id string, member_id string, action string"))
     assert {r["member_id"]: (r["group_id"], r["kind"]) for r in got.collect()} == slow_assign(groups, members)
+
+
+def slow_keys(rows):
+    created, out = {}, {}
+    for project, ord_, names in sorted(rows, key=lambda r: (r[0], r[1])):
+        known = [n for n in names if (project, n) in created]
+        key = min(known, key=lambda n: created[project, n]) if known else names[0]
+        created.setdefault((project, key), ord_)
+        out[project, ord_] = key
+    return out
+
+
+def test_entity_keys_equal_the_sequential_rule(spark):
+    rng = random.Random(11)
+    rows = [(f"p{k % 3}", k, [f"n{rng.randrange(60)}" for _ in range(rng.choice([1, 1, 2, 3]))]) for k in range(400)]
+    got = assign.entity_keys(spark.createDataFrame(rows, "project_id string, ord long, names array<string>"))
+    assert {(r["project_id"], r["ord"]): r["key"] for r in got.collect()} == slow_keys(rows)
+
+
+def test_a_giant_component_of_entities_is_no_group(spark, monkeypatch):
+    """Chains of 100,000 entities, each with its neighbour's name as an alias: in order, and in random order."""
+    n, rounds = 100_000, []
+    plain = assign._contracted
+    monkeypatch.setattr(assign, "_contracted", lambda state: rounds.append(1) or plain(state))
+    order = list(range(n))
+    for shuffled in (False, True):
+        rounds.clear()
+        if shuffled:
+            random.Random(2).shuffle(order)
+        rows = [("p", order[k], [f"n{k}", f"n{k - 1}"] if k else ["n0"]) for k in range(n)]
+        df = spark.createDataFrame(rows, "project_id string, ord long, names array<string>")
+        assert {("p", r["ord"]): r["key"] for r in assign.entity_keys(df).collect()} == slow_keys(rows)
+        assert len(rounds) <= 12
+
+
+def test_a_chain_of_groups_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 10_000, []
+    plain = assign.staged
+    monkeypatch.setattr(assign, "staged", lambda df, name: rounds.append(name) or plain(df, name))
+    groups = [(f"{k:05d}", f"{k:05d}", f"m{k}", 0.9) for k in range(n)]
+    members = [(f"{k:05d}", f"m{j}", "merge") for k in range(n) for j in (k, k + 1)]
+    got = assign.assign(spark.createDataFrame(groups, "group_id string, ord string, canonical string, confidence double"), spark.createDataFrame(members, "group_id string, member_id string, action string"))
+    assert {r["member_id"]: (r["group_id"], r["kind"]) for r in got.collect()} == slow_assign(groups, members)
+    assert rounds.count("come-state") < 40

@@ -22,6 +22,19 @@ def signal(evidence: Column, documents: Column, blocks: Column, mass: Column) ->
     return X.clamp01(0.12 + 0.38 * e + 0.22 * d + 0.18 * mass + 0.10 * b)
 
 
+# How the two scores are explained where none was given.
+REASONS = {"confidence": "基于%s 条证据、%s 个来源文档、%s 个证据块及原文完整度计算。", "importance": "基于%s 条证据、%s 个来源文档、%s 个证据块、重复出现次数和结构化属性覆盖度计算。"}
+
+
+def signal_reason(evidence: Column, documents: Column, blocks: Column, of: str) -> Column:
+    return F.format_string(REASONS[of], *[c.cast("string") for c in (evidence, documents, blocks)])
+
+
+def importance_signal(evidence: Column, documents: Column, blocks: Column, occurrences: Column, properties: Column) -> Column:
+    e, d, b, o, p = (saturation(c) for c in (evidence, documents, blocks, occurrences, properties))
+    return X.clamp01(0.08 + 0.27 * e + 0.24 * b + 0.18 * d + 0.13 * o + 0.10 * p)
+
+
 def evidence_signal(item_evidence: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     """keys + confidence, importance, from evidence, documents, blocks, text mass, occurrences and properties.
 
@@ -31,10 +44,9 @@ def evidence_signal(item_evidence: DataFrame, items: DataFrame, keys: list[str])
         F.countDistinct("evidence_id").alias("e"), F.countDistinct("document_id").alias("d"), F.countDistinct("block_id").alias("b"),
         F.avg(F.least(F.length(F.trim("text")) / 600.0, F.lit(1.0))).alias("mass"),
     )
-    e, d, b, o, p = (saturation(F.col(c)) for c in ("e", "d", "b", "occurrences", "properties"))
     return got.join(items.hint("merge"), keys).select(
         *keys, signal(F.col("e"), F.col("d"), F.col("b"), F.col("mass")).alias("confidence"),
-        X.clamp01(0.08 + 0.27 * e + 0.24 * b + 0.18 * d + 0.13 * o + 0.10 * p).alias("importance"),
+        importance_signal(*[F.col(c) for c in ("e", "d", "b", "occurrences", "properties")]).alias("importance"),
     )
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.scratch import staged
-from .candidates import signal
+from .candidates import signal, signal_reason
+from .order import running_sums
 
 
 def split_evidence_ids(cited: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,13 +37,18 @@ def resolve_endpoints(relations: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def relation_gate(relations: DataFrame, rules: DataFrame, threshold: float) -> DataFrame:
-    """+ reject, the first reason against a relation, or null.
+    """+ relation_key, rule (its label, or null) and reject, the first reason against a relation, or null.
 
-    ``rules`` (a plan has at most 24): label, symmetric, requires_conditions, allow_inferred, sources, targets (empty: any type).
+    ``rules`` (a plan has at most 24): label, symmetric, requires_conditions, allow_inferred, sources, targets (empty: any type), and ord if labels can
+    repeat: labels are compared without case and in NFKC, and the last rule of a label holds. With ``named`` false a rule doesn't lend its label.
     """
-    r = rules.select(F.col("label").alias("relation_type"), F.lit(True).alias("known"), "symmetric", "requires_conditions", "allow_inferred", "sources", "targets")
-    if rules.count() <= 1000:
-        r = F.broadcast(r)
+    order = F.col("ord") if "ord" in rules.columns else F.lit(0)
+    named = X.nfkc(rules, "label", "normal").withColumns({"relation_key": X.label_key(F.col("normal")), "place": order})
+    lent = F.when(F.col("named"), F.col("label")) if "named" in rules.columns else F.col("label")
+    named = named.withColumn("label", lent)
+    fields = ("label", "symmetric", "requires_conditions", "allow_inferred", "sources", "targets")
+    r = staged(named.groupBy("relation_key").agg(F.max_by(F.struct(*fields), "place").alias("r")).select("relation_key", F.col("r.label").alias("rule"), F.lit(True).alias("known"), *[f"r.{f}" for f in fields[1:]]), "gate-rules")
+    small = r.count() <= 1000
     allowed = lambda types, t: (F.size(types) == 0) | F.coalesce(F.array_contains(types, F.col(t)), F.lit(False))
     tests = [
         ("source unresolved", F.col("source_id").isNull()), ("target unresolved", F.col("target_id").isNull()), ("same node", F.col("source_id") == F.col("target_id")),
@@ -50,27 +56,40 @@ def relation_gate(relations: DataFrame, rules: DataFrame, threshold: float) -> D
         ("source type", ~allowed("sources", "source_type")), ("target type", ~allowed("targets", "target_type")), ("inferred", (F.col("status") == "inferred") & ~F.col("allow_inferred")),
         ("conditions", F.col("requires_conditions") & (F.coalesce("conditions", F.lit("")) == "")), ("confidence", F.col("confidence") < threshold),
     ]
-    return relations.join(r, "relation_type", "left").withColumn("reject", F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in tests]))
+    keyed = X.nfkc(relations, "relation_type", "__normal").withColumn("relation_key", X.label_key(F.col("__normal"))).drop("__normal")
+    met = keyed.join(F.broadcast(r) if small else r.hint("merge"), "relation_key", "left")
+    return met.withColumn("reject", F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in tests]))
 
 
-def edge_key(relation: Column, source: Column, target: Column, symmetric: Column) -> Column:
+def edge_key(relation_key: Column, source: Column, target: Column, symmetric: Column) -> Column:
+    """What duplicates of an edge have in common; the ends of a symmetric relation in order."""
     a = F.when(symmetric, F.least(source, target)).otherwise(source)
     b = F.when(symmetric, F.greatest(source, target)).otherwise(target)
-    return F.concat_ws("|", a, F.trim(relation), b)
+    return F.concat_ws("|", a, relation_key, b)
 
 
 def running_edge_confidence(rows: DataFrame) -> DataFrame:
-    """edge + confidence: the highest value of its duplicates, each being the given confidence or, where absent, the signal of the evidence up to there.
+    """edge + confidence, reason and evidence: the highest value of its drafts in order (the last on ties), each being the given confidence or, where
+    absent, the signal of the evidence that the edge has once the draft's is added.
 
-    ``rows``: edge, ord, confidence (or null), evidence_id, document_id, block_id, text. What was seen before counts once.
+    ``rows``: edge, ord (of the draft), confidence (or null), evidence_id, document_id, block_id, text, and reason if drafts give one; a row for each
+    evidence of a draft. What was seen before counts once. First occurrences come from groupings, running totals from ranges, so that one edge
+    with most of the drafts is spread over tasks.
     """
-    so_far = Window.partitionBy("edge").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    first = lambda c: (F.row_number().over(Window.partitionBy("edge", c).orderBy("ord")) == 1).cast("int")
-    rows = rows.withColumns({"e1": first("evidence_id"), "d1": first("document_id"), "b1": first("block_id")})
-    mass = F.col("e1") * F.least(F.length(F.trim("text")) / 600.0, F.lit(1.0))
-    seen = rows.select("edge", "confidence", *[F.sum(f"{c}1").over(so_far).alias(c) for c in "edb"], F.sum(mass).over(so_far).alias("m"))
+    given = F.col("reason") if "reason" in rows.columns else F.lit(None).cast("string")
+    rows = staged(rows.select("edge", "ord", "confidence", given.alias("reason"), "evidence_id", "document_id", "block_id", F.least(F.length(F.trim("text")) / 600.0, F.lit(1.0)).alias("m")), "edge-drafts")
+    first = rows.groupBy("edge", "evidence_id").agg(F.min("ord").alias("ord"), F.first("document_id").alias("document_id"), F.first("block_id").alias("block_id"), F.first("m").alias("m"))
+    none = F.lit(0)
+    steps = first.select("edge", "ord", F.lit(1).alias("e"), none.alias("d"), none.alias("b"), "m")
+    for c, name in (("d", "document_id"), ("b", "block_id")):
+        step = first.groupBy("edge", name).agg(F.min("ord").alias("ord"))
+        steps = steps.unionByName(step.select("edge", "ord", none.alias("e"), F.lit(int(c == "d")).alias("d"), F.lit(int(c == "b")).alias("b"), F.lit(0.0).alias("m")))
+    added = steps.groupBy("edge", "ord").agg(*[F.sum(c).alias(c) for c in "edbm"])
+    drafts = rows.groupBy("edge", "ord").agg(F.first("confidence").alias("confidence"), F.first("reason").alias("reason"))
+    seen = running_sums(drafts.join(added.hint("merge"), ["edge", "ord"], "left").fillna(0, list("edbm")), ["edge"], "ord", *"edbm")
     value = F.coalesce(X.clamp01(F.col("confidence")), signal(F.col("e"), F.col("d"), F.col("b"), F.col("m") / F.col("e")))
-    return seen.withColumn("value", value).groupBy("edge").agg(F.max("value").alias("confidence"), F.max("e").alias("evidence"))
+    best = seen.withColumns({"value": value, "reason": F.coalesce("reason", signal_reason(F.col("e"), F.col("d"), F.col("b"), "confidence"))})
+    return best.groupBy("edge").agg(F.max("value").alias("confidence"), F.max_by("reason", F.struct("value", "ord")).alias("reason"), F.max("e").alias("evidence"))
 
 
 def touching(edges: DataFrame, ids: DataFrame, both: bool = False) -> DataFrame:

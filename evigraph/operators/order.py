@@ -24,3 +24,16 @@ def numbered(rows: DataFrame, by: list[str], *order: Column, name: str = "place"
         sizes, extra = sizes.withColumn("__all", F.sum("__n").over(Window.partitionBy(*by))), [F.col("__all").alias(total)]
     placed = ranged.withColumn("__i", F.row_number().over(inside)).join(sizes.hint("merge"), [*by, "__range"])
     return placed.select(*rows.columns, (F.col("__before") + F.col("__i")).alias(name), *extra)
+
+
+def running_sums(rows: DataFrame, by: list[str], order: str, *sums: str) -> DataFrame:
+    """``rows`` with each of ``sums`` replaced by its running total in ``order`` within a group of ``by``; ``order`` must be total.
+
+    As in ``numbered`` the rows are sorted by range over all groups, so that one group is spread over tasks.
+    """
+    ranged = staged(rows.repartitionByRange(*by, order).withColumn("__range", F.spark_partition_id()), "running-ranges")
+    so_far = Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = ranged.groupBy(*by, "__range").agg(*[F.sum(c).alias(c) for c in sums]).select(*by, "__range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__{c}") for c in sums])
+    inside = ranged.withColumns({c: F.sum(c).over(so_far) for c in sums}).join(before.hint("merge"), [*by, "__range"])
+    return inside.withColumns({c: F.col(c) + F.col(f"__{c}") for c in sums}).select(*rows.columns)

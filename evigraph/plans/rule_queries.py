@@ -196,11 +196,11 @@ def running_edge_confidence(spark, d):
 
 #: Drafts: a supplier supplies, or is related to, a part named as its node or (each seventh) as nothing known; line 7 relates a part to itself, line 6 cites nothing.
 GATED = PRE + """, raw AS (SELECT project_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber = 7 THEN key ELSE lower(s_name) END AS source, CASE WHEN l_partkey % 7 = 0 THEN 'nothing known' ELSE key END AS target,
-  CASE l_returnflag WHEN 'A' THEN 'supplies' WHEN 'N' THEN 'Supplies' ELSE 'related_to' END AS relation_type, CASE WHEN l_linenumber = 2 THEN NULL ELSE 1.0::DOUBLE - l_discount::DOUBLE * 4 END AS confidence, CASE WHEN l_tax::DOUBLE > 0.06::DOUBLE THEN 'inferred' ELSE 'reported' END AS status,
+  CASE WHEN l_linenumber = 5 THEN 'unheard of' WHEN l_returnflag = 'A' THEN 'supplies' WHEN l_returnflag = 'N' THEN 'Supplies' ELSE 'related_to' END AS relation_type, CASE WHEN l_linenumber = 2 THEN NULL ELSE 1.0::DOUBLE - l_discount::DOUBLE * 4 END AS confidence, CASE WHEN l_tax::DOUBLE > 0.06::DOUBLE THEN 'inferred' ELSE 'reported' END AS status,
   CASE WHEN l_suppkey % 2 = 0 THEN 'by air' END AS conditions, CASE WHEN l_linenumber = 6 THEN 0 WHEN l_orderkey % 5 = 0 THEN 0 ELSE 1 END AS n_valid, CASE WHEN l_linenumber <> 6 AND l_orderkey % 5 = 0 THEN 1 ELSE 0 END AS n_missing
   FROM lines JOIN supplier ON l_suppkey = s_suppkey JOIN blocks ON l_orderkey = o_orderkey JOIN docs USING (document_id) JOIN (SELECT project_id AS ep, ord, key FROM entities) ON ep = project_id AND ord = l_partkey),
  gated AS (SELECT raw.*, CASE WHEN s.node_id IS NULL AND l_linenumber <> 7 THEN 'source unresolved' WHEN target = 'nothing known' THEN 'target unresolved' WHEN l_linenumber = 7 THEN 'same node' WHEN n_missing > 0 THEN 'missing evidence' WHEN n_valid = 0 THEN 'no evidence'
-  WHEN relation_type = 'Supplies' THEN 'unknown relation type' WHEN relation_type = 'related_to' AND n.type NOT LIKE 'P%' THEN 'target type' WHEN status = 'inferred' AND relation_type = 'supplies' THEN 'inferred'
+  WHEN relation_type = 'unheard of' THEN 'unknown relation type' WHEN relation_type = 'related_to' AND n.type NOT LIKE 'P%' THEN 'target type' WHEN status = 'inferred' AND lower(relation_type) = 'supplies' THEN 'inferred'
   WHEN relation_type = 'related_to' AND conditions IS NULL THEN 'conditions' WHEN confidence < 0.7::DOUBLE THEN 'confidence' END AS reject
   FROM raw LEFT JOIN (SELECT lower(s_name) AS nm, s_suppkey AS node_id FROM supplier WHERE s_suppkey % 5 > 0) s ON source = nm LEFT JOIN nodes n ON n.project_id = raw.project_id AND n.key = target)
 """
@@ -217,17 +217,17 @@ def _gated(s: Star) -> DataFrame:
     rows = s.lines().join(s.raw("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")).join(where, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(entities(s).select("project_id", F.col("ord").alias("l_partkey"), "key").hint("merge"), ["project_id", "l_partkey"]).select(
         "project_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(n == 7, F.col("key")).otherwise(F.lower("s_name")).alias("source_key"), F.when(F.col("l_partkey") % 7 == 0, "nothing known").otherwise(F.col("key")).alias("target_key"),
-        F.when(flag == "A", "supplies").when(flag == "N", "Supplies").otherwise("related_to").alias("relation_type"), F.when(n != 2, F.lit(1.0) - F.col("l_discount").cast("double") * 4).alias("confidence"),
+        F.when(n == 5, "unheard of").when(flag == "A", "supplies").when(flag == "N", "Supplies").otherwise("related_to").alias("relation_type"), F.when(n != 2, F.lit(1.0) - F.col("l_discount").cast("double") * 4).alias("confidence"),
         F.when(F.col("l_tax").cast("double") > 0.06, "inferred").otherwise("reported").alias("status"), F.when(F.col("l_suppkey") % 2 == 0, "by air").alias("conditions"), F.when(n != 6, F.col("block_id")).alias("block_id"),
     )
     evidence = s.evidence().filter("o_orderkey % 5 > 0").select("block_id", "evidence_id")
     cited = rows.select("block_id").filter("block_id is not null").distinct().join(evidence, "block_id", "left")
     counts = G.split_evidence_ids(cited.select("block_id", F.coalesce("evidence_id", "block_id").alias("evidence_id")), evidence, ["block_id"])
     rows = rows.join(counts, "block_id", "left").fillna(0, ["n_valid", "n_missing"])
-    kinds = [r["type"] for r in mine.filter("type like 'P%'").select("type").distinct().limit(1000).collect()]
+    kinds = mine.filter("type like 'P%'").agg(F.collect_set("type").alias("targets"))  # types are a plan's categories
     anything = F.array().cast("array<string>")
-    rule = lambda label, cond, inferred, targets: s.spark.range(1).select(F.lit(label).alias("label"), F.lit(False).alias("symmetric"), F.lit(cond).alias("requires_conditions"), F.lit(inferred).alias("allow_inferred"), F.array(F.lit("Supplier")).alias("sources"), targets.alias("targets"))
-    rules = rule("supplies", False, False, anything).union(rule("related_to", True, True, F.array(*[F.lit(k) for k in kinds])))
+    rule = lambda rows, label, asks, targets: rows.select(F.lit(label).alias("label"), F.lit(False).alias("symmetric"), F.lit(asks).alias("requires_conditions"), F.lit(asks).alias("allow_inferred"), F.array(F.lit("Supplier")).alias("sources"), targets.alias("targets"))
+    rules = rule(s.spark.range(1), "supplies", False, anything).union(rule(kinds, "Related_To ", True, F.col("targets")))
     return G.relation_gate(G.resolve_endpoints(rows, index), rules, 0.7)
 
 

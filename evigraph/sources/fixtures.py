@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -90,6 +90,53 @@ class Star:
             .select("project_id", F.col("l_partkey").alias("ord"), "block_id", "document_id", "text").distinct()
         )
 
+    def part_names(self) -> DataFrame:
+        """p_partkey, name: as entities write it."""
+        k = F.col("p_partkey")
+        name = F.concat_ws(" ", "p_name", "p_brand")
+        name = F.when(k % 2 == 1, F.upper(name)).otherwise(name)
+        return self.raw("part").select("p_partkey", F.when(k % 5 == 0, F.replace(name, F.lit(" "), F.lit("_"))).otherwise(name).alias("name"))
+
+    def entity_drafts(self) -> DataFrame:
+        """``entities`` as a build takes them: some name other parts as aliases, cite what isn't there or nothing, or belong to a registry entry."""
+        k = F.col("ord")
+        near = lambda step, name: self.part_names().select((F.col("p_partkey") - step).alias("ord"), F.col("name").alias(name)).hint("merge")
+        cites = self.entity_evidence().groupBy("project_id", "ord").agg(F.array_sort(F.collect_list("block_id")).alias("blocks"))
+        rows = self.entities().join(near(-5, "back"), "ord", "left").join(near(5, "ahead"), "ord", "left").join(cites.hint("merge"), ["project_id", "ord"], "left")
+        brand = self.raw("part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("brand"))
+        rows = rows.join(brand.hint("merge"), "ord")
+        none = F.array().cast("array<string>")
+        text = lambda *c: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in c])
+        nth = k.cast("string")
+        return rows.select(
+            "project_id", k.cast("long").alias("ord"), "name", F.when(k % 11 == 0, text(F.lower("name"), "!")).alias("canonical_name"), F.when(k % 9 != 0, F.col("type")).alias("type"),
+            F.array_compact(F.array(F.when(k % 6 == 0, F.col("back")), F.when(k % 10 == 0, F.col("ahead")), F.col("alias"))).alias("aliases"), "summary",
+            F.when(F.col("has_props"), F.create_map(F.lit("size"), F.col("size").cast("string"), F.when(k % 2 == 0, "even").otherwise("odd"), nth)).alias("properties"),
+            F.when(k % 3 == 0, F.col("importance") * 1.2).alias("importance"), F.when(k % 5 == 0, text("importance of ", nth)).alias("importance_reason"),
+            F.when(k % 4 == 1, F.lit(0.4) + (k % 7) / 10).alias("confidence"), F.when(k % 10 == 1, text("confidence of ", nth)).alias("confidence_reason"),
+            F.concat(F.coalesce("blocks", none), F.when(k % 17 == 0, F.array(F.lit("nowhere"))).otherwise(none)).alias("evidence_ids"),
+            F.when(k % 13 == 0, text(F.col("project_id"), ":registry:", F.col("brand"))).alias("registry_id"),
+            F.when(k % 4 == 2, F.struct(F.col("type").alias("label"), ((k % 5) / 5).alias("confidence"))).alias("classification"),
+            F.array(F.struct(text("c", (k % 40).cast("string")).alias("candidate_id"), text("a", (k % 3).cast("string")).alias("action"))).alias("members"),
+        )
+
+    def graph_relations(self) -> DataFrame:
+        """Lines as relations: a part to the part with the supplier's number, with the order's block, a missing one or none."""
+        name = lambda key, out: self.part_names().select(F.col("p_partkey").alias(key), F.col("name").alias(out)).hint("merge")
+        n, flag = F.col("l_linenumber"), F.col("l_returnflag")
+        where = self.blocks().select("o_orderkey", "block_id", "document_id").join(self.documents().select("document_id", "project_id"), "document_id")
+        columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
+        rows = self.raw("lineitem").select(*columns).distinct().join(where, F.col("l_orderkey") == F.col("o_orderkey")).join(name("l_partkey", "source"), "l_partkey").join(name("l_suppkey", "target"), "l_suppkey")
+        kind = F.when(n == 5, "unheard of").when(n == 3, " mentions").when(flag == "A", "supplies").when(flag == "N", " SUPPLIES ").otherwise("related_to")
+        order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("double"), F.col("l_discount").cast("double"), F.col("l_tax").cast("double"), "l_returnflag")
+        return rows.select(
+            "project_id", order.alias("ord"), "source", "target", kind.alias("relation_type"),
+            F.when(n == 6, F.array().cast("array<string>")).when(F.col("l_orderkey") % 5 == 0, F.array("block_id", F.lit("nowhere"))).otherwise(F.array("block_id", "block_id")).alias("evidence_ids"),
+            F.when(n != 2, F.lit(1.0) - F.col("l_discount").cast("double") * 4).alias("confidence"), F.when(n == 1, "first line").alias("confidence_reason"),
+            F.when(F.col("l_tax").cast("double") > 0.06, "inferred").when(n != 4, "reported").alias("status"), F.when(F.col("l_suppkey") % 2 == 0, F.create_map(F.lit("by"), F.lit("air"))).alias("conditions"),
+            F.when(F.col("l_suppkey") % 3 == 0, F.lit("export")).alias("scope"),
+        )
+
     def relation_drafts(self) -> DataFrame:
         """supplier -> part, with the block that says so."""
         part, supplier = self.raw("part").select("p_partkey", "p_name", "p_type"), self.raw("supplier").select("s_suppkey", "s_name")

@@ -7,9 +7,12 @@ shares at least  w - q + 1 - q * edits  of the window's q-grams on diagonals no
 the edits, so
 
 1. stretches of the document whose q-grams are in the benchmark that densely are found first,
-2. their hits are counted per item in overlapping diagonal bands (twice as wide as the budget,
+2. of stretches with the same characters around them the first is looked up; items of which no stretch of hits can be extended to a whole window
+   within the edits on either side are left out, so that a phrase that many items share costs them one short extension each,
+   (a window that occurs has a piece without an edit, and the longest extension goes through it),
+3. their hits are counted per item in overlapping diagonal bands (twice as wide as the budget,
    one every budget), and windows that meet the bound are retained,
-3. retained regions are verified by banded alignment, from the item's first window on.
+4. retained regions are verified by banded alignment, from the item's first window on.
 
 No item is left out for its length: one of fewer than ``exact_below`` characters, where a few edits make
 another phrase of it, occurs if a document has it word for word (no letter or digit right before or after).
@@ -112,6 +115,34 @@ def banded_edits(pattern: np.ndarray, starts: np.ndarray, w: int, text: np.ndarr
     return best, where
 
 
+def extensions(pattern: np.ndarray, at: np.ndarray, room: np.ndarray, text: np.ndarray, place: np.ndarray, edits: int, step: int) -> np.ndarray:
+    """How many characters of a pattern can be aligned with the text, by the number of edits: row k is for k edits.
+
+    Candidate j goes from pattern[at[j]] and text[place[j]] on in the direction of ``step``, over ``room[j]`` characters at most. On each diagonal the
+    furthest place is kept and equal characters are passed for nothing.
+    """
+    n, ramp = len(at), np.arange(-edits, edits + 1)
+    reach = np.full((n, 2 * edits + 1), -edits - 2)
+    reach[:, edits] = 0
+    out = np.zeros((edits + 1, n), np.int64)
+    for k in range(edits + 1):
+        if k:
+            wide = np.pad(reach, ((0, 0), (1, 1)), constant_values=-edits - 2)
+            reach = np.maximum(np.maximum(wide[:, :-2], wide[:, 1:-1] + 1), wide[:, 2:] + 1)
+            reach = np.minimum(reach, room[:, None])
+        who, d = np.nonzero(reach >= 0)
+        while len(who):
+            x = reach[who, d]
+            y = place[who] + step * (x + ramp[d])
+            same = (x < room[who]) & (y >= 0) & (y < len(text))
+            who, d, x, y = who[same], d[same], x[same], y[same]
+            same = pattern[at[who] + step * x] == text[y]
+            who, d = who[same], d[same]
+            reach[who, d] += 1
+        out[k] = np.maximum(reach.max(axis=1), 0)
+    return out
+
+
 class BenchmarkIndex:
     """The windows and q-grams of some items: (key, text, place of the text in its item)."""
 
@@ -136,6 +167,9 @@ class BenchmarkIndex:
         self.bits = max(16, min(24, int(math.log2(len(every) + 1)) + 5))
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[(self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self.flat = np.concatenate([x[1] for x in self.items]) if self.items else np.zeros(0, np.uint32)
+        self.begin = np.cumsum([0, *[len(x[1]) for x in self.items]])
+        self.w, self.edits, self.need = (np.array([x[i] for x in self.items], np.int64) for i in (2, 3, 4))
         self.least = min((x[4] for x in self.items), default=0)
         self.reach = max((x[2] + x[3] for x in self.items), default=0)
         self._words = None
@@ -183,6 +217,9 @@ class BenchmarkIndex:
             np.add.at(mark, first, 1)
             np.add.at(mark, first + n + 1, -1)
             hit = hit[np.cumsum(mark[:-1]) > 0]
+        if len(hit) > 2 * self.reach:  # repeated characters: of places with the same ones as far as an alignment reaches, the first
+            around = slice_hashes(points, hit - self.reach, 2 * self.reach + Q)
+            hit = np.sort(hit[np.unique(around, return_index=True)[1]])
         failed: dict[int, np.ndarray] = {}  # item -> hashes of what was aligned in vain
         size = 1 << 14
         i = 0
@@ -200,8 +237,12 @@ class BenchmarkIndex:
         where = np.repeat(hit, n)
         entry = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         owner, place = self.owner[entry], self.place[entry].astype(np.int64)
-        order = np.argsort(owner, kind="stable")
+        order = np.lexsort((place, where - place, owner))
         where, owner, place = where[order], owner[order], place[order]
+        keep = self._may_fit(points, where, owner, place)[owner]
+        where, owner, place = where[keep], owner[keep], place[keep]
+        if not len(owner):
+            return
         cuts = np.flatnonzero(np.diff(owner)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(owner)]):
             _, pattern, w, edits, need, _ = self.items[owner[a]]
@@ -236,6 +277,26 @@ class BenchmarkIndex:
             if any_one and found:
                 return
 
+    def _may_fit(self, points: np.ndarray, where: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """For each item whether a stretch of its hits (sorted by owner, diagonal and place) extends to a window within the edits."""
+        fits = np.zeros(len(self.items), bool)
+        new = np.ones(len(where), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1) | (where[1:] != where[:-1] + 1)
+        first = np.flatnonzero(new)
+        length = np.diff(first, append=len(where))
+        enough = (np.bincount(owner, minlength=len(self.items)) >= self.need)[owner[first]]
+        long = enough & (length >= np.maximum(1, self.w[owner[first]] // (self.edits[owner[first]] + 1) - Q + 1))  # a piece without an edit
+        first, length = first[long], length[long] + Q - 1
+        own = owner[first]
+        for edits in np.unique(self.edits[own]):
+            for j in np.array_split(np.flatnonzero(self.edits[own] == edits), max(1, len(own) >> 15)):
+                k, x, y = own[j], place[first[j]], where[first[j]]
+                end, size = x + length[j], self.begin[k + 1] - self.begin[k]
+                right = extensions(self.flat, self.begin[k] + end, np.minimum(size - end, self.w[k]), points, y + length[j], int(edits), 1)
+                left = extensions(self.flat, self.begin[k] + x - 1, np.minimum(x, self.w[k]), points, y - 1, int(edits), -1)
+                fits[k[(length[j] + (right + left[::-1]).max(axis=0)) >= self.w[k]]] = True
+        return fits
+
     @staticmethod
     def _retained(diagonal: np.ndarray, at: np.ndarray, shift: int, step: int, n_starts: int, span: int, need: int) -> tuple[np.ndarray, np.ndarray]:
         """Windows that meet the bound in a band: (window start, lowest diagonal). Bands are two steps wide; the

@@ -105,3 +105,23 @@ def test_ids_of_any_type_and_very_long_items(spark):
         assert {r["doc_id"] for r in got} == {f"doc/{i}" for i in range(5)} and {r["item_id"] for r in got} == {"item/1"}
         for i, s in enumerate((0, 900, 950, 2000, 7777)):
             assert any(abs(r["item_start"] - s) <= 12 for r in got if r["doc_id"] == f"doc/{i}")
+
+
+def test_a_phrase_that_many_items_share_is_cheap():
+    """3,000 items end in one sentence; texts with that sentence, once and hundreds of times, leak nothing, and quickly."""
+    import time
+
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    noise = lambda n: "".join(rng.choice(letters) for _ in range(n)).strip()
+    shared = "choose the correct answer from the four options that are listed"
+    items = [(i, f"{noise(200)} {shared}", 0) for i in range(3000)]
+    index = decontam.BenchmarkIndex(items)
+    index.find(noise(300))
+    for text, most in ((f"{noise(15)} {shared} {noise(15)}", 0.5), (f"{shared}. " * 300, 5.0), (" ".join(f"{noise(20)} {shared}" for _ in range(20)), 10.0)):
+        began = time.process_time()
+        assert index.find(text) == []
+        assert time.process_time() - began < most
+    few = decontam.BenchmarkIndex(items[:40])
+    leak = f"{noise(60)} {items[7][1][150:]} {noise(9)} {shared}"
+    assert [x[0] for x in few.find(leak)] == [7] == [x[0] for x in index.find(leak)]

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import staged
+from .shards import one_by_one
 
 WORD = r"[^\x20\x09-\x0D]+"
 DYADIC = float(1 << 20)
@@ -169,7 +170,8 @@ def mix(
     ``copies`` (0 to ``cap``) is how often the document enters the mix. Which documents of a
     stratum get one copy more is decided by a seeded hash of the id, so reruns agree; strata are
     cut into cells of about ``cell_rows`` rows so that a stratum with a third of the corpus
-    does not meet in one task.
+    does not meet in one task. Where more than ``cell_rows`` rows of a stratum have one id, or none, they are told apart by numbers, which are the
+    same in every run, if not for the same of these equal rows.
     """
     light = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "mix-docs")
     targets = staged(water_fill(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, float(cap)), "mix-targets")
@@ -187,8 +189,9 @@ def mix(
         "sid", "size", "rate", "m", F.floor(F.col("copies") / F.col("m")).alias("each"), (F.col("copies") % F.col("m")).alias("extra"),
         F.ceil(F.col("m") / cell_rows).alias("cells"),
     )
-    placed = light.join(_small(shape, n_strata, broadcast_strata), ["sid", "size"], "left").withColumn(
-        "cell", F.when(F.col("cells") > 1, F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("cells"))).otherwise(0)
+    placed = one_by_one(light.withColumn("unit", F.xxhash64("sid", "size", "doc_id")), "unit", cell_rows).drop("unit")
+    placed = placed.join(_small(shape, n_strata, broadcast_strata), ["sid", "size"], "left").withColumn(
+        "cell", F.when(F.col("cells") > 1, F.pmod(F.xxhash64(F.lit(seed), "doc_id", "i"), F.col("cells"))).otherwise(0)
     )
     by_cell = Window.partitionBy("sid", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = (
@@ -197,7 +200,7 @@ def mix(
         .select("sid", "size", "cell", (F.floor(F.col("extra") * F.col("upto") / F.col("m")) - F.floor(F.col("extra") * (F.col("upto") - F.col("n")) / F.col("m"))).alias("cell_extra"))
     )
     cells = staged(cells, "mix-cells")
-    in_cell = Window.partitionBy("sid", "size", "cell").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
+    in_cell = Window.partitionBy("sid", "size", "cell").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "i"), "doc_id", "i")
     more = F.when(F.row_number().over(in_cell) <= F.coalesce("cell_extra", "extra"), 1).otherwise(0)
     return (
         placed.join(_small(cells, cells.count(), broadcast_strata), ["sid", "size", "cell"], "left")

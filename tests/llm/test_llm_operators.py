@@ -89,6 +89,16 @@ def test_mixing_awkward(spark):
     assert len(crowd) == 509 and abs(sum(r["taken"] for r in crowd) - sum(r["size"] for r in crowd)) <= 60
 
 
+def test_mixing_splits_rows_without_an_id(spark):
+    data = docs(spark, [(None, "a b c", "s")] * 700 + [(i, "a b c", "s") for i in range(300)] + [(5000 + i, "w " * 50, "t") for i in range(40)])
+    key = lambda r: (str(r["doc_id"]), r["copies"])
+    got = rows(mixing.mix(data, cell_rows=16))
+    assert sorted(map(key, got)) == sorted(map(key, rows(mixing.mix(data.repartition(9), cell_rows=16)))) and len(got) == 1040
+    for s in "st":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 50
+
+
 # 2 secrets
 
 
@@ -370,9 +380,28 @@ def test_shards_query_columns(spark):
 
 def test_shards_hot_rows_are_dealt_out(spark):
     data = docs(spark, [(None, None, None)] * 3000 + [(i, "x", "s") for i in range(3000)])
-    plain = shards._one_by_one(data.select(F.struct("*").alias("row"), F.xxhash64("*").alias("h")), 100)
+    plain = shards.one_by_one(data.select(F.struct("*").alias("row"), F.xxhash64("*").alias("h")), "h", 100)
     dealt = rows(plain.groupBy(F.pmod(F.xxhash64(F.lit(29), "h", "i"), F.lit(60)).alias("b")).count())
     assert len(dealt) == 60 and max(r["count"] for r in dealt) < 200
+    assert sorted(r["i"] for r in rows(plain.filter("i > 0"))) == list(range(1, 3001))
+
+
+def test_equal_rows_are_numbered_in_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        same = spark.range(40_000).select(F.lit(1).alias("h"))
+        tasks = rows(shards.one_by_one(same, "h", 100).groupBy(F.spark_partition_id().alias("task")).count())
+        assert max(r["count"] for r in tasks) < 12_000 and sum(r["count"] for r in tasks) == 40_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_shards_take_any_columns(spark):
+    data = spark.createDataFrame([(i, {"k": i}, "x", [{"m": {"n": i}}]) for i in range(30)], "doc_id long, tags map<string,int>, Shard string, deep array<struct<m:map<string,int>>>")
+    got = shards.write_shards(shards.two_pass_shuffle(data), new_path(spark, "test-shards"))
+    assert got.columns == ["doc_id", "tags", "deep", "shard", "slot"] and sorted((r["doc_id"], r["tags"]["k"]) for r in rows(got)) == [(i, i) for i in range(30)]
 
 
 # 10 chat

@@ -124,10 +124,10 @@ def all_terms(text: Column, query: str) -> Column:
     return out
 
 
-def search(nodes: DataFrame, edges: DataFrame, node_evidence: DataFrame, edge_evidence: DataFrame, evidence: DataFrame, query: str, limit: int = 100, node_types: list[str] | None = None, relation_types: list[str] | None = None) -> DataFrame:
+def search(nodes: DataFrame, edges: DataFrame, node_evidence: DataFrame, edge_evidence: DataFrame, evidence: DataFrame, query: str, limit: int | None = 100, node_types: list[str] | None = None, relation_types: list[str] | None = None) -> DataFrame:
     """kind (node, edge, evidence), id of what a query finds.
 
-    Nodes: all terms in the names, summary, aliases and property values together, or in one evidence text; the first ``limit`` by ord. Edges: with an end
+    Nodes: all terms in the names, summary, aliases and property values together, or in one evidence text; the first ``limit`` (null: all) by ord. Edges: with an end
     among the nodes found, or all terms in their relation; of these the first ``limit`` that touch a shown node. Evidence: of what is shown.
     ``nodes``: node_id, ord, type, name, display_name, summary, aliases, properties (text). Types are compared without regard to case.
     """
@@ -136,14 +136,25 @@ def search(nodes: DataFrame, edges: DataFrame, node_evidence: DataFrame, edge_ev
     by_evidence = node_evidence.join(hit, "evidence_id", "left_semi").select("node_id")
     by_text = nodes.filter(all_terms(F.concat_ws(" ", "name", "display_name", "summary", "aliases", "properties"), query)).select("node_id")
     found = nodes.filter(allowed(F.col("type"), node_types)).join(by_text.union(by_evidence).distinct(), "node_id", "left_semi").select("node_id", "ord")
-    shown = staged(found.orderBy("ord", "node_id").limit(max(1, limit)), "search-nodes")  # edges with a shown end are among those of found nodes
+    top = lambda rows, *by: rows if limit is None else rows.orderBy(*by).limit(max(1, limit))
+    shown = staged(top(found, "ord", "node_id"), "search-nodes")  # edges with a shown end are among those of found nodes
     near = touching(edges.filter(allowed(F.col("relation_type"), relation_types)), shown.select(F.col("node_id").alias("id")))
-    near = near.orderBy("edge_id").limit(max(1, limit))
+    near = top(near, "edge_id")
     cited = node_evidence.join(shown, "node_id", "left_semi").select("evidence_id").union(edge_evidence.join(near, "edge_id", "left_semi").select("evidence_id")).distinct()
     part = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("id"))
     return part(shown, "node", "node_id").union(part(near, "edge", "edge_id")).union(part(evidence.join(cited, "evidence_id", "left_semi"), "evidence", "evidence_id"))
 
 
+def search_simple(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, project: str, query: str) -> DataFrame:
+    """kind, id of what a project shows for a query taken as one substring: nodes with it in their names, summary and aliases together (in any case),
+    edges with such an end, and all evidence of the project. An empty query finds all nodes."""
+    mine = lambda rows: rows.filter(F.col("project_id") == project)
+    shown = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("display_name", "name", "summary", "aliases")]))
+    found = staged(mine(nodes).filter(F.contains(shown, F.lit(query.lower()))).select(F.col("node_id").alias("id")), "search-nodes")
+    part = lambda rows, kind, c: rows.select(F.lit(kind).alias("kind"), F.col(c).alias("id"))
+    return part(found, "node", "id").union(part(touching(mine(edges), found), "edge", "edge_id")).union(part(mine(evidence), "evidence", "evidence_id"))
+
+
 def node_catalog(nodes: DataFrame, n: int = 160) -> DataFrame:
     return nodes.orderBy(F.desc("importance"), F.desc("confidence"), "node_id").limit(n)
 

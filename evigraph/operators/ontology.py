@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from .order import numbered
+
 
 def profile_categories(types: DataFrame, most: int = 16) -> DataFrame:
     """project_id, id, label, role of declared types: role and a running number per role. ``types``: project_id, ord, label, role."""
@@ -35,8 +38,17 @@ def ontology_extension(base: DataFrame, proposed: DataFrame) -> DataFrame:
 
 
 def default_relation_rules(types: DataFrame, rules: DataFrame) -> DataFrame:
-    """A permissive rule for each relation type (project_id, label) without one."""
-    return types.join(rules.select("project_id", "label").distinct(), ["project_id", "label"], "left_anti").select("project_id", "label", F.lit(False).alias("symmetric"), F.lit(True).alias("allow_inferred"))
+    """project_id, id, label, symmetric, allow_inferred: a project's own rules, and a strict one for each relation type without: inference is not allowed.
+
+    ``types``: project_id, ord, label; ``rules``: project_id, id, label, symmetric, allow_inferred. Labels are compared in NFKC without case. The new rules are numbered
+    on from the project's own.
+    """
+    key = lambda rows: X.nfkc(rows, "label", "__n").withColumn("__k", X.label_key(F.col("__n"))).drop("__n")
+    own = rules.groupBy("project_id").agg(F.count(F.lit(1)).alias("own"))
+    lacking = key(types).join(key(rules).select("project_id", "__k").distinct().hint("merge"), ["project_id", "__k"], "left_anti")
+    numbers = numbered(lacking.select("project_id", "ord", "label"), ["project_id"], F.col("ord"), F.col("label")).join(own.hint("merge"), "project_id", "left")
+    added = numbers.select("project_id", F.concat(F.lit("relation-"), (F.coalesce("own", F.lit(0)) + F.col("place")).cast("string")).alias("id"), "label", F.lit(False).alias("symmetric"), F.lit(False).alias("allow_inferred"))
+    return rules.select(*added.columns).unionByName(added)
 
 
 def default_field_rules(important: DataFrame, required: DataFrame, rules: DataFrame) -> DataFrame:

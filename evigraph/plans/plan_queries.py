@@ -58,10 +58,14 @@ def ontology_extension(spark, d):
     return O.ontology_extension(c.filter("ord < 15").select("project_id", "id", "label", "role"), proposed)
 
 
-@query(f"WITH {TYPES} SELECT project_id, label, false AS symmetric, true AS allow_inferred FROM types WHERE ord % 3 > 0")
+@query(f"""WITH {TYPES}, own AS (SELECT project_id, 'own-' || ord AS id, ' ' || lower(label) || ' ' AS label, true AS symmetric, ord % 2 = 0 AS allow_inferred FROM types WHERE ord % 3 = 0),
+  lacking AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ord) AS place FROM types t WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.project_id = t.project_id AND lower(trim(o.label)) = lower(trim(t.label)))),
+  n AS (SELECT project_id, count(*) AS n FROM own GROUP BY 1)
+  SELECT * FROM own UNION ALL SELECT project_id, 'relation-' || (place + coalesce(n, 0)), label, false, false FROM lacking LEFT JOIN n USING (project_id)""")
 def default_relation_rules(spark, d):
     t = types(Star(spark, d)).select("project_id", "label", "ord")
-    return O.default_relation_rules(t, t.filter("ord % 3 = 0"))
+    own = t.filter("ord % 3 = 0").select("project_id", F.concat(F.lit("own-"), F.col("ord").cast("string")).alias("id"), F.concat(F.lit(" "), F.lower("label"), F.lit(" ")).alias("label"), F.lit(True).alias("symmetric"), (F.col("ord") % 2 == 0).alias("allow_inferred"))
+    return O.default_relation_rules(t, own)
 
 
 @query(f"""WITH {TYPES}, mine AS (SELECT project_id, 'own-' || ord AS id, label, 'normal' AS priority FROM types WHERE project_id = 'proj-0'),

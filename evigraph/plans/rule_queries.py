@@ -321,12 +321,12 @@ FOUND = PRE + """, hits AS (SELECT node_id FROM nodes WHERE ({term_nodes}) UNION
 _TEXT = "contains(lower(concat_ws(' ', name, name, summary, aliases, CASE WHEN has_props THEN 'made in steel' END)), '{}')"
 
 
-def _found(terms: list[str], limit: int, types: str = "") -> str:
-    sql = FOUND.replace("{limit}", str(limit)).replace("{types}", types)
+def _found(terms: list[str], limit: int | None, types: str = "") -> str:
+    sql = FOUND.replace("{limit}", "NULL" if limit is None else str(limit)).replace("{types}", types)
     return sql.replace("{term_nodes}", " AND ".join(_TEXT.format(t) for t in terms)).replace("{term_evidence}", " AND ".join(f"contains(lower(original_text), '{t}')" for t in terms))
 
 
-def _searched(s: Star, query: str, limit: int, node_types: list[str] | None = None) -> DataFrame:
+def _searched(s: Star, query: str, limit: int | None, node_types: list[str] | None = None) -> DataFrame:
     n = nodes(s).withColumns({"ord": F.lit(0), "display_name": F.col("name"), "properties": F.when(F.col("has_props"), "made in steel")})
     return G.search(n, edges(s), node_evidence(s), edge_evidence(s), s.evidence(), query, limit, node_types)
 
@@ -336,15 +336,16 @@ def search_knowledge(spark, d):
     return _searched(Star(spark, d), " Steel brand#1", 100)
 
 
-@query(_found(["urgent"], 1_000_000))
+@query(PRE + """, hits AS (SELECT node_id FROM nodes WHERE project_id = 'proj-1' AND contains(lower(name || ' ' || name || ' ' || coalesce(summary, '') || ' ' || coalesce(aliases, '')), 'brand#12 of'))
+ SELECT 'node' AS kind, node_id AS id FROM hits UNION ALL SELECT 'edge', edge_id FROM edges WHERE project_id = 'proj-1' AND (source_id IN (FROM hits) OR target_id IN (FROM hits)) UNION ALL SELECT 'evidence', evidence_id FROM evidence WHERE project_id = 'proj-1'""")
 def search_simple(spark, d):
-    """One term, without a limit that cuts."""
-    return _searched(Star(spark, d), "URGENT", 1_000_000)
+    s = Star(spark, d)
+    return G.search_simple(nodes(s).withColumn("display_name", F.col("name")), edges(s), s.evidence(), "proj-1", "Brand#12 OF")
 
 
-@query(_found(["a"], 1_000_000, " WHERE lower(trim(type)) IN ('promo', 'economy', 'small')"))
+@query(_found(["a"], None, " WHERE lower(trim(type)) IN ('promo', 'economy', 'small')"))
 def facet_filter(spark, d):
-    return _searched(Star(spark, d), "a", 1_000_000, ["Promo ", "ECONOMY", "small"])
+    return _searched(Star(spark, d), "a", None, ["Promo ", "ECONOMY", "small"])
 
 
 @query(PRE + "SELECT node_id FROM nodes WHERE contains(lower(name), 'brand#12') OR contains(lower(summary), 'brand#12')")

@@ -10,7 +10,7 @@ from ..operators import candidates as K
 from ..operators import graph as G
 from ..operators import ledger as E
 from ..operators import assign as A
-from ..sources.fixtures import Star
+from ..sources.fixtures import Star, catalog_groups
 from .scratch import staged
 
 Q: dict = {}
@@ -365,7 +365,7 @@ def retrieve_context(spark, d):
 @query()
 def single_assignment(spark, d):
     s = Star(spark, d)
-    groups, members = A.catalog_groups(E.claim_ledger(s.claim_drafts()))
+    groups, members = catalog_groups(E.claim_ledger(s.claim_drafts()))
     return A.assign(groups, members).select("group_id", "member_id", "kind")
 
 

@@ -264,7 +264,7 @@ def keep_known(docs: DataFrame, share: float = 0.5, text_col: str = "text", lang
     if not model.langs:
         return docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     judged = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), predict_column(model, F.col(text_col), spark, True).alias("p")), "language-judged")
-    seen = judged.filter("p.evidence is not null").groupBy(F.col("p.lang").alias("lang")).agg(F.median(F.round("p.evidence", 3)).alias("m"))
-    bars = [F.lit(x) for r in seen.collect() for x in (r["lang"], r["m"] * share)]  # a row for each language of the model at most
-    bar = F.element_at(F.create_map(*bars), F.col("p.lang")) if bars else F.lit(0.0)
-    return judged.filter(F.coalesce(F.col("p.evidence") >= bar, F.lit(False))).select("row.*")
+    bars = judged.filter("p.evidence is not null").groupBy(F.col("p.lang").alias("bar_of")).agg((F.median(F.round("p.evidence", 3)) * share).alias("bar"))
+    bars = staged(bars, "language-bars")
+    side = F.broadcast(bars) if bars.count() <= 10_000 else bars.hint("merge")  # a row for each language of the model at most
+    return judged.join(side, F.col("p.lang") == F.col("bar_of")).filter("p.evidence >= bar").select("row.*")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .packing import batch_stats, pack_text_budget  # noqa: F401 (batches of blocks)
 
 MAX_CHARS, OVERLAP, WINDOW_FROM = 1200, 160, 0.65
 # Where a chunk may end.
@@ -83,26 +84,6 @@ def build_blocks(documents: DataFrame) -> DataFrame:
     return rows.withColumn("block_count", F.count(F.lit(1)).over(Window.partitionBy("document_id")))
 
 
-def pack_text_budget(items: DataFrame, keys: list[str], order: str, length: str, max_chars: int, max_items: int) -> DataFrame:
-    """``items`` with ``batch``: greedy next-fit in order within each key.
-
-    A new batch opens when the current one is full by items or would exceed the characters; an
-    oversize item stands alone. A key's lengths (integers, not texts) are folded once in order.
-    """
-    names = items.columns
-    row = F.struct(F.col(order).alias("o"), F.greatest(F.lit(1), F.col(length)).cast("long").alias("n"), F.struct(*names).alias("r"))
-    start = F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(max_items).cast("long").alias("items"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<long>").alias("out"))
-
-    def fold(a, x):
-        opens = (a["items"] >= max_items) | ((a["items"] > 0) & (a["chars"] + x["n"] > max_chars))
-        batch = a["batch"] + opens.cast("long")
-        return F.struct(batch.alias("batch"), F.when(opens, 1).otherwise(a["items"] + 1).cast("long").alias("items"), F.when(opens, x["n"]).otherwise(a["chars"] + x["n"]).alias("chars"), F.concat(a["out"], F.array(batch)).alias("out"))
-
-    grouped = items.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    packed = grouped.withColumn("batches", F.aggregate("rows", start, fold)["out"])
-    return packed.select(F.explode(F.arrays_zip("rows", "batches")).alias("z")).select("z.rows.r.*", F.col("z.batches").alias("batch"))
-
-
 def relevance_filter(blocks: DataFrame, decisions: DataFrame, key: str, threshold: float = 0.42) -> DataFrame:
     """Blocks with a passing decision, and blocks without any."""
     judged = decisions.groupBy(key).agg(F.bool_or(F.col("keep") & (F.col("score") >= threshold)).alias("__pass"))

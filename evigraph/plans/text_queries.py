@@ -200,15 +200,36 @@ def build_blocks(spark, d):
     return B.build_blocks(Texts(spark, d).documents()).select("document_id", "block_id", "ord", "block_count", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"))
 
 
-@query()
+#: Batches by following each opening to the next: ``l`` has k, i (places from 1), n (lengths) and the columns that are asked for.
+PACKED = """sums AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY i) AS upto FROM l),
+  leads AS MATERIALIZED (SELECT a.k, a.i, least(a.i + 28, greatest(a.i + 1, coalesce(b.i, 0) + 1)) AS nxt FROM sums a ASOF LEFT JOIN sums b ON a.k = b.k AND a.upto - a.n + 18000 >= b.upto),
+  opens AS (SELECT k, i, nxt, 0::BIGINT AS batch FROM leads WHERE i = 1 UNION ALL SELECT o.k, l.i, l.nxt, o.batch + 1 FROM opens o JOIN leads l ON l.k = o.k AND l.i = o.nxt),
+  packed AS (SELECT s.*, o.batch FROM sums s ASOF JOIN opens o ON s.k = o.k AND s.i >= o.i)"""
+
+
+def sized_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with their lengths; ``done`` is false for some."""
+    done = (F.col("doc_id") * 7 + F.col("ord")) % 29 > 0
+    return Texts(spark, d).line_blocks().select("project_id", "document_id", "doc_id", "ord", "block_id", F.length("text").alias("len"), done.alias("done"))
+
+
+@query(f"WITH RECURSIVE {LINES}, l AS (SELECT document_id AS k, row_number() OVER (PARTITION BY document_id ORDER BY ord) AS i, length(text) AS n, block_id FROM lines), {PACKED} SELECT block_id, batch FROM packed")
 def pack_text_budget(spark, d):
-    return B.pack_text_budget(Texts(spark, d).line_blocks().select("document_id", "ord", "block_id", F.length("text").alias("len")), ["document_id"], "ord", "len", 18_000, 28).select("block_id", "batch")
+    return B.pack_text_budget(sized_lines(spark, d), ["document_id"], "ord", "len", 18_000, 28).select("block_id", "batch")
 
 
-@query()
+@query(f"WITH RECURSIVE {LINES}, l AS (SELECT coalesce(project_id, '') AS k, row_number() OVER (PARTITION BY project_id ORDER BY doc_id, ord) AS i, length(text) AS n, block_id FROM lines), {PACKED} SELECT block_id, batch FROM packed")
+def pack_project_budget(spark, d):
+    lines = sized_lines(spark, d).withColumn("at", F.struct("doc_id", "ord"))
+    return B.pack_text_budget(lines, ["project_id"], "at", "len", 18_000, 28).select("block_id", "batch")
+
+
+@query(f"""WITH RECURSIVE {LINES}, l AS (SELECT document_id AS k, row_number() OVER (PARTITION BY document_id ORDER BY ord) AS i, length(text) AS n, (doc_id * 7 + ord) % 29 > 0 AS done FROM lines), {PACKED},
+  each AS (SELECT k, batch, count(*) AS items, sum(n) AS chars, bool_and(done) AS whole FROM packed GROUP BY ALL)
+  SELECT k AS document_id, count(*) AS batches, CAST(sum(items) AS BIGINT) AS items, CAST(sum(chars) AS BIGINT) AS chars, count(*) FILTER (whole) AS completed, count(*) FILTER (whole) / count(*)::DOUBLE AS ratio FROM each GROUP BY k""")
 def batch_stats(spark, d):
-    packed = pack_text_budget(spark, d).withColumn("document_id", F.regexp_extract("block_id", r"^(doc-\d+)", 1))
-    return packed.groupBy("document_id").agg(F.max("batch").alias("last_batch"), F.count(F.lit(1)).alias("items"))
+    packed = B.pack_text_budget(sized_lines(spark, d), ["document_id"], "ord", "len", 18_000, 28)
+    return B.batch_stats(packed, ["document_id"], "len", "done")
 
 
 # relevance and coverage

@@ -29,6 +29,11 @@ def normalise_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)[\s﻿]+", " "))
 
 
+def normalise_ends(c: Column) -> Column:
+    """White space of any script off both ends; inside it stays."""
+    return F.regexp_replace(c, r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+\z", "")
+
+
 def decode_entities(c: Column) -> Column:
     """Tab and break tags to white space, other tags dropped, then five entities in order."""
     c = F.regexp_replace(c, r"(?i)<(?:w:)?tab\s*/?>", "\t")

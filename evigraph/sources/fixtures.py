@@ -178,6 +178,41 @@ class Texts:
             F.when(F.col("ord") % 3 == 0, "analysed").otherwise("unresolved").alias("status"),
         )
 
+    def slice_drafts(self) -> DataFrame:
+        """project_id, document_id, slice, draft: what an analyst would propose of four lines each; some break their contract."""
+        said = F.struct("ord", "block_id", "theme", "entity", "title", "statement", "topic", "importance")
+        rows = self.analysis_items().groupBy("project_id", "document_id", "doc_id", "slice").agg(F.array_sort(F.collect_list(said)).alias("said"))
+        each = lambda f: F.transform("said", f)
+        j, nowhere = F.col("doc_id") + F.col("slice"), F.array(F.lit("nowhere"))
+        ids = lambda x: F.concat(F.array(x["block_id"], x["block_id"]), F.when(x["ord"] % 5 == 0, nowhere).otherwise(F.array().cast("array<string>")))
+        score = lambda x: F.when(x["ord"] % 19 == 5, F.lit(None)).when(x["ord"] % 2 == 0, "high").otherwise(x["importance"].cast("string"))
+        status = lambda x: F.when(x["ord"] % 3 == 0, "observed").when(x["ord"] % 3 == 1, "reported").otherwise("inferred")
+        kind = lambda x: F.when((F.col("doc_id") + x["ord"]) % 23 == 7, "guess").otherwise("finding")
+        named = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+        none = F.lit(None)
+        draft = named(
+            summary=F.array_join(each(lambda x: x["statement"]), " "), relevance=F.element_at(F.array(*[F.lit(r) for r in ("direct", "partial", "contextual", "out_of_scope", "unclear")]), (j % 5 + 1).cast("int")),
+            relevance_reason=F.col("said")[0]["title"], source_boundary=F.when(j % 13 > 0, F.col("document_id")), themes=each(lambda x: x["theme"]),
+            entities=each(lambda x: named(name=x["entity"], type=F.when(x["ord"] % 4 < 3, x["theme"]), aliases=F.array(x["theme"]), evidence_block_ids=ids(x))),
+            knowledge_points=each(lambda x: named(kind=kind(x), title=x["title"], statement=x["statement"], status=status(x), scope=none.cast("string"), conditions=none.cast("map<string,string>"), importance=score(x), confidence=F.lit("0.7"), evidence_block_ids=ids(x))),
+            suggested_topics=F.transform(F.filter("said", lambda x: x["topic"].isNotNull()), lambda x: named(title=x["topic"], reason=x["statement"], evidence_block_ids=ids(x))),
+            concept_links=each(lambda x: named(registry_entry_id=F.concat(F.lit("r"), (x["ord"] % 4).cast("string")), reason=x["title"], evidence_block_ids=ids(x))),
+            coverage=each(lambda x: named(block_id=x["block_id"], status=F.when(x["ord"] % 6 == 4, "unresolved").otherwise("analyzed"), reason=x["title"])),
+        )
+        return rows.select("project_id", "document_id", "slice", draft.alias("draft"))
+
+    def answer_drafts(self) -> DataFrame:
+        """thread_id, ord, draft: replies as answers whose sentences are claims, citations and limitations; some break their contract."""
+        t = F.col("thread_id")
+        parts = F.split("text", r"\. ")
+        named = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+        status = F.array(*[F.lit(s) for s in ("observed", "reported", "inferred", "sure")])
+        pick = lambda i: F.element_at(status, ((t + i) % 4 + 1).cast("int"))
+        claim = lambda x, i: named(text=x, status=pick(i), node_ids=F.slice(F.array(F.lit("n1"), F.lit("n2")), 1, ((t + i) % 3).cast("int")), evidence_ids=F.when((F.col("ord") + i) % 5 > 0, F.array(F.lit("e"))))
+        cited = lambda x, i: named(evidence_id=F.lit("e"), node_id=F.lit(None).cast("string"), document_id=F.lit("d"), document_name=F.when(i % 7 == 6, "").otherwise("name"), page=(t + i) % 9, block_id=F.lit("b"), section=F.lit(None).cast("string"), topic=x, status=pick(i + 1))
+        draft = named(answer=F.col("text"), claims=F.transform(parts, claim), citations=F.transform(parts, cited), limitations=F.when(t % 3 > 0, parts))
+        return self.messages().filter("role = 'assistant' and text is not null").select("thread_id", "ord", draft.alias("draft"))
+
     def relevance_decisions(self) -> DataFrame:
         q, x = F.col("quality").cast("double"), F.col("toxic").cast("double")
         return self.raw("labels").select("doc_id", ((F.col("quality") == 1) | (F.col("doc_id") % 2 == 0)).alias("keep"), (F.lit(0.3) + 0.5 * q - 0.25 * x).alias("score"))

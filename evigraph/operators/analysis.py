@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.scratch import new_path
 
 # Relevance from best to worst.
 RELEVANCE = ("direct", "partial", "contextual", "out_of_scope")
@@ -154,10 +153,3 @@ def answer_guard(answers: DataFrame) -> DataFrame:
         ("unknown citation", F.exists("claims", lambda c: F.exists(c["citations"], lambda i: ~F.array_contains("known_ids", i)))), ("no claim", F.size("claims") == 0),
     ]
     return answers.withColumn("reject", F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in tests]))
-
-
-def publish(table: DataFrame, partition: str) -> DataFrame:
-    """Write a finished table once, partitioned, and read it back; nothing is visible before the job commits."""
-    path = new_path(table.sparkSession, "published")
-    table.repartition(partition).write.partitionBy(partition).parquet(path)
-    return table.sparkSession.read.schema(table.schema).parquet(path)

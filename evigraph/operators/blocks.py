@@ -107,14 +107,3 @@ def delta_documents(sources: DataFrame, processed: DataFrame, key: str) -> DataF
 
 def replace_rows(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return without(old, new, keys).unionByName(new)
-
-
-def manifest_documents(blocks: DataFrame) -> DataFrame:
-    """document_id, block_count, fingerprint of its ordered blocks (without ids)."""
-    cell = F.sha2(F.concat_ws("|", F.col("ord").cast("string"), "text").cast("binary"), 256)
-    return blocks.groupBy("document_id").agg(F.count(F.lit(1)).alias("block_count"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", cell.alias("h")))), lambda s: s["h"]), ",").cast("binary"), 256).alias("fingerprint"))
-
-
-def input_fingerprint(manifest: DataFrame, versions: str) -> DataFrame:
-    """project_id, fingerprint of its documents' fingerprints, free of ids and time."""
-    return manifest.groupBy("project_id").agg(F.sha2(F.concat_ws("|", F.lit(versions), F.array_join(F.array_sort(F.collect_list("fingerprint")), ",")).cast("binary"), 256).alias("fingerprint"))

@@ -81,12 +81,6 @@ def supersede_proposals(proposals: DataFrame, gone: DataFrame) -> DataFrame:
     return joined.select("proposal_id", F.when((F.col("status") == "pending") & (F.size("kept") == 0), "superseded").otherwise(F.col("status")).alias("status"), F.col("kept").alias("document_ids"))
 
 
-def plan_fingerprint(plan: DataFrame) -> DataFrame:
-    """project_id, fingerprint of (kind, label, value) rows, whatever their order."""
-    cell = F.concat_ws("|", "kind", "label", "value")
-    return plan.groupBy("project_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(cell)), ",").cast("binary"), 256).alias("fingerprint"))
-
-
 def safe_type(rows: DataFrame, categories: DataFrame, col: str, fallback: str) -> DataFrame:
     """+ safe_type: the proposed label if it is controlled (in any case), else the fallback. A plan has at most 16 categories a project."""
     known = categories.select("project_id", F.lower(F.trim("label")).alias("__k"), F.col("label").alias("__label")).dropDuplicates(["project_id", "__k"])

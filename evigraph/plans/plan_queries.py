@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import analysis as N
+from ..operators import fingerprint as P
 from ..operators import ontology as O
+from ..operators import publishing
 from ..sources.fixtures import Star, Texts
-from .text_queries import LINES
+from .scratch import new_path
+from .text_queries import LINES, tree
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -96,9 +99,9 @@ def supersede_proposals(spark, d):
     return O.supersede_proposals(p, gone).withColumn("document_ids", F.array_join("document_ids", ","))
 
 
-@query(f"WITH {TYPES} SELECT project_id, sha256(string_agg('category|' || label || '|' || role, ',' ORDER BY 'category|' || label || '|' || role)) AS fingerprint FROM types GROUP BY 1")
+@query(f"WITH {TYPES}, {tree("SELECT project_id AS k, sha256('category|' || label || '|' || role) AS o, o AS h FROM types", 'plan_tree')} SELECT k AS project_id, h AS fingerprint FROM plan_tree_3")
 def plan_fingerprint(spark, d):
-    return O.plan_fingerprint(types(Star(spark, d)).select("project_id", F.lit("category").alias("kind"), "label", F.col("role").alias("value")))
+    return P.plan_fingerprint(types(Star(spark, d)).select("project_id", F.lit("category").alias("kind"), "label", F.col("role").alias("value")))
 
 
 @query(f"WITH {TYPES}, c AS (SELECT 'proj-' || (c_nationkey % 5) AS project_id, c_custkey, n_name AS t FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT c_custkey, coalesce(label, 'Concept') AS safe_type FROM c LEFT JOIN types ON types.project_id = c.project_id AND lower(trim(t)) = lower(label)")
@@ -220,7 +223,10 @@ def incremental_build(spark, d):
     return build_once(spark, f"{d}/documents.parquet")
 
 
-@query()
+@query(f"WITH {LINES}, d AS (SELECT source AS project_id, count(*) AS n FROM documents GROUP BY 1) SELECT d.project_id, n, (SELECT count(*) FROM lines l WHERE l.project_id IS NOT DISTINCT FROM d.project_id) AS blocks FROM d")
 def publish_tables(spark, d):
-    t = Texts(spark, d).documents().select("document_id", "project_id")
-    return N.publish(t, "project_id").groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    t, root = Texts(spark, d), new_path(spark, "published")
+    publishing.publish(spark, root, {"documents": t.documents().select("document_id", "project_id"), "blocks": t.line_blocks()}, "project_id")
+    counts = [publishing.read(spark, root, name).groupBy("project_id").agg(F.count(F.lit(1)).alias(n)) for name, n in (("documents", "n"), ("blocks", "blocks"))]
+    same = counts[0]["project_id"].eqNullSafe(counts[1]["project_id"])
+    return counts[0].join(counts[1], same, "left").select(counts[0]["project_id"], "n", F.coalesce("blocks", F.lit(0)).alias("blocks"))

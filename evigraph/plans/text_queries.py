@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import blocks as B
 from ..operators import chat as C
+from ..operators import fingerprint as P
 from ..sources.fixtures import Texts
 
 WS = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x0B\x1C-\x1F\x85]+"
@@ -277,23 +278,35 @@ def replace_analyses(spark, d):
 # manifests
 
 
-@query(f"""WITH {LINES} SELECT document_id, CAST(count(*) AS BIGINT) AS block_count, sha256(string_agg(sha256(ord || '|' || text), ',' ORDER BY ord)) AS fingerprint FROM lines GROUP BY 1""")
+def tree(leaves: str, name: str) -> str:
+    """CTEs ``name``_0 to ``name``_3: a plain hash tree over a query with k, o (order) and h; ``name``_3 has k, n and the root h."""
+    out = f"{name}_0 AS (SELECT k, h, row_number() OVER (PARTITION BY k ORDER BY o) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM ({leaves}))"
+    for level in (1, 2, 3):
+        root = f"CASE WHEN n <= {256 ** (level - 1)} THEN any_value(h) ELSE sha256(string_agg(h, ',' ORDER BY i)) END" if level > 1 else "sha256(string_agg(h, ',' ORDER BY i))"
+        out += f", {name}_{level} AS (SELECT k, n, up AS i, {root} AS h FROM (SELECT *, i // 256 AS up FROM {name}_{level - 1}) GROUP BY k, n, up)"
+    return out
+
+
+DOC_ROOTS = tree("SELECT document_id AS k, ord AS o, sha256(ord || '|' || text) AS h FROM lines", "docs_tree")
+
+
+@query(f"WITH {LINES}, {DOC_ROOTS} SELECT k AS document_id, n AS block_count, h AS fingerprint FROM docs_tree_3")
 def manifest_documents(spark, d):
-    return B.manifest_documents(Texts(spark, d).line_blocks())
+    return P.manifest_documents(Texts(spark, d).line_blocks())
 
 
-@query(f"""WITH {LINES}, m AS (SELECT project_id, document_id, sha256(string_agg(sha256(ord || '|' || text), ',' ORDER BY ord)) AS fingerprint FROM lines GROUP BY 1, 2)
-  SELECT project_id, sha256('v1|' || string_agg(fingerprint, ',' ORDER BY fingerprint)) AS fingerprint FROM m GROUP BY 1""")
+@query(f"""WITH {LINES}, {DOC_ROOTS}, {tree("SELECT project_id AS k, h AS o, h FROM docs_tree_3 JOIN (SELECT DISTINCT document_id, project_id FROM lines) ON document_id = k", "in_tree")}
+  SELECT k AS project_id, sha256('v1|' || h) AS fingerprint FROM in_tree_3""")
 def input_fingerprint(spark, d):
     t = Texts(spark, d)
-    m = B.manifest_documents(t.line_blocks()).join(t.documents().select("document_id", "project_id"), "document_id")
-    return B.input_fingerprint(m, "v1")
+    m = P.manifest_documents(t.line_blocks()).join(t.documents().select("document_id", "project_id"), "document_id")
+    return P.input_fingerprint(m, "v1")
 
 
-@query("SELECT source AS project_id, string_agg('doc-' || doc_id, ',' ORDER BY sha256(text), doc_id) AS documents FROM documents GROUP BY 1")
+@query("SELECT source AS project_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256(text) NULLS FIRST, doc_id) AS place FROM documents")
 def manifest_order(spark, d):
-    key = F.struct(F.sha2(F.col("text").cast("binary"), 256).alias("h"), "doc_id")
-    return docs(spark, d).groupBy(F.col("source").alias("project_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda s: F.concat(F.lit("doc-"), s["doc_id"].cast("string"))), ",").alias("documents"))
+    rows = docs(spark, d).select(F.col("source").alias("project_id"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return P.manifest_order(rows, "hash", "doc_id").drop("hash")
 
 
 # chat tables

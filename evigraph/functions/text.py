@@ -11,7 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # Score words.
 SCORE_WORDS = {
@@ -187,6 +187,25 @@ def canonical_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
 
 
+def _canonical(c: Column, kind: DataType) -> Column:
+    """``c`` with the keys of structs and maps in order at every level. Null fields and map values are left out, nulls in arrays stay."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*[_canonical(c.getField(f.name), f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _canonical(x, kind.elementType))
+    if isinstance(kind, MapType):
+        by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        entries = F.array_sort(F.map_entries(F.map_filter(c, lambda _, v: v.isNotNull())), by_key)
+        return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), _canonical(e["value"], kind.valueType).alias("value"))))
+    return c
+
+
+def nested_json(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``df`` with the canonical JSON of a struct, map or array in ``out``: equal values have equal texts, however their keys were ordered; null stays null."""
+    return df.withColumn(out, F.to_json(_canonical(F.col(col), df.schema[col].dataType)))
+
+
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each group."""
     names = df.columns

@@ -133,6 +133,15 @@ def canonical_json(spark, d):
     return Texts(spark, d).raw("customer").select("c_custkey", F.sha2(got.cast("binary"), 256).alias("value"))
 
 
+@query("""SELECT c_custkey, '{"a":[' || CASE WHEN c_custkey % 3 = 0 THEN 'null,' ELSE '' END || '{"k":{' || CASE WHEN c_custkey % 2 = 0 THEN '"m":{"y":1},' ELSE '' END || '"z":{"y":2}},"n":"' || c_name || '"}],"b":{"c":' || c_nationkey || CASE WHEN c_custkey % 5 > 0 THEN ',"d":"x"' ELSE '' END || '}}' AS json FROM customer""")
+def canonical_json_nested(spark, d):
+    k = F.col("c_custkey")
+    deep = F.create_map(F.lit("z"), F.create_map(F.lit("y"), F.lit(2), F.lit("gone"), F.lit(None).cast("int")), F.lit("m"), F.when(k % 2 == 0, F.create_map(F.lit("y"), F.lit(1))))
+    item = F.struct(F.col("c_name").alias("n"), deep.alias("k"), F.lit(None).cast("string").alias("e"))
+    value = F.struct(F.struct(F.when(k % 5 > 0, "x").alias("d"), F.col("c_nationkey").alias("c")).alias("b"), F.when(k % 3 == 0, F.array(F.lit(None), item)).otherwise(F.array(item)).alias("a"))
+    return X.nested_json(Texts(spark, d).raw("customer").select("c_custkey", value.alias("value")), "value", "json").drop("value")
+
+
 def _brand_props(spark, d):
     li = Texts(spark, d).raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.create_map(F.col("l_returnflag"), F.col("l_partkey").cast("string"), F.concat(F.col("l_returnflag"), F.lit("x")), F.col("l_suppkey").cast("string")).alias("props"))
     return li, [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")]

@@ -47,13 +47,16 @@ def validate_claim_drafts(drafts: DataFrame) -> DataFrame:
     )
 
 
-def _claim_window() -> Window:
-    return Window.partitionBy("block_id").orderBy(*[F.coalesce(c, F.lit("")) for c in SORT], *[F.col(c) for c in ("importance", "confidence", "brand", "size")])
+def _further(drafts: DataFrame) -> list[str]:
+    """Columns that a ledger passes through; they break ties, so they must be orderable."""
+    known = {*SORT, "project_id", "block_id", "disposition", "kind", "statement", "suggested_name", "suggested_type", "importance", "confidence"}
+    return sorted(c for c in drafts.columns if c not in known)
 
 
 def claim_occurrence(drafts: DataFrame) -> DataFrame:
     """Index from 0 of a claim in its block after the five-key sort."""
-    return drafts.withColumn("occurrence", (F.row_number().over(_claim_window()) - 1).cast("long"))
+    order = [*[F.coalesce(c, F.lit("")) for c in SORT], "importance", "confidence", *_further(drafts)]
+    return drafts.withColumn("occurrence", (F.row_number().over(Window.partitionBy("block_id").orderBy(*order)) - 1).cast("long"))
 
 
 def claim_ledger(drafts: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def claim_ledger(drafts: DataFrame) -> DataFrame:
     nameless = (F.col("disposition") != "ignore") & (F.coalesce(F.trim("suggested_name"), F.lit("")) == "")
     value = F.concat_ws("|", "block_id", F.col("occurrence").cast("string"), "kind", "statement")
     return rows.select(
-        X.scoped_id(F.col("project_id"), "claim", value, 20).alias("claim_id"), "project_id", "block_id", "occurrence", "kind", "statement", "suggested_name", "suggested_type", "importance", "confidence", "brand", "size",
+        X.scoped_id(F.col("project_id"), "claim", value, 20).alias("claim_id"), "project_id", "block_id", "occurrence", "kind", "statement", "suggested_name", "suggested_type", "importance", "confidence", *_further(drafts),
         F.when(nameless, "ignore").otherwise(F.col("disposition")).alias("disposition"), F.when(nameless, "no suggested name").alias("reason"),
     )
 

@@ -1,4 +1,4 @@
-"""Graph building and reading: endpoints, relation gate, edges, cascades, search, neighbourhoods, retrieval, export."""
+"""Graph building and reading: endpoints, relation gate, edges, search, neighbourhoods, retrieval, export."""
 
 from __future__ import annotations
 
@@ -188,46 +188,6 @@ def retrieve_context(questions: DataFrame, edges: DataFrame, node_evidence: Data
     return part(shown, "node", "node_id").union(part(kept, "edge", "edge_id")).union(part(proof, "evidence", "evidence_id"))
 
 
-def remove_documents(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """What is left of blocks, evidence, node_evidence, edge_evidence, nodes, edges and claims when the documents in ``gone`` (document_id) go.
-
-    Links to dead evidence are cut, nodes without evidence go, and so do edges without evidence or with a dead end.
-    """
-    gone, out = gone.select("document_id").distinct(), dict(tables)
-    out["blocks"], out["evidence"] = (tables[t].join(gone, "document_id", "left_anti") for t in ("blocks", "evidence"))
-    alive = out["evidence"].select("evidence_id")
-    for link in ("node_evidence", "edge_evidence"):
-        out[link] = tables[link].join(alive, "evidence_id", "left_semi")
-    out["nodes"] = tables["nodes"].join(out["node_evidence"], "node_id", "left_semi")
-    edges = tables["edges"].join(out["edge_evidence"], "edge_id", "left_semi")
-    for end in ("source_id", "target_id"):
-        edges = edges.join(out["nodes"].select(F.col("node_id").alias(end)), end, "left_semi")
-    out["edges"] = edges
-    out["claims"] = tables["claims"].join(out["blocks"].select("block_id"), "block_id", "left_semi")
-    return out
-
-
-def clear_project_graph(tables: dict[str, DataFrame], project: str) -> dict[str, DataFrame]:
-    """What is left of nodes, edges, claims and evidence when a project's graph goes; blocks stay, and so does evidence that another project's graph cites."""
-    mine = {t: tables[t].filter(F.col("project_id") == project) for t in ("nodes", "edges")}
-    rest = {t: tables[t].filter(F.col("project_id") != project) for t in ("nodes", "edges", "claims")}
-    links = lambda side: tables["node_evidence"].join(side["nodes"], "node_id", "left_semi").select("evidence_id").union(tables["edge_evidence"].join(side["edges"], "edge_id", "left_semi").select("evidence_id"))
-    dead = links(mine).distinct().join(links(rest), "evidence_id", "left_anti")
-    return rest | {"evidence": tables["evidence"].join(dead, "evidence_id", "left_anti")}
-
-
-def delete_projects(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the rows of the projects in ``gone`` (project_id); tables that know only a document or node lose theirs with it."""
-    gone = gone.select("project_id").distinct()
-    out = {name: t.join(gone, "project_id", "left_anti") for name, t in tables.items() if "project_id" in t.columns}
-    owners = {"document_id": "documents", "node_id": "nodes", "edge_id": "edges"}
-    for name, t in tables.items():
-        if name not in out:
-            key = next(k for k in owners if k in t.columns)
-            out[name] = t.join(out[owners[key]].select(key), key, "left_semi")
-    return out
-
-
 def records(parts: dict[str, DataFrame], columns: tuple[str, ...]) -> DataFrame:
     """One table of several record kinds; absent fields are blank."""
     out = None

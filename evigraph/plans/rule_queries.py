@@ -251,50 +251,7 @@ def stable_summaries(spark, d):
     return K.stable_summaries(old, new, b.filter(k % 5 == 0).select("registry_id", F.lit("draft").alias("summary")))
 
 
-# cascades
-
-
-def _tables(s: Star) -> dict[str, DataFrame]:
-    claims = E.claim_ledger(s.claim_drafts()).select("project_id", "claim_id", "block_id")
-    return {"documents": s.documents(), "blocks": s.blocks(), "evidence": s.evidence(), "nodes": nodes(s), "edges": edges(s), "node_evidence": node_evidence(s), "edge_evidence": edge_evidence(s), "claims": claims}
-
-
-def _rows(tables: dict[str, DataFrame], ids: dict[str, str]) -> DataFrame:
-    out = None
-    for kind, column in ids.items():
-        part = tables[kind].select(F.lit(kind).alias("kind"), F.col(column).alias("id"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@query(PRE + """, left_evidence AS (SELECT * FROM evidence WHERE document_id NOT IN (SELECT document_id FROM docs WHERE file_name LIKE '%7')), left_nodes AS (SELECT DISTINCT node_id FROM node_evidence JOIN left_evidence USING (evidence_id))
- SELECT 'blocks' AS kind, block_id AS id FROM blocks WHERE document_id NOT IN (SELECT document_id FROM docs WHERE file_name LIKE '%7') UNION ALL SELECT 'evidence', evidence_id FROM left_evidence UNION ALL SELECT 'nodes', node_id FROM left_nodes
- UNION ALL SELECT 'edges', edge_id FROM edges WHERE edge_id IN (SELECT edge_id FROM edge_evidence JOIN left_evidence USING (evidence_id)) AND source_id IN (SELECT node_id FROM left_nodes) AND target_id IN (SELECT node_id FROM left_nodes)
- UNION ALL SELECT 'claims', claim_id FROM claims WHERE block_id IN (SELECT block_id FROM blocks WHERE document_id NOT IN (SELECT document_id FROM docs WHERE file_name LIKE '%7'))""")
-def remove_documents(spark, d):
-    s = Star(spark, d)
-    return _rows(G.remove_documents(_tables(s), s.documents().filter("file_name like '%7'")), {"blocks": "block_id", "evidence": "evidence_id", "nodes": "node_id", "edges": "edge_id", "claims": "claim_id"})
-
-
-@query(PRE + """, shared AS (SELECT evidence_id FROM evidence WHERE o_orderkey % 11 = 0), mine AS (SELECT evidence_id FROM node_evidence WHERE node_id LIKE 'proj-1:%' UNION SELECT evidence_id FROM edge_evidence WHERE edge_id LIKE 'proj-1:%')
- SELECT 'nodes' AS kind, node_id AS id FROM nodes WHERE project_id <> 'proj-1' UNION ALL SELECT 'edges', edge_id FROM edges WHERE project_id <> 'proj-1' UNION ALL SELECT 'claims', claim_id FROM claims WHERE project_id <> 'proj-1'
- UNION ALL SELECT 'evidence', evidence_id FROM evidence WHERE evidence_id NOT IN (SELECT evidence_id FROM mine) OR evidence_id IN (SELECT evidence_id FROM shared)""")
-def clear_project_graph(spark, d):
-    """A node of another project cites some evidence of this one."""
-    s = Star(spark, d)
-    tables = _tables(s)
-    other = nodes(s).filter("project_id = 'proj-0'").agg(F.min("node_id").alias("node_id")).first()["node_id"]
-    tables["node_evidence"] = tables["node_evidence"].union(s.evidence().filter("o_orderkey % 11 = 0").select(F.lit(other).alias("node_id"), "evidence_id"))
-    return _rows(G.clear_project_graph(tables, "proj-1"), {"nodes": "node_id", "edges": "edge_id", "claims": "claim_id", "evidence": "evidence_id"})
-
-
-@query(PRE + """SELECT 'documents' AS kind, document_id AS id FROM docs WHERE project_id <> 'proj-2' UNION ALL SELECT 'blocks', block_id FROM blocks JOIN docs USING (document_id) WHERE project_id <> 'proj-2' UNION ALL SELECT 'evidence', evidence_id FROM evidence WHERE project_id <> 'proj-2'
- UNION ALL SELECT 'nodes', node_id FROM nodes WHERE project_id <> 'proj-2' UNION ALL SELECT 'edges', edge_id FROM edges WHERE project_id <> 'proj-2' UNION ALL SELECT 'claims', claim_id FROM claims WHERE project_id <> 'proj-2'
- UNION ALL SELECT 'node_evidence', evidence_id FROM node_evidence JOIN nodes USING (node_id) WHERE project_id <> 'proj-2'""")
-def delete_projects(spark, d):
-    s = Star(spark, d)
-    ids = {"documents": "document_id", "blocks": "block_id", "evidence": "evidence_id", "nodes": "node_id", "edges": "edge_id", "claims": "claim_id", "node_evidence": "evidence_id"}
-    return _rows(G.delete_projects(_tables(s), s.projects().filter("project_id = 'proj-2'")), ids)
+# coverage
 
 
 @query(PRE + """SELECT status, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 4 = 0 OR (o_orderkey % 4 = 1 AND coalesce(useful, 0) = 0) THEN 'unresolved' WHEN o_orderkey % 4 = 1 THEN 'claimed' ELSE 'no_goal_relevant_claim' END AS status

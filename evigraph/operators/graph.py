@@ -166,24 +166,35 @@ def excerpts(links: DataFrame, evidence: DataFrame, key: str, k: int, chars: int
     return top.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "x"))), lambda s: s["x"]), " / ").alias("excerpts"))
 
 
-def retrieve_context(questions: DataFrame, edges: DataFrame, node_evidence: DataFrame, seeds: int = 8, n_edges: int = 12, n_nodes: int = 12, n_evidence: int = 36) -> DataFrame:
+def retrieve_context(
+    questions: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, node_evidence: DataFrame, edge_evidence: DataFrame,
+    n_seeds: int = 8, n_edges: int = 12, n_nodes: int = 12, n_evidence: int = 36,
+) -> DataFrame:
     """question, kind (node, edge, evidence), id: what an answer may use; no text.
 
-    ``questions``: question, node_id, ord. A question's edges are the best that touch one of its seeds; its nodes
-    are the seeds, then the ends of those edges; all questions are answered in one pass.
+    ``questions``: question, node_id, ord; ``nodes``, ``evidence``: id, ord; ``edges``: edge_id, ord, confidence, source_id, target_id. Of a question's known seeds the first ones
+    count; its edges are those touching one, by falling confidence; its nodes the seeds, then the edges' other ends in the order of the
+    table; its evidence that of these nodes and edges, in the order of the table. Ties go to the smaller id. Nodes without any of this evidence are left out, and so are
+    edges without, or without one of their ends. All questions are answered in one pass; each limit is applied before rows are shuffled. A question without known seeds has no rows.
     """
-    top = lambda df, k, *order: df.withColumn("__r", F.row_number().over(Window.partitionBy("question").orderBy(*order))).filter(F.col("__r") <= k).drop("__r")
-    first = questions.groupBy("question", "node_id").agg(F.min("ord").alias("ord"))
-    seed = top(first, seeds, F.col("ord"), F.col("node_id"))
+    top = lambda df, k, *order: df.withColumn("__r", F.row_number().over(Window.partitionBy("question").orderBy(*order))).filter(F.col("__r") <= k)
+    place = nodes.groupBy("node_id").agg(F.min("ord").alias("place"))
+    known = questions.groupBy("question", "node_id").agg(F.min("ord").alias("ord")).join(place.select("node_id"), "node_id", "left_semi")
+    seed = staged(top(known, n_seeds, F.col("ord"), F.col("node_id")).select("question", "node_id", F.col("__r").cast("long").alias("o")), "context-seeds")
     ends = [edges.join(seed.select("question", F.col("node_id").alias(e)), e) for e in ("source_id", "target_id")]
-    near = ends[0].unionByName(ends[1]).select("question", "edge_id", "confidence", "source_id", "target_id").distinct()
-    near = top(near, n_edges, F.desc("confidence"), F.col("edge_id"))
-    more = near.select("question", F.col("source_id").alias("node_id")).union(near.select("question", "target_id"))
-    every = seed.select("question", "node_id", F.lit(0).alias("g"), F.col("ord").cast("long").alias("o")).union(more.select("question", "node_id", F.lit(1), F.lit(0).cast("long")))
-    nodes = top(every.groupBy("question", "node_id").agg(F.min(F.struct("g", "o")).alias("o")), n_nodes, F.col("o"), F.col("node_id"))
-    proof = top(nodes.join(node_evidence, "node_id").select("question", "evidence_id").distinct(), n_evidence, F.col("evidence_id"))
-    shown = nodes.join(node_evidence, "node_id").join(proof, ["question", "evidence_id"], "left_semi").select("question", "node_id").distinct()
-    kept = near.join(shown.withColumnRenamed("node_id", "source_id"), ["question", "source_id"], "left_semi").join(shown.withColumnRenamed("node_id", "target_id"), ["question", "target_id"], "left_semi")
+    near = ends[0].unionByName(ends[1]).select("question", "edge_id", "ord", "confidence", "source_id", "target_id").distinct()
+    near = staged(top(near, n_edges, F.desc("confidence"), F.col("ord"), F.col("edge_id")).drop("__r"), "context-edges")
+    others = near.select("question", F.explode(F.array("source_id", "target_id")).alias("node_id")).hint("merge").join(place, "node_id").select("question", "node_id", F.lit(1).alias("g"), F.col("place").cast("long").alias("o"))
+    every = seed.select("question", "node_id", F.lit(0).alias("g"), "o").unionByName(others)
+    mine = staged(top(every.groupBy("question", "node_id").agg(F.min(F.struct("g", "o")).alias("o")), n_nodes, F.col("o"), F.col("node_id")).select("question", "node_id"), "context-nodes")
+    of_nodes, of_edges = mine.join(node_evidence, "node_id"), near.join(edge_evidence, "edge_id")
+    cited = of_nodes.select("question", "evidence_id").union(of_edges.select("question", "evidence_id")).distinct().join(evidence.groupBy("evidence_id").agg(F.min("ord").alias("place")), "evidence_id")
+    proof = staged(top(cited, n_evidence, F.col("place"), F.col("evidence_id")).select("question", "evidence_id"), "context-proof")
+    proven = lambda rows: rows.join(proof, ["question", "evidence_id"], "left_semi")
+    shown = staged(proven(of_nodes).select("question", "node_id").distinct(), "context-shown")
+    kept = proven(of_edges).select("question", "edge_id", "source_id", "target_id").distinct()
+    for end in ("source_id", "target_id"):
+        kept = kept.join(shown.withColumnRenamed("node_id", end), ["question", end], "left_semi")
     part = lambda df, kind, c: df.select("question", F.lit(kind).alias("kind"), F.col(c).alias("id"))
     return part(shown, "node", "node_id").union(part(kept, "edge", "edge_id")).union(part(proof, "evidence", "evidence_id"))
 

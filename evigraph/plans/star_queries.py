@@ -350,13 +350,22 @@ def project_snapshot(spark, d):
 
 
 
-@query()
+@query("""SELECT * FROM (WITH asked AS (SELECT project_id || '|' || type AS question, node_id, row_number() OVER (PARTITION BY project_id, type ORDER BY importance DESC, node_id) AS r FROM nodes), seed AS (SELECT * FROM asked WHERE r <= 8),
+ near AS (SELECT * FROM (SELECT question, edge_id, confidence, source_id, target_id FROM edges JOIN seed ON source_id = node_id UNION SELECT question, edge_id, confidence, source_id, target_id FROM edges JOIN seed ON target_id = node_id) QUALIFY row_number() OVER (PARTITION BY question ORDER BY confidence DESC, edge_id) <= 12),
+ ends AS (SELECT question, source_id AS node_id FROM near UNION SELECT question, target_id FROM near), every AS (SELECT question, node_id, 0 AS g, r AS o FROM seed UNION ALL SELECT question, node_id, 1, members FROM ends JOIN nodes USING (node_id)),
+ mine AS (SELECT question, node_id FROM (SELECT question, node_id, min({'g': g, 'o': o}) AS k FROM every GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY question ORDER BY k, node_id) <= 12),
+ proof AS (SELECT question, evidence_id FROM (SELECT question, evidence_id FROM mine JOIN node_evidence USING (node_id) UNION SELECT question, evidence_id FROM near JOIN edge_evidence USING (edge_id)) JOIN (SELECT evidence_id, page FROM evidence) USING (evidence_id) QUALIFY row_number() OVER (PARTITION BY question ORDER BY page, evidence_id) <= 36),
+ shown AS (SELECT DISTINCT question, node_id FROM mine JOIN node_evidence USING (node_id) JOIN proof USING (question, evidence_id))
+ SELECT question, 'node' AS kind, node_id AS id FROM shown UNION ALL SELECT question, 'evidence', evidence_id FROM proof
+ UNION ALL SELECT question, 'edge', edge_id FROM (SELECT DISTINCT question, edge_id, source_id, target_id FROM near JOIN edge_evidence USING (edge_id) JOIN proof USING (question, evidence_id)) WHERE (question, source_id) IN (FROM shown) AND (question, target_id) IN (FROM shown))""")
 def retrieve_context(spark, d):
+    """Asked for each type of a project; the tables' order is that of members and of pages."""
     s = Star(spark, d)
-    n, proof = staged(nodes(s), "context-nodes"), staged(node_evidence(s), "context-evidence")
-    best = n.withColumn("r", F.row_number().over(Window.partitionBy("project_id", "type").orderBy(F.desc("importance"), "node_id"))).filter("r <= 3")
-    questions = best.select(F.concat_ws("|", "project_id", "type").alias("question"), "node_id", F.col("r").alias("ord"))
-    return G.retrieve_context(questions, staged(edges(s), "context-edges"), proof)
+    n = nodes(s)
+    r = F.row_number().over(Window.partitionBy("project_id", "type").orderBy(F.desc("importance"), "node_id"))
+    questions = n.select(F.concat_ws("|", "project_id", "type").alias("question"), "node_id", r.alias("ord"))
+    evidence = s.evidence().select("evidence_id", F.col("page").alias("ord"))
+    return G.retrieve_context(questions, n.select("node_id", F.col("members").alias("ord")), edges(s).withColumn("ord", F.lit(0)), evidence, node_evidence(s), edge_evidence(s))
 
 
 # classification and single assignment

@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from evigraph.plans import build_queries, cascade_queries, contract_queries, more_queries, plan_queries, rule_queries, star_queries, text_queries
+from evigraph.plans import build_queries, cascade_queries, contract_queries, more_queries, plan_queries, profile_queries, rule_queries, star_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
-CORE = {**text_queries.SQL, **star_queries.SQL, **plan_queries.SQL, **more_queries.SQL, **rule_queries.SQL, **build_queries.SQL, **cascade_queries.SQL, **contract_queries.SQL}
+CORE = {**text_queries.SQL, **star_queries.SQL, **plan_queries.SQL, **more_queries.SQL, **rule_queries.SQL, **profile_queries.SQL, **build_queries.SQL, **cascade_queries.SQL, **contract_queries.SQL}
 
 
 def value(x):

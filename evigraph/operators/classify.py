@@ -38,6 +38,11 @@ TYPE_ALIASES = {
     "material": ["material", "substance", "sample", "材料", "物质", "样品"],
     "other": ["other", "其他"],
 }
+# Labels of the roles' own categories in Chinese; in English they are the roles' names with a capital.
+ZH_LABELS = {
+    "law": "定律", "theorem": "定理", "theory": "理论", "model": "模型", "concept": "概念", "method": "方法", "formula": "公式",
+    "quantity": "指标", "experiment": "实验", "phenomenon": "现象", "person": "人物", "material": "材料", "other": "其他",
+}
 ACCEPT = 0.72  # fixed value: below this confidence a proposal needs review
 
 
@@ -91,17 +96,25 @@ def classify_entities(rows: DataFrame, roles: list[str]) -> DataFrame:
     )
 
 
-def ensure_categories(categories: DataFrame, entities: DataFrame, most: int = 16) -> DataFrame:
+def category_label(role: Column, language: Column) -> Column:
+    """The label of a role's own category."""
+    zh = F.coalesce(*[F.when(role == r, label) for r, label in ZH_LABELS.items()])
+    return F.when(language == "zh", zh).otherwise(F.initcap(role))
+
+
+def ensure_categories(categories: DataFrame, entities: DataFrame, most: int = 16, plans: DataFrame | None = None) -> DataFrame:
     """project_id, place, label, role: the plan's categories and one more for each role that its entities need, in order of first need.
 
     ``categories``: project_id, ord, label, role; ``entities``: project_id, ord, name, type, content. With ``most`` categories the first one of role
-    ``other`` makes room, and without one the role stays out. There are no more roles than ``TYPE_ALIASES`` has, so the fold is over short arrays.
+    ``other`` makes room, and without one the role stays out. New labels are in the plan's language, and a frozen plan stays as it is: ``plans``: project_id,
+    language, frozen, one row a project; without a row (or plans) a project is in English and not frozen. There are no more roles than ``TYPE_ALIASES`` has, so the fold is over short arrays.
     """
     role = F.coalesce(name_role(F.col("name")), content_role(F.col("content"), F.col("type")))
     first = entities.select("project_id", role.alias("role"), "ord").groupBy("project_id", "role").agg(F.min("ord").alias("ord"))
     needed = first.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("ord", "role"))).alias("needed"))
     plan = categories.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("ord", "label", "role"))).alias("plan"))
-    entry = lambda r: F.struct(F.lit(None).cast("long").alias("ord"), F.initcap(r).alias("label"), r.alias("role"))
+    said = plans.select("project_id", "language", "frozen") if plans is not None else categories.select("project_id", F.lit("en").alias("language"), F.lit(False).alias("frozen")).limit(0)
+    entry = lambda r: F.struct(F.lit(None).cast("long").alias("ord"), category_label(r, F.col("language")).alias("label"), r.alias("role"))
 
     def add(cats: Column, need: Column) -> Column:
         other = F.array_position(F.transform(cats, lambda c: c["role"]), F.lit("other")).cast("int")
@@ -109,5 +122,6 @@ def ensure_categories(categories: DataFrame, entities: DataFrame, most: int = 16
         more = F.array(entry(need["role"]))
         return F.when(F.exists(cats, lambda c: c["role"] == need["role"]), cats).when(F.size(cats) < most, F.concat(cats, more)).when(other > 0, F.concat(without, more)).otherwise(cats)
 
-    folded = plan.hint("merge").join(needed, "project_id", "left").select("project_id", F.coalesce(F.aggregate("needed", F.col("plan"), add), F.col("plan")).alias("plan"))
+    grown = F.when(~F.coalesce("frozen", F.lit(False)), F.aggregate("needed", F.col("plan"), add))
+    folded = plan.hint("merge").join(needed, "project_id", "left").join(said, "project_id", "left").select("project_id", F.coalesce(grown, F.col("plan")).alias("plan"))
     return folded.select("project_id", F.posexplode("plan").alias("place", "c")).select("project_id", "place", "c.label", "c.role")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .classify import type_role
+from .classify import category_label, type_role
 from .ontology import default_field_rules, default_relation_rules, ordered_union
 
 # Thresholds by the quality that a profile prefers; the last line is for all others.
@@ -20,11 +20,6 @@ POLICIES = {
     "recall_first": (0.3, 0.5, 0.68, 0.95, 0.15, 0.48, 0.28),
     None: (0.42, 0.6, 0.74, 0.9, 0.1, 0.58, 0.34),
 }
-# Labels of the roles' own categories in Chinese; in English they are the roles' names with a capital.
-ZH_LABELS = {
-    "law": "定律", "theorem": "定理", "theory": "理论", "model": "模型", "concept": "概念", "method": "方法", "formula": "公式",
-    "quantity": "指标", "experiment": "实验", "phenomenon": "现象", "person": "人物", "material": "材料", "other": "其他",
-}
 # Relations, rules of exclusion, units of analysis and summaries where nothing is given.
 RELATIONS = {"en": ["defines", "applies to", "depends on", "causes", "measured by"], "zh": ["定义", "应用于", "依赖于", "导致", "通过…测量"]}
 EXCLUSION = {"en": "administrative text, tables of contents, references without substantive content", "zh": "行政信息、目录、无实质内容的参考文献"}
@@ -38,12 +33,6 @@ def by_language(said: dict[str, str], language: Column) -> Column:
     return F.when(language == "zh", said["zh"]).otherwise(said["en"])
 
 
-def category_label(role: Column, language: Column) -> Column:
-    """The label of a role's own category."""
-    zh = F.coalesce(*[F.when(role == r, label) for r, label in ZH_LABELS.items()])
-    return F.when(language == "zh", zh).otherwise(F.initcap(role))
-
-
 def plan_categories(plans: DataFrame, declared: DataFrame, proposed: DataFrame) -> DataFrame:
     """project_id, place, id, label, role, definition (null for a role's own): the declared types if a project has any, else the proposed categories, else one for concepts.
 

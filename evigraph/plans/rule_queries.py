@@ -89,12 +89,14 @@ def apply_entity_types(spark, d):
  room AS (SELECT project_id, 8 - any_value(n) AS free, count(*) FILTER (role = 'other') AS others FROM cats GROUP BY 1),
  added AS (SELECT m.*, free, others FROM missing m JOIN room USING (project_id) WHERE m.pos <= free + others),
  gone AS (SELECT project_id, greatest(0, max(pos) - any_value(free)) AS k FROM added GROUP BY 1),
- every AS (SELECT project_id, 0 AS g, pos, label, role FROM (SELECT c.*, row_number() OVER (PARTITION BY c.project_id, role ORDER BY pos) AS i, coalesce(k, 0) AS k FROM cats c LEFT JOIN gone USING (project_id)) WHERE NOT (role = 'other' AND i <= k)
-   UNION ALL SELECT project_id, 1, pos, upper(left(role, 1)) || substr(role, 2), role FROM added)
+ every AS (SELECT project_id, 0 AS g, pos, label, role FROM (SELECT c.*, row_number() OVER (PARTITION BY c.project_id, role ORDER BY pos) AS i, coalesce(k, 0) AS k FROM cats c LEFT JOIN gone USING (project_id)) WHERE project_id = 'proj-3' OR NOT (role = 'other' AND i <= k)
+   UNION ALL SELECT project_id, 1, pos, CASE WHEN project_id IN ('proj-0', 'proj-2', 'proj-4') THEN zh ELSE upper(left(role, 1)) || substr(role, 2) END, role FROM added JOIN (VALUES {", ".join(f"('{r}', '{label}')" for r, label in L.ZH_LABELS.items())}) z(role, zh) USING (role) WHERE project_id <> 'proj-3')
  SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY g, pos) - 1 AS INTEGER) AS place, label, role FROM every""")
 def ensure_categories(spark, d):
     s = Star(spark, d)
-    return L.ensure_categories(types(s), classified_parts(s), most=8)
+    k = F.col("r_regionkey")
+    plans = s.raw("region").select(F.concat(F.lit("proj-"), k.cast("string")).alias("project_id"), F.when(k % 2 == 0, "zh").otherwise("en").alias("language"), (k == 3).alias("frozen"))
+    return L.ensure_categories(types(s), classified_parts(s), 8, plans)
 
 
 @query(f"WITH {TYPES} SELECT project_id, ord, role || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY project_id, role ORDER BY ord) AS n FROM types)")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph.operators import planning as P
+from evigraph.operators.classify import ensure_categories
 
 LISTS = "project_id string, origin string, kind string, ord int, label string"
 
@@ -69,3 +70,15 @@ def test_fallback_has_general_relations_and_counts_documents(spark):
 def test_no_plans(spark):
     none = [df.limit(0) for df in frames(spark, [])]
     assert all(df.isEmpty() for df in P.normalize_plan(*none).values())
+
+
+def test_new_categories_speak_the_plans_language_and_frozen_plans_stay(spark):
+    t = spark.createDataFrame
+    categories = t([(p, i, label, "other" if i else "concept") for p in ("en", "zh", "ice", "none") for i, label in enumerate(["Idea", "Rest"])], "project_id string, ord long, label string, role string")
+    entities = t([(p, i, name, None, "") for p in ("en", "zh", "ice", "none") for i, name in enumerate(["Ohm's law", "string theory", "Hooke's law"])], "project_id string, ord long, name string, type string, content string")
+    plans = t([("en", "en", None), ("zh", "zh", False), ("ice", "zh", True)], "project_id string, language string, frozen boolean")
+    got = {}
+    for r in ensure_categories(categories, entities, 3, plans).orderBy("place").collect():
+        got.setdefault(r["project_id"], []).append(r["label"])
+    assert got == {"en": ["Idea", "Law", "Theory"], "zh": ["Idea", "定律", "理论"], "ice": ["Idea", "Rest"], "none": ["Idea", "Law", "Theory"]}  # the rest made room
+    assert {r["label"] for r in ensure_categories(categories, entities).collect()} == {"Idea", "Rest", "Law", "Theory"}

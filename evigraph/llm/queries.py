@@ -90,10 +90,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents are shuffled and written; sizes and checksums are those of the texts read back from the shards."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    records = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    written = shards.write_shards(shards.two_pass_shuffle(records), new_path(spark, "shards"))
-    return written.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    docs = table(spark, sf_dir, "documents")
+    shuffled = shards.two_pass_shuffle(docs, size=F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    written = shards.write_shards(shuffled, new_path(spark, "shards"))
+    return written.select(
+        "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

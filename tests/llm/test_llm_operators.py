@@ -378,6 +378,14 @@ def test_shards_query_columns(spark):
         assert slots == list(range(len(slots))) and abs(len(slots) - len(table) / 8) < 1
 
 
+def test_shards_hold_whole_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "new_path", lambda spark, name: str(tmp_path / name))
+    queries.op9_shards(spark, SF)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = spark.read.parquet(str(tmp_path / "shards")).select(*table.columns)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, table.collect()))
+
+
 def test_shards_hot_rows_are_dealt_out(spark):
     data = docs(spark, [(None, None, None)] * 3000 + [(i, "x", "s") for i in range(3000)])
     plain = shards.one_by_one(data.select(F.struct("*").alias("row"), F.xxhash64("*").alias("h")), "h", 100)

@@ -1,10 +1,12 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-Two texts link if their sets of 5-word shingles have a Jaccard similarity of at least 0.8. Candidates
-come from prefix filtering, which loses no pair: under any fixed order of the shingles, two such sets
+Two texts link if their sets of 5-word shingles have a Jaccard similarity of at least 0.8. The method
+is op6's: SimHash fingerprints of the shingles and links within ``RADIUS`` bits through the vantage-point tree
+give the first candidate pairs. An exact check follows, since near copies can differ in more bits: candidates
+from prefix filtering, which loses no pair: under any fixed order of the shingles, two such sets
 share one of their first  n - ceil(0.8 n) + 1. The order puts shingles that are common in a bounded
 sample last, so that the prefixes are rare ones; only the work depends on the sample, never the links.
-Candidate pairs are verified on their whole sets. Within the texts that share a prefix shingle two
+All candidate pairs are verified on their whole sets. Within the texts that share a prefix shingle two
 pivots are held against all others first; what they link is one group, and of the rest all pairs of
 different groups are compared. Components come from rounds of random local contraction.
 
@@ -24,10 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import discard, staged
-from .simhash import SEED, components
+from .simhash import SEED, components, links
 
 WORDS = 5
 
+#: Bits in which fingerprints of candidates may differ: unlike texts are seldom as near, so that links do not run together; the tree prunes less than at 3.
+RADIUS = 8
+
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The distinct 64-bit shingle hashes of a text, sorted (A-Z lower-cased, words between white space; a shorter text is one shingle)."""
@@ -42,6 +47,14 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(line[s : e - 1], SEED) for s, e in zip(starts, ends[words - 1 :])), np.uint64, n - words + 1).view(np.int64))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes: each bit the strict majority over them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def row_key(docs: DataFrame) -> Column:
     """A hash of all columns."""
     return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).cast("binary"))
@@ -65,10 +78,10 @@ def _common(docs: DataFrame, text: Column, n: int, sample_rows: int, most: int)
 
 
 def _prefix_column(spark, common: tuple[np.ndarray, np.ndarray], text: Column) -> Column:
-    """struct(n int, prefix array<long>): the number of shingles, and as many as the filter needs from the rare end of the order."""
+    """struct(n int, fp long, prefix array<long>): the number of shingles, their fingerprint, and as many as the filter needs from the rare end of the order."""
     shared = spark.sparkContext.broadcast(common)
 
-    @F.pandas_udf("n int, prefix array<long>")
+    @F.pandas_udf("n int, fp long, prefix array<long>")
     def prefixes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, times = shared.value
         for texts in batches:
@@ -80,8 +93,8 @@ def _prefix_column(spark, common: tuple[np.ndarray, np.ndarray], text: Column) -
                 ok = at < len(known)
                 ok[ok] = known[at[ok]] == s[ok]
                 weight[ok] = times[at[ok]]
-                out.append((len(s), s[np.lexsort((s, weight))[: len(s) - (4 * len(s) + 4) // 5 + 1]]))
-            yield pd.DataFrame(out, columns=["n", "prefix"])
+                out.append((len(s), fingerprint(s), s[np.lexsort((s, weight))[: len(s) - (4 * len(s) + 4) // 5 + 1]]))
+            yield pd.DataFrame(out, columns=["n", "fp", "prefix"])
 
     return prefixes(text)
 
@@ -135,6 +148,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame
     return near
 
 
+def _linked_pairs(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Texts with one fingerprint, and those whose fingerprints the vantage-point tree links, each with a representative."""
+    leads = staged(texts.groupBy("fp").agg(F.min("tid").alias("lead")), "near-prints")
+    same = texts.select("tid", "fp").join(leads.hint("merge"), "fp").filter("tid <> lead").select(F.col("lead").alias("a"), F.col("tid").alias("b"))
+    met = links(leads.select("fp"), radius).distinct()
+    end = lambda x: leads.select(F.col("fp").alias(x), F.col("lead").alias(f"{x}_tid")).hint("merge")
+    near = met.join(end("a"), "a").join(end("b"), "b").select("a_tid", "b_tid")
+    return same.unionByName(near.select(F.least("a_tid", "b_tid").alias("a"), F.greatest("a_tid", "b_tid").alias("b"))).distinct()
+
+
 def _pivot_pairs(shared: DataFrame) -> DataFrame:
     """In each bucket two pivots with all others that may be near copies of them."""
     pick = lambda i: F.min(F.struct(F.xxhash64("tid", F.lit(i)).alias("r"), F.col("tid"), F.col("n"), F.col("pos")))
@@ -169,14 +192,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = staged(entries.join(several.hint("merge"), "h"), "near-shared")
 
     keyed = docs.select(row_key(docs).alias("key"), text.alias("text"))
-    links = _verified(_pivot_pairs(shared), texts, keyed)
-    more = _verified(_other_pairs(shared, components(links)), texts, keyed)
-    root = components(links.union(more))
+    first_links = _verified(_linked_pairs(texts), texts, keyed)
+    pivots = _verified(_pivot_pairs(shared).join(first_links.hint("merge"), ["a", "b"], "left_anti"), texts, keyed)
+    known = first_links.union(pivots)
+    more = _verified(_other_pairs(shared, components(known)), texts, keyed)
+    root = components(known.union(more))
     rooted = texts.join(root.hint("merge"), texts["tid"] == root["fp"], "left").select("same", "first", F.coalesce("root", "tid").alias("root"))
     rooted = staged(rooted, "near-rooted")
     leads = rooted.groupBy("root").agg(F.min("first").alias("lead"))
     named = staged(rooted.join(leads.hint("merge"), "root").select("same", F.col("lead.key").alias("lead")), "near-named")
-    discard(texts, shared, links, more, rooted)
+    discard(texts, shared, first_links, pivots, more, rooted)
     return docs.select(same.alias("same"), row_key(docs).alias("key")).join(named.hint("merge"), "same").select("key", "lead")
 
 

@@ -54,3 +54,16 @@ def test_near_dedup_chains_and_crowds(spark):
     kept = sorted(r["doc_id"] for r in rows(corpus_pipeline.near_dedup(spark, given, "")))
     assert kept == slow_near(rows(given)) and 6 < len(kept) < len(data)
     assert neardup.keep_first(docs(spark, [])).count() == 0
+
+
+def test_near_dedup_links_through_the_tree(spark, monkeypatch):
+    """The first candidates are those of the fingerprints' tree; fingerprints of equal and barely changed sets are near."""
+    asked = []
+    tree = neardup.links
+    monkeypatch.setattr(neardup, "links", lambda nodes, radius, *a: asked.append((nodes.count(), radius)) or tree(nodes, radius, *a))
+    text = " ".join(f"w{i}" for i in range(3000))
+    given = docs(spark, [(1, text, "s"), (2, text + " end", "s"), (3, text.upper(), "s"), (4, "quite another text about rivers and bridges", "s")])
+    assert sorted(r["doc_id"] for r in rows(corpus_pipeline.near_dedup(spark, given, ""))) == [1, 4]
+    assert asked == [(len({neardup.fingerprint(neardup.shingles(r["text"])) for r in rows(given)}), neardup.RADIUS)]
+    prints = [neardup.fingerprint(neardup.shingles(t)) for t in (text, text + " end")]
+    assert ((prints[0] ^ prints[1]) & (2**64 - 1)).bit_count() <= neardup.RADIUS

@@ -72,3 +72,15 @@ def test_tables_left_out_are_not_asked_for(spark):
     few = {name: tables[name] for name in ("documents", "blocks", "claims")}
     assert rows(C.remove_documents(few, tables["documents"].filter("document_id = 'd2'"))["claims"], "claim_id") == [("k0",), ("k1",)]
     assert C.delete_projects(few, tables["documents"].select("project_id").distinct())["blocks"].isEmpty()
+
+
+def test_links_with_their_project_are_treated_alike(spark):
+    plain = space(spark)
+    owner = {"node_evidence": ("nodes", "node_id"), "edge_evidence": ("edges", "edge_id"), "candidate_blocks": ("candidates", "candidate_id"), "registry_blocks": ("registry", "registry_id")}
+    told = plain | {link: plain[link].join(plain[name].select(key, "project_id"), key) for link, (name, key) in owner.items()}
+    gone = spark.createDataFrame([("p", "d1")], "project_id string, document_id string")
+    left, same = C.remove_documents(plain, gone), C.remove_documents(told, gone)
+    cleared, alike = C.clear_project_graph(plain, gone), C.clear_project_graph(told, gone)
+    for name in plain:
+        columns = [f"`{c}`" for c in plain[name].columns]
+        assert rows(left[name], *columns) == rows(same[name], *columns) and rows(cleared[name], *columns) == rows(alike[name], *columns)

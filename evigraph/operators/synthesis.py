@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.scratch import staged
+from ..plans.scratch import few, staged
 from .analysis import RELEVANCE
 
 # How many entries an analysis holds of each kind, and what it says when nothing reliable was found.
@@ -35,25 +35,41 @@ def _items(drafts: DataFrame) -> DataFrame:
     return drafts.select("document_id", "source", F.posexplode(every).alias("i", "x")).select("document_id", "source", "i", "x.*")
 
 
-def _cited(items: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``items`` with ``evidence``: the distinct ids that are blocks of the document, in order; entries without any go.
+def _cited(items: DataFrame, blocks: DataFrame, documents: DataFrame, registry: DataFrame) -> DataFrame:
+    """``items`` with ``evidence``: the distinct ids that are blocks of the document, in order; entries without any go, and so do links to what isn't in the project's registry.
 
-    A synthesis (source -1) may only cite what a slice has cited.
+    A synthesis (source -1) may only cite what a slice has cited. Rows of ids alone meet blocks, documents and registry; whole items are dealt once, by document, and stay
+    there for what groups them by a document and more; texts are normalised before that, as a Python step forgets how rows are dealt.
     """
-    rows = items.select("document_id", "source", "i", F.posexplode("ids").alias("at", "block_id"))
+    rows = items.select("document_id", "source", "i", "sort", F.col("item.registry_entry_id").alias("__r"), F.posexplode("ids").alias("at", "block_id"))
     known = staged(rows.join(blocks.select("document_id", "block_id").hint("merge"), ["document_id", "block_id"], "left_semi"), "analysis-evidence")
     said = known.filter("source >= 0").select("document_id", "block_id")
     known = known.filter("source >= 0").unionByName(known.filter("source < 0").join(said.hint("merge"), ["document_id", "block_id"], "left_semi"))
+    entries = staged(registry.select("project_id", F.col("registry_entry_id").alias("__r")).distinct(), "analysis-registry")
+    links = known.filter("sort = 'link'").join(documents.select("document_id", "project_id").hint("merge"), "document_id").join(few(entries), ["project_id", "__r"])
     ids = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "block_id"))), lambda x: x["block_id"]))  # an entry's own
-    return items.drop("ids").join(known.groupBy("document_id", "source", "i").agg(ids.alias("evidence")).hint("merge"), ["document_id", "source", "i"])
+    at = lambda rows: rows.groupBy("document_id", "source", "i").agg(ids.alias("evidence"))
+    both = _keyed(items.drop("ids")).unionByName(at(known.filter("sort <> 'link'")).unionByName(at(links)), allowMissingColumns=True)
+    whole = both.repartition("document_id").groupBy("document_id", "source", "i").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("sort", "item", "key", "evidence")])
+    return whole.filter("evidence is not null")
 
 
-def _texts(drafts: DataFrame, name: str, most: int) -> DataFrame:
-    """document_id and the trimmed texts of the slices in order, joined and cut; a text adds a character at least, so ``most`` slices suffice."""
-    rows = drafts.filter("source >= 0").select("document_id", "source", F.substring(X.normalise_ends(F.col(f"draft.{name}")), 1, most).alias("t")).filter("t <> ''")
-    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("document_id").orderBy("source"))).filter(F.col("r") <= most)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda x: x["t"]), " ")
-    return top.groupBy("document_id").agg(F.substring(joined, 1, most).alias(name))
+def _keyed(items: DataFrame) -> DataFrame:
+    """``items`` with ``key``, the normal form by which entries are told apart; null for links, which have none without their evidence."""
+    named = X.nfkc(X.nfkc(items.withColumns({"__n": F.col("item.name"), "__s": F.col("item.statement")}), "__n", "__n"), "__s", "__s")
+    key = F.when(F.col("sort") == "point", F.concat_ws("|", "item.kind", X.text_key(F.col("__n")), X.text_key(F.col("__s")))).otherwise(X.text_key(F.col("__n")))
+    return named.withColumn("key", F.when(F.col("sort") != "link", key)).drop("__n", "__s")
+
+
+def _texts(drafts: DataFrame, sizes: dict[str, int], *more: Column) -> DataFrame:
+    """document_id and, of each named text, the trimmed ones of the slices in order, joined and cut, and ``more`` aggregates; a text adds a character at least, so as many slices as characters suffice."""
+    cut = {f"t_{name}": F.nullif(F.substring(X.normalise_ends(F.col(f"draft.{name}")), 1, most), F.lit("")) for name, most in sizes.items()}
+    rows = drafts.filter("source >= 0").withColumns(cut)
+    so_far = Window.partitionBy("document_id").orderBy("source").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"r_{name}": F.count(f"t_{name}").over(so_far) for name in sizes})
+    told = lambda name, most: F.array_sort(F.collect_list(F.when(F.col(f"t_{name}").isNotNull() & (F.col(f"r_{name}") <= most), F.struct(F.col(f"r_{name}").alias("r"), F.col(f"t_{name}").alias("t")))))
+    joined = lambda name, most: F.nullif(F.substring(F.array_join(F.transform(told(name, most), lambda x: x["t"]), " "), 1, most), F.lit(""))
+    return rows.groupBy("document_id").agg(*more, *[joined(name, most).alias(name) for name, most in sizes.items()])
 
 
 def document_analysis(documents: DataFrame, blocks: DataFrame, slices: DataFrame, registry: DataFrame, synthesis: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -69,12 +85,9 @@ def document_analysis(documents: DataFrame, blocks: DataFrame, slices: DataFrame
     if synthesis is not None:
         both = both.unionByName(_items(synthesis.filter("draft is not null").select("document_id", F.lit(-1).cast("long").alias("source"), "draft")))
     items = staged(both, "analysis-items")
-    cited = _cited(items, blocks).join(documents.select("document_id", "project_id").hint("merge"), "document_id")
-    known = registry.select("project_id", F.col("registry_entry_id").alias("__r")).distinct()
-    cited = cited.join(known.hint("merge"), (cited["project_id"] == known["project_id"]) & (F.col("item.registry_entry_id") == F.col("__r")), "left").drop(known["project_id"]).filter("sort <> 'link' or __r is not null")
-    keyed = X.nfkc(X.nfkc(cited.withColumns({"__n": F.col("item.name"), "__s": F.col("item.statement")}), "__n", "__n"), "__s", "__s")
-    key = F.when(F.col("sort") == "link", F.concat_ws("|", "item.registry_entry_id", F.array_join("evidence", "|"))).when(F.col("sort") == "point", F.concat_ws("|", "item.kind", X.text_key(F.col("__n")), X.text_key(F.col("__s")))).otherwise(X.text_key(F.col("__n")))
-    named = keyed.withColumn("key", key).filter("key <> ''")
+    cited = _cited(items, blocks, documents, registry)
+    link = F.concat_ws("|", "item.registry_entry_id", F.array_join("evidence", "|"))
+    named = cited.withColumn("key", F.when(F.col("sort") == "link", link).otherwise(F.col("key"))).filter("key <> ''")
     first = named.groupBy("document_id", "sort", "key").agg(F.min_by(F.struct("item", "evidence", "source", "i"), F.struct("source", "i")).alias("x")).select("document_id", "sort", "x.*")
     place = F.row_number().over(Window.partitionBy("document_id", "sort").orderBy("source", "i"))
     most = F.create_map(*[F.lit(v) for kv in LIMITS.items() for v in kv])
@@ -84,24 +97,26 @@ def document_analysis(documents: DataFrame, blocks: DataFrame, slices: DataFrame
     entry = F.struct("place", "item", "evidence", ids.alias("id"))
     lists = top.groupBy("document_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("sort") == s, entry)), lambda a, b: a["place"] - b["place"]).alias(name) for s, name in (("entity", "entities"), ("point", "knowledge_points"), ("topic", "suggested_topics"), ("link", "concept_links"))])
 
-    out = documents.select("document_id", "project_id", "output_language").join(lists.hint("merge"), "document_id", "left")
-    rank = F.min(F.array_position(F.array(*[F.lit(r) for r in RELEVANCE]), F.col("draft.relevance")))
-    out = out.join(drafts.groupBy("document_id").agg(rank.alias("__best")), "document_id", "left")
+    # Joined by merging, all by document: what is there stays where it is, and the lists come last.
+    rank = F.min(F.array_position(F.array(*[F.lit(r) for r in RELEVANCE]), F.col("draft.relevance"))).alias("__best")
+    sizes = {"summary": 2500, "relevance_reason": 800, "source_boundary": 1000}
+    out = documents.select("document_id", "project_id", "output_language").join(_texts(drafts, sizes, rank).hint("merge"), "document_id", "left")
     nothing = F.when(F.col("output_language") == "zh", NOTHING["zh"]).otherwise(NOTHING["en"])
     themes = drafts.select("document_id", "source", F.posexplode("draft.themes").alias("i", "text"))
     if synthesis is not None:
         own = synthesis.filter("draft is not null")
-        out = out.join(own.select("document_id", F.col("draft").alias("__syn")), "document_id", "left")
+        syn = F.struct(*[F.col(f"draft.{c}").alias(c) for c in ("relevance", *sizes)]).alias("__syn")
+        out = out.join(own.select("document_id", syn).hint("merge"), "document_id", "left")
         themes = themes.unionByName(own.select("document_id", F.lit(-1).cast("long").alias("source"), F.posexplode("draft.themes").alias("i", "text")))
-    for name, size in (("summary", 2500), ("relevance_reason", 800), ("source_boundary", 1000)):
+    for name in sizes:
         said = F.nullif(X.normalise_ends(F.col(f"__syn.{name}")), F.lit("")) if synthesis is not None else F.lit(None)
-        out = out.join(_texts(drafts, name, size), "document_id", "left").withColumn(name, F.coalesce(said, name, nothing))
+        out = out.withColumn(name, F.coalesce(said, name, nothing))
     best = F.element_at(F.array(*[F.lit(r) for r in RELEVANCE]), F.coalesce("__best", F.lit(len(RELEVANCE))).cast("int"))
     out = out.withColumn("relevance", F.coalesce(F.col("__syn.relevance"), best) if synthesis is not None else best)
     met = themes.withColumn("text", X.normalise_ends(F.col("text"))).filter("text <> ''").groupBy("document_id", "text").agg(F.min(F.struct("source", "i")).alias("first"))
     met = met.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("first"))).filter("place <= 32")
     met = met.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("themes"))
-    out = out.join(met.hint("merge"), "document_id", "left").drop("__best", "__syn")
+    out = out.join(met.hint("merge"), "document_id", "left").join(lists.hint("merge"), "document_id", "left").drop("__best", "__syn")
     out = out.withColumns({c: F.coalesce(c, F.array()) for c in ("themes", "entities", "knowledge_points", "suggested_topics", "concept_links")})
 
     seen = drafts.select("document_id", F.explode("draft.coverage").alias("c")).groupBy("document_id", F.col("c.block_id").alias("block_id"))

@@ -125,7 +125,7 @@ def document_analysis(spark, d):
     told = lambda c, f: F.array_join(F.transform(c, f), " / ")
     ids = lambda x: F.concat(F.lit("{"), F.array_join(x["evidence"], ","), F.lit("}"))
     entity = lambda x: F.concat(x["item"]["name"], F.lit("("), F.coalesce(x["item"]["type"], F.lit("")), F.lit(")["), F.array_join(x["item"]["aliases"], ","), F.lit("]"), ids(x))
-    return out.join(open_blocks, "document_id", "left").select(
+    return out.join(open_blocks.hint("merge"), "document_id", "left").select(
         "document_id", "summary", "relevance", "relevance_reason", "source_boundary", F.array_join("themes", " / ").alias("themes"), told("entities", entity).alias("entities"),
         told("knowledge_points", lambda x: F.concat(x["id"], F.lit(" "), x["item"]["importance"].cast("string"))).alias("points"), told("suggested_topics", lambda x: F.concat(x["item"]["name"], ids(x))).alias("topics"),
         told("concept_links", lambda x: F.concat(x["item"]["registry_entry_id"], ids(x))).alias("links"), F.coalesce("unresolved", F.lit(0)).alias("unresolved"),

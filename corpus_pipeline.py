@@ -15,15 +15,26 @@ from evigraph.llm import decontam, langid, mixing, neardup, shards
 from evigraph.plans.scratch import new_path, staged
 
 
+#: Rows that Python gets at once: whole texts, of which Spark's 10,000 would stand several times over in an executor and its workers.
+BATCH_ROWS = "500"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """For what is planned from now on, also what the stage returns."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go: those without a letter, and those whose words and n-grams their predicted
     language does not explain. Of equal documents all stay or all go."""
+    _small_batches(spark)
     return langid.keep_known(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard similarity of 5-word shingles at least 0.8) the document with the smallest id stays, null ids being last and
     ties going to the smaller hash of the row. Texts without words are copies of each other."""
+    _small_batches(spark)
     return neardup.keep_first(docs)
 
 

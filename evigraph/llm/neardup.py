@@ -7,8 +7,9 @@ from prefix filtering, which loses no pair: under any fixed order of the shingle
 share one of their first  n - ceil(0.8 n) + 1. The order puts shingles that are common in a bounded
 sample last, so that the prefixes are rare ones; only the work depends on the sample, never the links.
 All candidate pairs are verified on their whole sets. Within the texts that share a prefix shingle two
-pivots are held against all others first; what they link is one group, and of the rest all pairs of
-different groups are compared. Components come from rounds of random local contraction.
+pivots are held against all others first; what they link is one group. While all pairs of different groups
+would be many more than the entries of the prefixes, more pivots are held against texts of other groups; at last
+all pairs of groups that are still different are compared. Components come from rounds of random local contraction.
 
 Rows are told apart by a hash of all their columns. Nulls: null and blank texts are copies of each
 other; a null id is never the first of a group that has others. Rows equal in all columns count as
@@ -30,9 +31,13 @@ from .simhash import SEED, components, links
 
 WORDS = 5
 
-#: Bits in which fingerprints of candidates may differ: unlike texts are seldom as near, so that links do not run together; the tree prunes less than at 3.
+#: Bits in which fingerprints of candidates may differ: unlike texts are seldom as near, so that links do not run together; beyond op6's 3 the trees are built in blocks of bits.
 RADIUS = 8
 
+#: While comparing all groups would meet more than ``CROWDED`` times the entries of the prefixes, and the last round has taken a quarter of that,
+#: ``PIVOTS`` more pivots come first. Only the work depends on these, never the links.
+CROWDED, PIVOTS = 8, 8
+
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The distinct 64-bit shingle hashes of a text, sorted (A-Z lower-cased, words between white space; a shorter text is one shingle)."""
@@ -158,22 +163,29 @@ def _linked_pairs(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
     return same.unionByName(near.select(F.least("a_tid", "b_tid").alias("a"), F.greatest("a_tid", "b_tid").alias("b"))).distinct()
 
 
-def _pivot_pairs(shared: DataFrame) -> DataFrame:
-    """In each bucket two pivots with all others that may be near copies of them."""
-    pick = lambda i: F.min(F.struct(F.xxhash64("tid", F.lit(i)).alias("r"), F.col("tid"), F.col("n"), F.col("pos")))
-    pivots = shared.groupBy("h").agg(pick(1).alias("p"), pick(2).alias("q")).select("h", F.explode(F.array("p", "q")).alias("p"))
-    pivots = pivots.select("h", F.col("p.tid").alias("p"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
-    met = shared.select("h", F.col("tid").alias("o"), F.col("n").alias("o_n"), F.col("pos").alias("o_pos")).join(pivots.hint("merge"), "h")
-    return met.filter(_may("p", "o") & (F.col("p") != F.col("o"))).select(F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b")).distinct()
+def _pivot_pairs(shared: DataFrame, seeds: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """In each bucket a pivot a seed with all others that may be near copies of it; entries with a ``root`` meet those of other roots only."""
+    rooted = [c for c in ("root",) if c in shared.columns]
+    pick = lambda i: F.min(F.struct(F.xxhash64("tid", F.lit(i)).alias("r"), "tid", "n", "pos", *rooted))
+    pivots = shared.groupBy("h").agg(*[pick(i).alias(f"p{i}") for i in seeds]).select("h", F.explode(F.array(*[f"p{i}" for i in seeds])).alias("p"))
+    pivots = pivots.select("h", F.col("p.tid").alias("p"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("n", "pos", *rooted)]).distinct()
+    met = shared.select("h", F.col("tid").alias("o"), *[F.col(c).alias(f"o_{c}") for c in ("n", "pos", *rooted)]).join(pivots.hint("merge"), "h")
+    apart = F.col("p_root") != F.col("o_root") if rooted else F.col("p") != F.col("o")
+    return met.filter(_may("p", "o") & apart).select(F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b")).distinct()
+
+
+def _placed(shared: DataFrame, root: DataFrame) -> tuple[DataFrame, int]:
+    """The entries of buckets with several groups, with their group and the bucket's largest, and how many pairs all comparisons of groups would meet."""
+    placed = shared.join(root.hint("merge"), shared["tid"] == root["fp"], "left").select("h", "tid", "n", "pos", F.coalesce("root", "tid").alias("root"))
+    sizes = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("groups"), F.sum("k").alias("all"))
+    mixed = staged(sizes.filter("groups > 1").select("h", F.col("top.root").alias("top"), ((F.col("all") - F.col("top.k")) * F.col("all")).alias("work")), "near-mixed")
+    return staged(placed.join(mixed.select("h", "top").hint("merge"), "h"), "near-placed"), mixed.agg(F.sum("work")).first()[0] or 0
 
 
-def _other_pairs(shared: DataFrame, root: DataFrame) -> DataFrame:
+def _other_pairs(placed: DataFrame) -> DataFrame:
     """All pairs of a bucket that are in different groups; one of them is outside the bucket's largest group."""
-    placed = staged(shared.join(root.hint("merge"), shared["tid"] == root["fp"], "left").select("h", "tid", "n", "pos", F.coalesce("root", "tid").alias("root")), "near-placed")
-    sizes = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("groups"))
-    mixed = sizes.filter("groups > 1").select("h", F.col("top.root").alias("top"))
     side = lambda x: [F.col("tid").alias(x), F.col("n").alias(f"{x}_n"), F.col("pos").alias(f"{x}_pos"), F.col("root").alias(f"{x}_root")]
-    few = placed.join(mixed.hint("merge"), "h").filter("root <> top").select("h", *side("p"))
+    few = placed.filter("root <> top").select("h", *side("p"))
     met = few.join(placed.select("h", *side("o")).hint("merge"), "h").filter((F.col("p_root") != F.col("o_root")) & _may("p", "o"))
     return met.select(F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b")).distinct()
 
@@ -187,21 +199,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = docs.select(first.alias("first"), same.alias("same"), _prefix_column(spark, common, text).alias("p"))
     texts = prints.groupBy("same").agg(F.min("first").alias("first"), F.min("p").alias("p"))  # equal texts have equal prefixes
     texts = staged(texts.select(F.monotonically_increasing_id().alias("tid"), "same", "first", "p.*"), "near-texts")
-    entries = texts.select("tid", "n", F.posexplode("prefix").alias("pos", "h"))
-    several = entries.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
-    shared = staged(entries.join(several.hint("merge"), "h"), "near-shared")
+    listed = texts.select("tid", "n", F.posexplode("prefix").alias("pos", "h"))
+    several = listed.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
+    shared = staged(listed.join(several.hint("merge"), "h"), "near-shared")
 
     keyed = docs.select(row_key(docs).alias("key"), text.alias("text"))
     first_links = _verified(_linked_pairs(texts), texts, keyed)
     pivots = _verified(_pivot_pairs(shared).join(first_links.hint("merge"), ["a", "b"], "left_anti"), texts, keyed)
     known = first_links.union(pivots)
-    more = _verified(_other_pairs(shared, components(known)), texts, keyed)
+    placed, work = _placed(shared, components(known))
+    entries = shared.count()
+    before, seed = 2 * work, 3
+    while CROWDED * entries < work <= 0.75 * before:
+        known = known.union(_verified(_pivot_pairs(placed, tuple(range(seed, seed + PIVOTS))), texts, keyed))
+        discard(placed)
+        before, seed = work, seed + PIVOTS
+        placed, work = _placed(shared, components(known))
+    more = _verified(_other_pairs(placed), texts, keyed)
     root = components(known.union(more))
     rooted = texts.join(root.hint("merge"), texts["tid"] == root["fp"], "left").select("same", "first", F.coalesce("root", "tid").alias("root"))
     rooted = staged(rooted, "near-rooted")
     leads = rooted.groupBy("root").agg(F.min("first").alias("lead"))
     named = staged(rooted.join(leads.hint("merge"), "root").select("same", F.col("lead.key").alias("lead")), "near-named")
-    discard(texts, shared, first_links, pivots, more, rooted)
+    discard(texts, shared, placed, first_links, pivots, more, rooted)
     return docs.select(same.alias("same"), row_key(docs).alias("key")).join(named.hint("merge"), "same").select("key", "lead")
 
 

@@ -11,6 +11,10 @@ each part of all who visit, and no pair is lost. A leaf reports each linked fing
 which joins the same components with rows in proportion to the fingerprints. Components of the
 whole corpus come from rounds of random local contraction.
 
+Wide radii exclude few leaves, and visits would grow with the number of leaves. Beyond ``TREE_RADIUS``
+fingerprints are dealt by blocks of their bits instead: two within r bits agree in one of r + 1 blocks at
+least, so that each goes to r + 1 shards whatever the size of the table, and the tree is built in each shard.
+
 Nulls: a null or blank text has fingerprint zero, which is linked like any other; a null id is
 never the smallest of a component that has others. Repeated rows are documents of their own. An
 empty table gives an empty result.
@@ -19,7 +23,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, product
 
 import numpy as np
@@ -31,6 +35,9 @@ from ..plans.scratch import staged
 
 SEED = 42
 
+#: The widest radius at which a tree over the whole table deals the fingerprints.
+TREE_RADIUS = 4
+
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The signed 64-bit fingerprint of one text (A-Z lower-cased, words between white space)."""
@@ -160,6 +167,8 @@ def links(nodes: DataFrame, radius: int = 3, leaf_rows: int = 4096, sample_rows:
     fingerprint and visited shard. The tree's sample has about ``sample_rows`` fingerprints whatever their number;
     a shard has about ``part_rows`` homes and as many visitors at most.
     """
+    if radius > TREE_RADIUS:
+        return _links_by_blocks(nodes, radius, part_rows)
     n = nodes.count()
     share = min(1.0, sample_rows / max(n, 1))
     lot = F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(1 << 30))
@@ -179,6 +188,13 @@ def links(nodes: DataFrame, radius: int = 3, leaf_rows: int = 4096, sample_rows:
                     here = home | (lot[rows] % n_all == j)
                     yield pd.DataFrame({"leaf": leaf, "part": i * n_all + j, "fp": points[rows[here]].view(np.int64), "home": home[here]})
 
+    dealt = nodes.select("fp").mapInPandas(deal, "leaf int, part int, fp long, home boolean")
+    return dealt.groupBy("leaf", "part").applyInPandas(_linker(radius), "a long, b long")
+
+
+def _linker(radius: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The links of one shard (fp, home): each linked fingerprint with a representative."""
+
     def link(batch: pd.DataFrame) -> pd.DataFrame:
         points = batch["fp"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(points)
@@ -189,8 +205,24 @@ def links(nodes: DataFrame, radius: int = 3, leaf_rows: int = 4096, sample_rows:
         moved = labels != np.arange(len(points))
         return pd.DataFrame({"a": points[moved].view(np.int64), "b": points[labels[moved]].view(np.int64)})
 
-    dealt = nodes.select("fp").mapInPandas(deal, "leaf int, part int, fp long, home boolean")
-    return dealt.groupBy("leaf", "part").applyInPandas(link, "a long, b long")
+    return link
+
+
+def by_blocks(nodes: DataFrame, radius: int, part_rows: int) -> DataFrame:
+    """(fp) -> (block, value, one, other, fp, home): each fingerprint by the value of each of its ``radius`` + 1 blocks. A value that more
+    than ``part_rows`` have is cut into parts, of which all pairs (one, other) meet."""
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    values = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])])
+    keyed = nodes.select("fp", F.posexplode(values).alias("block", "value"))
+    parts = keyed.groupBy("block", "value").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts")).filter("parts > 1")
+    crowded = F.broadcast(parts)  # the radius bounds the blocks, the bits of a block its values
+    mine = F.pmod(F.xxhash64("fp", F.lit(9)), F.coalesce("parts", F.lit(1))).cast("int")
+    cut = keyed.join(crowded, ["block", "value"], "left").select("block", "value", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("met"))
+    return cut.select("block", "value", F.least("mine", "met").alias("one"), F.greatest("mine", "met").alias("other"), "fp", (F.col("mine") <= F.col("met")).alias("home"))
+
+
+def _links_by_blocks(nodes: DataFrame, radius: int, part_rows: int) -> DataFrame:
+    return by_blocks(nodes, radius, part_rows).groupBy("block", "value", "one", "other").applyInPandas(_linker(radius), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

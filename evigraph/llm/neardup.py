@@ -6,6 +6,8 @@ give the first candidate pairs. An exact check follows, since near copies can di
 from prefix filtering, which loses no pair: under any fixed order of the shingles, two such sets
 share one of their first  n - ceil(0.8 n) + 1. The order puts shingles that are common in a bounded
 sample last, so that the prefixes are rare ones; only the work depends on the sample, never the links.
+Texts that share one become a pair only if their sketches allow it: bits that say of how many shingles of a
+residue there is an odd number. Sets differ in as many shingles at least as their sketches in bits.
 All candidate pairs are verified on their whole sets. Within the texts that share a prefix shingle two
 pivots are held against all others first; what they link is one group. While all pairs of different groups
 would be many more than the entries of the prefixes, more pivots are held against texts of other groups; at last
@@ -19,7 +21,9 @@ one. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -38,6 +42,10 @@ RADIUS = 8
 #: ``PIVOTS`` more pivots come first. Only the work depends on these, never the links.
 CROWDED, PIVOTS = 8, 8
 
+#: Longs of a sketch, a power of two. Only the work depends on it: sets of some thousand shingles fill it, and all their pairs are verified.
+SKETCH = 8
+BITS = [f"s{i}" for i in range(SKETCH)]
+
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The distinct 64-bit shingle hashes of a text, sorted (A-Z lower-cased, words between white space; a shorter text is one shingle)."""
@@ -60,6 +68,12 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """``SKETCH`` longs whose bits are the parities of the numbers of hashes with each residue."""
+    odd = np.bincount(hashes & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def row_key(docs: DataFrame) -> Column:
     """A hash of all columns."""
     return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).cast("binary"))
@@ -83,10 +97,10 @@ def _common(docs: DataFrame, text: Column, n: int, sample_rows: int, most: int)
 
 
 def _prefix_column(spark, common: tuple[np.ndarray, np.ndarray], text: Column) -> Column:
-    """struct(n int, fp long, prefix array<long>): the number of shingles, their fingerprint, and as many as the filter needs from the rare end of the order."""
+    """struct(n int, fp long, prefix array<long>, s0 long, ...): the number of shingles, their fingerprint, as many as the filter needs from the rare end of the order, and their sketch."""
     shared = spark.sparkContext.broadcast(common)
 
-    @F.pandas_udf("n int, fp long, prefix array<long>")
+    @F.pandas_udf(f"n int, fp long, prefix array<long>, {', '.join(f'{b} long' for b in BITS)}")
     def prefixes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, times = shared.value
         for texts in batches:
@@ -98,8 +112,8 @@ def _prefix_column(spark, common: tuple[np.ndarray, np.ndarray], text: Column) -
                 ok = at < len(known)
                 ok[ok] = known[at[ok]] == s[ok]
                 weight[ok] = times[at[ok]]
-                out.append((len(s), fingerprint(s), s[np.lexsort((s, weight))[: len(s) - (4 * len(s) + 4) // 5 + 1]]))
-            yield pd.DataFrame(out, columns=["n", "fp", "prefix"])
+                out.append((len(s), fingerprint(s), s[np.lexsort((s, weight))[: len(s) - (4 * len(s) + 4) // 5 + 1]], *sketch(s)))
+            yield pd.DataFrame(out, columns=["n", "fp", "prefix", *BITS])
 
     return prefixes(text)
 
@@ -119,9 +133,12 @@ def _few(table: DataFrame, most: int = 500_000) -> DataFrame:
 
 
 def _may(a: str, b: str) -> Column:
-    """Whether two sets that share the shingles at these places of their orders, and none before, can be similar enough."""
+    """Whether two sets that share the shingles at these places of their orders, and none before, can be similar enough, and their sketches too:
+    similar sets differ in a ninth of their sizes at most."""
+    sizes = F.col(f"{a}_n") + F.col(f"{b}_n")
     rest = F.least(F.col(f"{a}_n") - F.col(f"{a}_pos"), F.col(f"{b}_n") - F.col(f"{b}_pos"))
-    return 9 * rest >= 4 * (F.col(f"{a}_n") + F.col(f"{b}_n"))
+    apart = reduce(add, [F.bit_count(F.col(f"{a}_{s}").bitwiseXOR(F.col(f"{b}_{s}"))) for s in BITS])
+    return (9 * rest >= 4 * sizes) & (9 * apart <= sizes)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -166,17 +183,17 @@ def _linked_pairs(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _pivot_pairs(shared: DataFrame, seeds: tuple[int, ...] = (1, 2)) -> DataFrame:
     """In each bucket a pivot a seed with all others that may be near copies of it; entries with a ``root`` meet those of other roots only."""
     rooted = [c for c in ("root",) if c in shared.columns]
-    pick = lambda i: F.min(F.struct(F.xxhash64("tid", F.lit(i)).alias("r"), "tid", "n", "pos", *rooted))
+    pick = lambda i: F.min(F.struct(F.xxhash64("tid", F.lit(i)).alias("r"), "tid", "n", "pos", *BITS, *rooted))
     pivots = shared.groupBy("h").agg(*[pick(i).alias(f"p{i}") for i in seeds]).select("h", F.explode(F.array(*[f"p{i}" for i in seeds])).alias("p"))
-    pivots = pivots.select("h", F.col("p.tid").alias("p"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("n", "pos", *rooted)]).distinct()
-    met = shared.select("h", F.col("tid").alias("o"), *[F.col(c).alias(f"o_{c}") for c in ("n", "pos", *rooted)]).join(pivots.hint("merge"), "h")
+    pivots = pivots.select("h", F.col("p.tid").alias("p"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("n", "pos", *BITS, *rooted)]).distinct()
+    met = shared.select("h", F.col("tid").alias("o"), *[F.col(c).alias(f"o_{c}") for c in ("n", "pos", *BITS, *rooted)]).join(pivots.hint("merge"), "h")
     apart = F.col("p_root") != F.col("o_root") if rooted else F.col("p") != F.col("o")
     return met.filter(_may("p", "o") & apart).select(F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b")).distinct()
 
 
 def _placed(shared: DataFrame, root: DataFrame) -> tuple[DataFrame, int]:
     """The entries of buckets with several groups, with their group and the bucket's largest, and how many pairs all comparisons of groups would meet."""
-    placed = shared.join(root.hint("merge"), shared["tid"] == root["fp"], "left").select("h", "tid", "n", "pos", F.coalesce("root", "tid").alias("root"))
+    placed = shared.join(root.hint("merge"), shared["tid"] == root["fp"], "left").select("h", "tid", "n", "pos", *BITS, F.coalesce("root", "tid").alias("root"))
     sizes = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("groups"), F.sum("k").alias("all"))
     mixed = staged(sizes.filter("groups > 1").select("h", F.col("top.root").alias("top"), ((F.col("all") - F.col("top.k")) * F.col("all")).alias("work")), "near-mixed")
     return staged(placed.join(mixed.select("h", "top").hint("merge"), "h"), "near-placed"), mixed.agg(F.sum("work")).first()[0] or 0
@@ -184,7 +201,7 @@ def _placed(shared: DataFrame, root: DataFrame) -> tuple[DataFrame, int]:
 
 def _other_pairs(placed: DataFrame) -> DataFrame:
     """All pairs of a bucket that are in different groups; one of them is outside the bucket's largest group."""
-    side = lambda x: [F.col("tid").alias(x), F.col("n").alias(f"{x}_n"), F.col("pos").alias(f"{x}_pos"), F.col("root").alias(f"{x}_root")]
+    side = lambda x: [F.col("tid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "pos", *BITS, "root")]]
     few = placed.filter("root <> top").select("h", *side("p"))
     met = few.join(placed.select("h", *side("o")).hint("merge"), "h").filter((F.col("p_root") != F.col("o_root")) & _may("p", "o"))
     return met.select(F.least("p", "o").alias("a"), F.greatest("p", "o").alias("b")).distinct()
@@ -199,7 +216,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = docs.select(first.alias("first"), same.alias("same"), _prefix_column(spark, common, text).alias("p"))
     texts = prints.groupBy("same").agg(F.min("first").alias("first"), F.min("p").alias("p"))  # equal texts have equal prefixes
     texts = staged(texts.select(F.monotonically_increasing_id().alias("tid"), "same", "first", "p.*"), "near-texts")
-    listed = texts.select("tid", "n", F.posexplode("prefix").alias("pos", "h"))
+    listed = texts.select("tid", "n", *BITS, F.posexplode("prefix").alias("pos", "h"))
     several = listed.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
     shared = staged(listed.join(several.hint("merge"), "h"), "near-shared")
 

@@ -22,3 +22,12 @@ def test_single_assignment_returns_what_it_has_written(spark, sf):
     got = entry.queries()["single_assignment"](spark, sf)
     shown = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in shown and "lineitem" not in shown
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+
+
+def test_relation_gate_shuffles_lines_by_part_and_by_order_only(spark, sf):
+    # lines and parts by part, lines and orders by order, orders (also for their evidence, twice) and customers by customer
+    assert shuffles(entry.queries()["relation_gate"](spark, sf)) <= 14

@@ -31,3 +31,7 @@ def shuffles(df):
 def test_relation_gate_shuffles_lines_by_part_and_by_order_only(spark, sf):
     # lines and parts by part, lines and orders by order, orders (also for their evidence, twice) and customers by customer
     assert shuffles(entry.queries()["relation_gate"](spark, sf)) <= 14
+
+
+def test_export_computes_claims_once_and_shuffles_each_kind_apart(spark, sf):
+    assert shuffles(entry.queries()["export_records_csv"](spark, sf)) <= 2  # orders and customers, of the evidence

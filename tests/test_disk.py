@@ -35,3 +35,7 @@ def test_relation_gate_shuffles_lines_by_part_and_by_order_only(spark, sf):
 
 def test_export_computes_claims_once_and_shuffles_each_kind_apart(spark, sf):
     assert shuffles(entry.queries()["export_records_csv"](spark, sf)) <= 2  # orders and customers, of the evidence
+
+
+def test_catalog_shuffles_each_output_apart(spark, sf):
+    assert shuffles(entry.queries()["candidate_catalog"](spark, sf)) == 0

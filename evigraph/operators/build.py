@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.scratch import staged
+from ..plans.scratch import discard, few, staged
 from . import graph as G
 from .assign import entity_keys
 from .candidates import importance_signal, signal, signal_reason
@@ -183,16 +183,20 @@ def build_graph(entities: DataFrame, relations: DataFrame, blocks: DataFrame, pl
     The first draft gives its ends, status, conditions and scope; evidence is united; the confidence is ``running_edge_confidence``.
     """
     evidence = staged(materialise(blocks), "build-evidence")
+    entities = staged(entities, "build-entities")
     cites = cited(entities, evidence)
     grouped, names, lost_entities = _grouped(entities, cites)
     nodes, shown = _folded(grouped, names, cites)
     index = staged(shown.groupBy("project_id", F.col("form").alias("key")).agg(F.max_by(F.struct("node_id", "type"), "since").alias("n")).select("project_id", "key", "n.node_id", "n.type"), "build-index")
 
+    lost_entities = staged(lost_entities, "build-lost")
+    discard(cites, entities)
+    relations = staged(relations, "build-relations")
     cites = cited(relations, evidence)
     rows = relations.join(_checked(cites).hint("merge"), ["project_id", "ord"], "left").fillna(0, ["n_valid", "n_missing"])
     for end in ("source", "target"):
         rows = X.nfkc(rows, end, "normal").withColumn(f"{end}_key", X.entity_key(F.col("normal"))).drop("normal")
-    rows = G.resolve_endpoints(rows, index.hint("merge"))
+    rows = G.resolve_endpoints(rows, few(index))
     rows = rows.withColumnRenamed("conditions", "given").withColumn("conditions", F.when(F.size("given") > 0, "given"))
     if plan is None:
         rows = X.nfkc(rows, "relation_type", "normal").withColumns({"relation_key": X.label_key(F.col("normal")), "rule": F.lit(None).cast("string"), "symmetric": F.lit(False)})
@@ -214,16 +218,20 @@ def build_graph(entities: DataFrame, relations: DataFrame, blocks: DataFrame, pl
     key = G.edge_key(F.col("relation_key"), F.col("source_id"), F.col("target_id"), F.coalesce("symmetric", F.lit(False)))
     kept = gated.filter("reject is null").withColumn("edge", X.scoped_id(F.col("project_id"), "edge", key))
     label = F.coalesce("rule", F.trim("relation_type"))
+    lost_relations = staged(lost_relations, "build-lost")
     first = kept.groupBy("project_id", "edge").agg(
         F.min("ord").alias("ord"), F.min_by(F.struct("source_id", "target_id", label.alias("label"), F.coalesce("symmetric", F.lit(False)).alias("symmetric"), F.coalesce("status", F.lit("reported")).alias("status"), "given", "scope"), "ord").alias("f")
     )
     proof = cites.join(kept.select("project_id", "ord", "edge", "confidence", F.col("confidence_reason").alias("reason")).hint("merge"), ["project_id", "ord"])
     proof = staged(proof, "build-proof")
+    discard(cites, relations)
     each = proof.groupBy("edge", "evidence_id").agg(F.min(F.struct("ord", "j")).alias("place"))
     lists = each.groupBy("edge").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence_id"))), lambda x: x["evidence_id"]).alias("evidence_ids"))
     score = G.running_edge_confidence(proof).select("edge", "confidence", "reason")
+    first, lists, score = staged(first, "build-first"), staged(lists, "build-lists"), staged(score, "build-score")
+    discard(gated, proof)
     edges = first.join(lists.hint("merge"), "edge").join(score.hint("merge"), "edge").select(
         "project_id", F.col("edge").alias("edge_id"), "ord", "f.source_id", "f.target_id", F.col("f.label").alias("relation_type"), F.when(F.col("f.symmetric"), "symmetric").otherwise("directed").alias("direction"),
         "confidence", F.col("reason").alias("confidence_reason"), "evidence_ids", F.col("f.status").alias("status"), F.col("f.given").alias("conditions"), "f.scope",
     )
-    return Graph(nodes, edges, evidence, lost_entities.unionByName(lost_relations))
+    return Graph(nodes, staged(edges, "build-edges"), evidence, lost_entities.unionByName(lost_relations))

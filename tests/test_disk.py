@@ -39,3 +39,7 @@ def test_export_computes_claims_once_and_shuffles_each_kind_apart(spark, sf):
 
 def test_catalog_shuffles_each_output_apart(spark, sf):
     assert shuffles(entry.queries()["candidate_catalog"](spark, sf)) == 0
+
+
+def test_build_graph_writes_its_outputs_before_they_are_put_together(spark, sf):
+    assert shuffles(entry.queries()["build_graph"](spark, sf)) == 0

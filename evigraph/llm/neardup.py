@@ -216,9 +216,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = docs.select(first.alias("first"), same.alias("same"), _prefix_column(spark, common, text).alias("p"))
     texts = prints.groupBy("same").agg(F.min("first").alias("first"), F.min("p").alias("p"))  # equal texts have equal prefixes
     texts = staged(texts.select(F.monotonically_increasing_id().alias("tid"), "same", "first", "p.*"), "near-texts")
-    listed = texts.select("tid", "n", *BITS, F.posexplode("prefix").alias("pos", "h"))
+    listed = texts.select("tid", "n", F.posexplode("prefix").alias("pos", "h"))
     several = listed.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
-    shared = staged(listed.join(several.hint("merge"), "h"), "near-shared")
+    bare = staged(listed.join(several.hint("merge"), "h"), "near-entries")
+    shared = staged(bare.join(texts.select("tid", *BITS).hint("merge"), "tid"), "near-shared")  # sketches only where a shingle is shared
+    discard(bare)
 
     keyed = docs.select(row_key(docs).alias("key"), text.alias("text"))
     first_links = _verified(_linked_pairs(texts), texts, keyed)
